@@ -13,6 +13,8 @@ kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,40 +27,74 @@ from pyspark.sql import functions as F
 from .common import id_and_text, materialise
 
 END_ID = 1
-#: Chunks of text whose ids a Python worker keeps at most (some 200 MB).
-MEMO_SIZE = 1_000_000
+#: Words whose ids a Python worker keeps in each of two generations (some 150 MB).
+MEMO_WORDS = 700_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, rank long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-_memo: dict[str, dict[str, bytes]] = {}
-_tokenizers: dict[str, object] = {}
+# Letters, numbers and white space below U+0180, where lower case keeps lengths and nothing composes.
+_LETTERS, _NUMBERS, _SPACES = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t-\r\x85\xa0"
+_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+_OTHER = re.compile("[^\x00-\u012f\u0131-\u017f]|<\\|")
+_encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str):
-    """Text -> ids as little-endian uint32 bytes, by the tokenizer file at path.
+class Encoder:
+    """Text -> ids as little-endian uint32 bytes, by a tokenizers file with word ends (`</w>`).
 
-    The tokenizer drops white space and never joins across it, so ids are looked up by space-separated chunk and
-    each worker asks the tokenizer only for chunks it hasn't seen.
+    That tokenizer works word by word, so the tokenizer itself is asked once for each word a worker meets, many at a
+    time. Words are split here for texts of characters below U+0180; any other text goes to the tokenizer whole.
+    Remembered words form two generations: when the younger is full, it becomes the older, and what is used again
+    moves up.
     """
-    from tokenizers import Tokenizer
 
-    tok = _tokenizers.get(path) or _tokenizers.setdefault(path, Tokenizer.from_file(path))
-    batch = getattr(tok, "encode_batch_fast", tok.encode_batch)
-
-    def encode(text: str) -> bytes:
-        memo = _memo.setdefault(path, {"": b""})
-        chunks = text.replace("\n", " ").split(" ")
-        got = list(map(memo.get, chunks))
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [np.array(e.ids, "<u4").tobytes() for e in batch(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.young) > MEMO_WORDS:
+            self.young, self.old = {}, self.young
+        new = []
+        for w in dict.fromkeys(words):
+            if w not in self.young:
+                if (known := self.old.get(w)) is None:
+                    new.append(w)
+                else:
+                    self.young[w] = known
+        if not new:
+            return
+        joined = self.ids([" ".join(new)])[0]
+        ends = (np.flatnonzero(self.ends[np.frombuffer(joined, "<u4")]) * 4 + 4).tolist()
+        if len(ends) == len(new):
+            self.young |= {w: joined[a:b] for w, a, b in zip(new, [0, *ends], ends)}
+        else:
+            self.young |= dict(zip(new, self.ids(new)))
+
+    def __call__(self, text: str) -> bytes:
+        if _OTHER.search(text):
+            return self.ids([text])[0]
+        words = _WORD.findall(text.lower())
+        got = list(map(self.young.get, words))
         if None in got:
-            if len(memo) > MEMO_SIZE:
-                memo.clear()
-                memo[""] = b""
-            new = [c for c in dict.fromkeys(chunks) if c not in memo]
-            for c, e in zip(new, batch(new, add_special_tokens=False)):
-                memo[c] = np.array(e.ids, "<u4").tobytes()
-            got = map(memo.__getitem__, chunks)
+            self.learn(words)
+            got = map(self.young.__getitem__, words)
         return b"".join(got)
 
-    return encode
+
+def encoder(path: str) -> Encoder:
+    """The one encoder of a worker for a tokenizer file."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = END_ID) -> DataFrame:
