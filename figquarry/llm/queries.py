@@ -7,10 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, secret_scan, simhash
+from . import chat_format, decontamination, packing, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, token_count, toxicity
 from .common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suffix_dedup.release_shuffles(spark)
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.scores(docs, toxicity.fit(docs, labels, folds=5, held_fold=0))
+    return scored.select("doc_id", (toxicity.remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.preference_pairs(chat_format.neighbours(table(spark, sf_dir, "conversations")))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -26,6 +55,18 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_secret_scan, op8_best_fit_packing, op9_simhash_near_dedup)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality_classifier.scores(docs, quality_classifier.fit(docs, labels, folds=4, held_fold=2))
+    return scored.select("doc_id", (toxicity.remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= quality_classifier.CUT).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_token_counts, op3_suffix_dedup, op4_toxicity, op5_preference_format,
+        op6_benchmark_decontamination, op7_secret_scan, op8_best_fit_packing, op9_simhash_near_dedup, op10_quality_classifier,
+    )
+}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_preference_format": chat_format.SQL}

@@ -101,14 +101,20 @@ def scan(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """doc_id and text, secrets replaced by their kind in brackets; null texts stay null."""
-    shared = _scanner(docs.sparkSession)
+def redact_rows(docs: DataFrame) -> DataFrame:
+    """docs with secrets in text replaced by their kind in brackets, and n_chars, if there, made to fit. Null texts stay null."""
+    shared, names = _scanner(docs.sparkSession), docs.columns
+    at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = shared.value
         for batch in batches:
-            texts = [t if t is None else scanner.redacted(t) for t in map(lambda x: x.as_py(), batch.column(1).cast(pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
-
-    return id_and_text(docs).mapInArrow(run, "doc_id long, text string")
+            columns = list(batch.columns)
+            texts = [t if t is None else scanner.redacted(t) for t in (x.as_py() for x in columns[at].cast(pa.binary()))]
+            changed = [t is not None and t != old.as_py() for t, old in zip(texts, columns[at].cast(pa.binary()))]
+            columns[at] = pa.array(texts, pa.binary()).cast(columns[at].type)
+            if size is not None:
+                columns[size] = pa.array([len(t.decode()) if new else old for t, new, old in zip(texts, changed, columns[size].to_pylist())], columns[size].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.mapInArrow(run, docs.schema)
