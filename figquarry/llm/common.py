@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a table with two narrow columns up to which it may be broadcast (some 50 MB); larger ones are joined by a shuffle.
@@ -55,3 +55,8 @@ def clean_labels(labels: DataFrame, column: str) -> DataFrame:
 def with_label(docs: DataFrame, labels: DataFrame, column: str, how: str = "inner") -> DataFrame:
     """docs (doc_id, text) with the label. Labels are broadcast if few, so that texts aren't shuffled."""
     return docs.join(small_side(clean_labels(labels, column)), "doc_id", how)
+
+
+def remainder(doc_id: str, modulus: int) -> Column:
+    """crc32 of doc_id as text, modulo; null ids have none."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus

@@ -20,9 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, with_label
+from .common import id_and_text, remainder, with_label
 from .quality_rules import SPACE, words_of
-from .toxicity import remainder
 
 SAMPLE = 20_000
 TREES = 24

@@ -2,8 +2,9 @@
 
 Words and pairs of words are hashed into `buckets`; a bucket's weight is the log of its smoothed share in the trusted
 documents over its share in all documents. A document's ratio is the sum of its weights over its number of n-grams.
-The threshold is taken from the trusted documents that pass the base rules: the highest multiple of `step` that at
-most `lost` of them lie below. Only the weights (one array of `buckets` numbers) and the histogram of trusted ratios
+Trusted documents with an even crc32(doc_id as text) make the weights; the others, whose own words are no part of
+them, give the threshold: the highest multiple of `step` that at most `lost` of those that pass the base rules lie
+below. Only the weights (one array of `buckets` numbers) and the histogram of trusted ratios
 are gathered; both are bounded whatever the corpus.
 
 Repeated three-word windows are found per document by sorting 64-bit hashes of the windows with their positions.
@@ -20,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_labels, id_and_text, small_side
+from .common import clean_labels, id_and_text, remainder, small_side
 
 BUCKETS = 1 << 16
 MIN_WORDS = 50
@@ -113,13 +114,14 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, lost: floa
     """doc_id, the base statistics, base_failed, ratio, kept: a row for each document. labels: doc_id, quality."""
     docs = id_and_text(docs)
     trusted = small_side(clean_labels(labels, "quality").where("label = 1").select("doc_id"))
-    weights = gram_weights(docs, trusted, buckets)
+    even = remainder("doc_id", 2) == 0
+    weights = gram_weights(docs, trusted.where(even), buckets)
 
     def rated(some: DataFrame, statistics: list[Column]) -> DataFrame:
         found = _with_words(some.withColumn("weights", weights.scalar()), "weights").select("doc_id", *statistics, _ratio(buckets).alias("ratio"))
         return found.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
-    sample = rated(docs.join(trusted, "doc_id", "left_semi"), [c for c in base_statistics(F.col("text"))]).where("NOT base_failed")
+    sample = rated(docs.join(trusted.where(~even), "doc_id", "left_semi"), [c for c in base_statistics(F.col("text"))]).where("NOT base_failed")
     steps = sample.groupBy(F.floor(F.col("ratio") / step).alias("s")).agg(F.count("*").alias("n")).collect()  # one row a step: bounded by the range of weights
     left, threshold = lost * sum(r["n"] for r in steps), -math.inf
     for r in sorted(steps, key=lambda r: r["s"]):

@@ -25,10 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_labels, id_and_text
+from .common import clean_labels, id_and_text, remainder
 
 SAMPLE = 3000
 COMMON_WINDOWS = 3000
@@ -39,11 +39,6 @@ STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_=+/\\~`@^"
 _scorers: dict[int, Scorer] = {}
 
 
-def remainder(doc_id: str | Column, modulus: int) -> Column:
-    """crc32 of doc_id as text, modulo; null ids have none."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
-
-
 def _windows(text: str) -> set[str]:
     return {w for w in (x.strip(STRIP) for x in text.lower().split()) if w}
 
