@@ -2,10 +2,10 @@
 
 Two zstandard dictionaries are made from labelled text: both hold the common windows of all of it; one also holds the
 windows that toxic documents have significantly more often (a log-likelihood ratio test over documents), the other
-as many bytes that match nothing, so that offsets cost the same in both. A window is a word with a fixed terminator.
-Its distance is its compressed length under the ordinary dictionary less that under the toxic one; a document's is
-the largest over all of its windows. The threshold is the distance that errs least on the training documents, and
-the score is a logistic curve through 0.5 there.
+as many bytes that match nothing, so that offsets cost the same in both. A window is a word between fixed marks.
+Its distance is what the toxic dictionary saves of its compressed length under the ordinary one, as a share of what a
+whole match would save; a document's is the largest over all of its windows. The threshold is the distance that errs
+least on the training documents, and the score is a logistic curve through 0.5 there.
 
 Training reads at most `sample` labelled documents of each class (those with the least hashes of doc_id), in full,
 and of copies and near copies among them only one: a text that is common for having been copied says nothing.
@@ -32,9 +32,9 @@ from .common import clean_labels, id_and_text, remainder
 
 SAMPLE = 3000
 COMMON_WINDOWS = 3000
-LEVEL = 3
+LEVEL = 8
 MEMO_WORDS = 1_000_000
-END = b" " + b"<=>~" * 8
+START, END = b"\n", b" " + b"<=>~" * 8
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_=+/\\~`@^"
 _scorers: dict[int, Scorer] = {}
 
@@ -71,17 +71,19 @@ class Model:
     number: int
     toxic: bytes
     ordinary: bytes
+    whole: int = 0  # the usual compressed length of a window that is in the toxic dictionary
     threshold: float = math.inf
 
     def score(self, distance: float) -> float:
-        return 0.0 if math.isinf(self.threshold) else 1 / (1 + math.exp(-1.5 * (distance - self.threshold)))
+        return 0.0 if math.isinf(self.threshold) else 1 / (1 + math.exp(-8 * (distance - self.threshold)))
 
 
 class Scorer:
     """Distances of windows and documents under a model; windows are remembered."""
 
     def __init__(self, model: Model) -> None:
-        self.memo: dict[str, int] = {}
+        self.memo: dict[str, float] = {}
+        self.whole = model.whole
         self.pair = [self._compressor(x) for x in (model.ordinary, model.toxic)]
 
     @staticmethod
@@ -93,12 +95,18 @@ class Scorer:
         d.precompute_compress(compression_params=p)
         return z.ZstdCompressor(dict_data=d, compression_params=p)
 
-    def window(self, word: str) -> int:
-        framed = word.strip(STRIP).encode() + END
+    def lengths(self, word: str) -> tuple[int, int]:
+        framed = START + word.strip(STRIP).encode() + END
         ordinary, toxic = self.pair
-        return len(ordinary.compress(framed)) - len(toxic.compress(framed))
+        return len(ordinary.compress(framed)), len(toxic.compress(framed))
 
-    def distance(self, text: str) -> int:
+    def window(self, word: str) -> float:
+        if not word.strip(STRIP):
+            return 0.0  # nothing but marks
+        ordinary, toxic = self.lengths(word)
+        return (ordinary - toxic) / max(1, ordinary - self.whole)
+
+    def distance(self, text: str) -> float:
         words = text.lower().split()
         got = list(map(self.memo.get, words))
         if None in got:
@@ -121,17 +129,16 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     telling = [w for w, c in counts[0].items() if _ratio(c, totals[0], counts[1][w], totals[1] or 1) > bound]
     telling.sort(key=lambda w: (counts[0][w], w))
     common = sorted(((c, w) for w, c in (counts[0] + counts[1]).items() if w not in set(telling)), reverse=True)[:COMMON_WINDOWS]
-    base = b"".join(w.encode() + END for _, w in reversed(common))
-    own = b"".join(w.encode() + END for w in telling)
+    base = b"".join(START + w.encode() + END for _, w in reversed(common))
+    own = b"".join(START + w.encode() + END for w in telling)
     model = Model(zlib.crc32(base + own), base + own, base + random.Random(4).randbytes(len(own)))
+    model.whole = sorted(Scorer(model).lengths(w)[1] for w in telling)[len(telling) // 2] if telling else 0
     scorer = Scorer(model)
-    there, not_there = (np.bincount([scorer.distance(t) for t in texts] or [0], minlength=64) for texts in (toxic, ordinary))
-    if not ordinary:
-        not_there[:] = 0
-    errors = [(int(there[:k].sum() + not_there[k:].sum()), k) for k in range(1, 64)]
-    least = min(errors)[0]
-    best = [k for e, k in errors if e == least]
-    model.threshold = best[0] - 0.5 if len(best) == 1 else (best[0] + best[-1]) / 2 - 0.5 if best[-1] < 63 else best[0] - 0.5
+    there, other = (np.array([scorer.distance(t) for t in texts]) for texts in (toxic, ordinary))
+    steps = np.arange(0.05, 1.2, 0.05)
+    errors = [int((there < k).sum() + (other >= k).sum()) for k in steps]
+    best = [k for k, e in zip(steps, errors) if e == min(errors)]
+    model.threshold = float(best[len(best) // 2])
     return model
 
 
