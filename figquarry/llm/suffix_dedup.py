@@ -266,7 +266,8 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, hot
     """doc_id, check, start, n, bits: runs of positions of a document, bits telling which start repeated strings (null: all)."""
     members = materialise(id_and_text(docs).mapInArrow(lambda b: _rows(b, length), RUNS))
     anchors = members.groupBy("anchor").agg(F.count("*").alias("c"), F.min("run").alias("lo"), F.max("run").alias("hi")).where("c > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("one"))
-    again = materialise(members.join(anchors, "anchor"))
+    # written first: the join then deals both sides out anew, so that Spark can split the members of a hot anchor
+    again = materialise(members.join(materialise(anchors), "anchor"))
     mixed = again.where("NOT one")
     classes = mixed.groupBy("anchor", "run").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "check", "start", "n", "distance")).alias("m"))
     wanted = classes.select("m.doc_id", "m.check", F.struct("anchor", "run", "copies", "m.start", "m.n", "m.distance").alias("w")).groupBy("doc_id", "check").agg(F.collect_list("w").alias("wanted"))
