@@ -71,15 +71,29 @@ def balanced(text: str) -> str:
 
 
 def _stray_quotes(text: str) -> str:
-    """Quotes that neither open nor close a string, judged by what stands next to them, are escaped."""
-    return re.sub(r'(?<=[^\s{\[,:\\])"(?=[^\s}\],:])', r'\\"', text)
+    """Quotes in a string that no comma, colon, closer or end follows don't close it: they are escaped."""
+    out, inside, skip = [], False, False
+    for i, ch in enumerate(text):
+        if skip:
+            skip = False
+        elif ch == "\\":
+            skip = True
+        elif ch == '"':
+            if not inside:
+                inside = True
+            elif text[i + 1 :].lstrip()[:1] in ("", ",", ":", "}", "]"):
+                inside = False
+            else:
+                ch = '\\"'
+        out.append(ch)
+    return "".join(out)
 
 
 def read_object(text: str) -> dict | None:
     """The first reading of the ladder that gives an object."""
     trailing = lambda s: re.sub(r",(\s*[}\]])", r"\1", s)
     single = lambda s: re.sub(r"'((?:[^'\\]|\\.)*)'", lambda m: json.dumps(m[1].replace("\\'", "'")), s)
-    for reading in (lambda s: s, balanced, lambda s: trailing(balanced(s)), lambda s: trailing(balanced(single(s))), lambda s: trailing(balanced(_stray_quotes(s)))):
+    for reading in (lambda s: s, balanced, lambda s: trailing(balanced(s)), lambda s: trailing(balanced(single(s))), lambda s: trailing(balanced(_stray_quotes(s))), lambda s: trailing(_stray_quotes(s))):
         try:
             got = json.loads(reading(text), strict=False)
             if isinstance(got, dict):

@@ -137,7 +137,7 @@ def capitalise(x, how: str) -> Column:
 def fenced_json(text) -> Column:
     """what stands in a ```json fence, line comments dropped; the whole text if there is none."""
     x = F.regexp_replace(c(text), r"//[^\n]*(?=\n)", "")
-    return F.trim(F.coalesce(F.nullif(F.regexp_extract(x, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit("")), x))
+    return F.btrim(F.coalesce(F.nullif(F.regexp_extract(x, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit("")), x), F.lit(" \t\r\n"))
 
 
 def fix_escapes(text) -> Column:
@@ -474,7 +474,7 @@ def two_proportions(k1, n1, k2, n2) -> tuple[Column, Column]:
     return z, erfc(F.abs(z) / math.sqrt(2))
 
 
-def detectable_difference_pp(n, p: float = 0.5, z_alpha: float = Z95, z_power: float = 0.8416212335729143) -> Column:
+def detectable_difference_pp(n, p: float = 0.5, z_alpha: float = Z95, z_power: float = 0.8416) -> Column:
     """T4: the least difference of two shares of n each that is found with 80 % power, in percentage points."""
     return F.when(c(n) > 0, 100 * (z_alpha + z_power) * F.sqrt(2 * p * (1 - p) / c(n).cast("double")))
 

@@ -314,7 +314,7 @@ s AS (SELECT *, x / n AS p, {Z} * {Z} AS z2 FROM g)
 SELECT side, k, n, x, round(greatest(0, (p + z2 / (2 * n)) / (1 + z2 / n) - {Z} * sqrt(p * (1 - p) / n + z2 / (4.0 * n * n)) / (1 + z2 / n)), 6) AS wilson_low,
   round(least(1, (p + z2 / (2 * n)) / (1 + z2 / n) + {Z} * sqrt(p * (1 - p) / n + z2 / (4.0 * n * n)) / (1 + z2 / n)), 6) AS wilson_high,
   round(p - {Z} * sqrt(p * (1 - p) / n), 6) AS wald_low, round(p + {Z} * sqrt(p * (1 - p) / n), 6) AS wald_high,
-  round(100 * {Z} * sqrt(0.25 / n + z2 / (4.0 * n * n)) / (1 + z2 / n), 6) AS halfwidth, round(100 * ({Z} + CAST(0.8416212335729143 AS DOUBLE)) * sqrt(0.5 / n), 6) AS detectable FROM s""")
+  round(100 * {Z} * sqrt(0.25 / n + z2 / (4.0 * n * n)) / (1 + z2 / n), 6) AS halfwidth, round(100 * ({Z} + CAST(0.8416 AS DOUBLE)) * sqrt(0.5 / n), 6) AS detectable FROM s""")
 def wilson_wald(t):
     """T1, T2, T4"""
     g = t("lineitem").groupBy(F.col("l_linestatus").alias("side"), F.col("l_returnflag").alias("k")).agg(F.count("*").alias("n"), F.sum((F.col("l_quantity") > 25).cast("long")).alias("x"))
