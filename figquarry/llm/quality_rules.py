@@ -1,6 +1,6 @@
 """Quality rules: base statistics, and a hashed n-gram log-likelihood ratio against a trusted target. DataFrame functions only.
 
-Words and pairs of words are hashed into `buckets`; a bucket's weight is the log of its smoothed share in the trusted
+Words and pairs of words (of their hashes) are hashed into `buckets`; a bucket's weight is the log of its smoothed share in the trusted
 documents over its share in all documents. A document's ratio is the sum of its weights over its number of n-grams.
 Trusted documents with an even crc32(doc_id as text) make the weights; the others, whose own words are no part of
 them, give the threshold: the highest multiple of `step` that at most `lost` of those that pass the base rules lie
@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_labels, id_and_text, remainder, small_side
+from .common import clean_labels, id_and_text, materialise, remainder, small_side
 
 BUCKETS = 1 << 16
 MIN_WORDS = 50
@@ -47,11 +47,11 @@ def _upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def repeated_window_words(words: Column, width: int = 3) -> Column:
-    """How many words lie in windows of `width` words that stand twice or more in the list."""
+def repeated_window_words(hashes: Column, width: int = 3) -> Column:
+    """How many words lie in windows of `width` words that stand twice or more in the text; hashes: of its words, in order."""
 
-    def covered(hashes: Column) -> Column:
-        pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    def covered(windows: Column) -> Column:
+        pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def count(s: Column) -> Column:
             twice = F.filter(s, lambda x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)))
@@ -59,13 +59,13 @@ def repeated_window_words(words: Column, width: int = 3) -> Column:
             start = F.struct(F.lit(-width).alias("last"), F.lit(0).cast("long").alias("n"))
             return F.aggregate(at, start, lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(width), i - acc["last"])).alias("n")), lambda acc: acc["n"])
 
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(let(pairs, count))
+        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(let(pairs, count))
 
-    return let(F.transform(_upto(F.size(words) - (width - 1)), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)])), covered)
+    return let(F.transform(_upto(F.size(hashes) - (width - 1)), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)])), covered)
 
 
 def base_statistics(text: Column) -> list[Column]:
-    """Those of the contract, from a column `words` and the text."""
+    """Those of the contract, from columns `words` and `hashes` and the text."""
     t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     return [
@@ -73,27 +73,29 @@ def base_statistics(text: Column) -> list[Column]:
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeated_window_words(F.col("words")).alias("n_repeat_words"),
+        repeated_window_words(F.col("hashes")).alias("n_repeat_words"),
     ]
 
 
-def _unigram(word: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
+def _bucket(h: Column, buckets: int) -> Column:
+    return F.pmod(h, F.lit(buckets)).cast("int")
 
 
-def _bigram(words: Column, i: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.get(words, i), F.get(words, i + 1)), F.lit(buckets)).cast("int")
+def _pair(hashes: Column, i: Column) -> Column:
+    return F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1))
 
 
 def _with_words(docs: DataFrame, *more: str) -> DataFrame:
-    """The column words, behind a generator so that it is computed once for all that read it."""
-    return docs.select("doc_id", "text", *more, F.explode(F.array(words_of(F.col("text")))).alias("words"))
+    """The columns words and hashes, behind a generator so that they are computed once for all that read them."""
+    both = let(words_of(F.col("text")), lambda w: F.struct(w.alias("words"), F.transform(w, lambda x: F.xxhash64(x)).alias("hashes")))
+    return docs.select("doc_id", "text", *more, F.explode(F.array(both)).alias("_w")).select("doc_id", "text", *more, "_w.words", "_w.hashes")
 
 
 def gram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row, one array: for each bucket the log of its share in trusted documents over its share in all, add-one smoothed."""
     marked = docs.join(trusted.withColumn("trusted", F.lit(1)), "doc_id", "left")
-    grams = F.concat(F.transform("words", lambda w: _unigram(w, buckets)), F.transform(_upto(F.size("words") - 1), lambda i: _bigram(F.col("words"), i, buckets)))
+    h = F.col("hashes")
+    grams = F.concat(F.transform(h, lambda x: _bucket(x, buckets)), F.transform(_upto(F.size(h) - 1), lambda i: _bucket(_pair(h, i), buckets)))
     each = _with_words(marked, "trusted").select("trusted", F.explode(grams).alias("b"))
     counts = each.groupBy("b").agg(F.count("*").alias("every"), F.count("trusted").alias("target"))
     full = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(F.broadcast(counts), "b", "left").fillna(0)  # a row a bucket
@@ -104,10 +106,10 @@ def gram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
 
 
 def _ratio(buckets: int) -> Column:
-    words, weights = F.col("words"), F.col("weights")
-    single = F.aggregate(words, F.lit(0.0), lambda acc, w: acc + F.get(weights, _unigram(w, buckets)))
-    double = F.aggregate(_upto(F.size(words) - 1), F.lit(0.0), lambda acc, i: acc + F.get(weights, _bigram(words, i, buckets)))
-    return F.when(F.size(words) > 0, (single + double) / (2 * F.size(words) - 1)).otherwise(0.0)
+    h, weights = F.col("hashes"), F.col("weights")
+    single = F.aggregate(h, F.lit(0.0), lambda acc, x: acc + F.get(weights, _bucket(x, buckets)))
+    double = F.aggregate(_upto(F.size(h) - 1), F.lit(0.0), lambda acc, i: acc + F.get(weights, _bucket(_pair(h, i), buckets)))
+    return F.when(F.size(h) > 0, (single + double) / (2 * F.size(h) - 1)).otherwise(0.0)
 
 
 def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, lost: float = LOST, step: float = STEP) -> DataFrame:
@@ -115,7 +117,7 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, lost: floa
     docs = id_and_text(docs)
     trusted = small_side(clean_labels(labels, "quality").where("label = 1").select("doc_id"))
     even = remainder("doc_id", 2) == 0
-    weights = gram_weights(docs, trusted.where(even), buckets)
+    weights = materialise(gram_weights(docs, trusted.where(even), buckets))  # one row, read by both passes below
 
     def rated(some: DataFrame, statistics: list[Column]) -> DataFrame:
         found = _with_words(some.withColumn("weights", weights.scalar()), "weights").select("doc_id", *statistics, _ratio(buckets).alias("ratio"))
