@@ -83,9 +83,9 @@ WITH t AS (SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, conv_id % 2 =
      n AS (SELECT size.pair_id, nc, nr, coalesce(apart.i - 1, nc) AS n FROM size LEFT JOIN apart USING (pair_id)),
      part AS (SELECT t.pair_id, CASE WHEN i <= n THEN 'p' WHEN chosen THEN 'c' ELSE 'r' END AS side, i, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS body, length(role) + 5 AS head
               FROM t JOIN n USING (pair_id) WHERE chosen OR i > n),
-     placed AS (SELECT *, sum(length(body)) OVER (PARTITION BY pair_id, side ORDER BY i) - length(body) AS at FROM part),
+     placed AS (SELECT *, sum(length(body)) OVER (PARTITION BY pair_id, side ORDER BY i) - length(body) AS pos FROM part),
      whole AS (SELECT pair_id, side, string_agg(body, '' ORDER BY i) AS body,
-                      string_agg(CAST(at + head AS BIGINT) || ':' || CAST(at + length(body) - 1 AS BIGINT), ',' ORDER BY i) FILTER (role = 'assistant') AS mask
+                      string_agg(CAST(pos + head AS BIGINT) || ':' || CAST(pos + length(body) - 1 AS BIGINT), ',' ORDER BY i) FILTER (role = 'assistant') AS mask
                FROM placed GROUP BY pair_id, side)
 SELECT n.pair_id, CAST(n.n AS INTEGER) AS n_prompt_turns, coalesce(p.body, '') AS prompt,
        coalesce(c.body, '') AS chosen_completion, coalesce(c.mask, '') AS chosen_mask, CAST(nc - n.n AS INTEGER) AS n_chosen_turns,

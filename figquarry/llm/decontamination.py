@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_WORDS = 5
-MIN_COVERAGE = 0.8
+MIN_COVERAGE = 0.6
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 32_000_000
 HITS = "doc_id long, item_id long, n_tiles int, covered_words int, item_words int, coverage double"
