@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2,
     """Trains on labelled rows whose remainder isn't held_fold; the statistics of at most `sample` rows come to the driver."""
     usable = labels.where(remainder("doc_id", folds) != held_fold)
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = statistics(with_label(id_and_text(docs), chosen, "quality")).select(*STATISTICS, "label").orderBy("label", *STATISTICS).toPandas()
+    rows = statistics(with_label(id_and_text(docs), chosen, "quality")).select(*STATISTICS, "label").toPandas().sort_values(["label", *STATISTICS])
     return train(rows[STATISTICS].to_numpy(float), rows["label"].to_numpy(float))
 
 
