@@ -212,3 +212,59 @@ def claims(df: DataFrame) -> DataFrame:
     from ..functions.scalars import claim_holds
 
     return df.withColumn("ok", claim_holds("computed", "paper"))
+
+
+def blank_panels(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Panels without a finite value or with at most one distinct."""
+    v = F.when(finite(value), F.col(value))
+    return df.groupBy(*keys).agg(F.count(v).alias("finite"), (F.countDistinct(v) <= 1).alias("blank"))
+
+
+def first_answer(raw, response) -> Column:
+    """The raw answer, or the response where that is empty or missing."""
+    return F.coalesce(F.nullif(c(raw), F.lit("")), c(response))
+
+
+def value_ranges(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Least and largest finite value of each key, where they differ."""
+    v = F.when(finite(value), F.col(value))
+    return df.groupBy(*keys).agg(F.min(v).alias("low"), F.max(v).alias("high")).where("high > low")
+
+
+def shared_limit(counts: DataFrame, group: str, n: str) -> DataFrame:
+    """Each group's largest count and the one that all of them share."""
+    top = counts.groupBy(group).agg(F.max(n).alias("own"))
+    return top.crossJoin(F.broadcast(top.agg(F.max("own").alias("shared"))))
+
+
+def verified(answers: DataFrame, truths: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Answers with a verified truth, and those skipped for want of one."""
+    return answers.join(truths, keys), answers.join(truths.select(*keys), keys, "left_anti")
+
+
+def run_difference(df: DataFrame, keys: list[str], run: str, first, second, correct: str) -> DataFrame:
+    """Accuracy in two runs and the difference, by key, in one aggregation."""
+    at = lambda v: 100 * F.avg(F.when(F.col(run) == v, F.col(correct).cast("double")))
+    return df.groupBy(*keys).agg(at(first).alias("first"), at(second).alias("second"), (at(second) - at(first)).alias("change"))
+
+
+def clip_stretch(df: DataFrame, key: str, value: str, percent: float = 99.0) -> DataFrame:
+    """Values clipped to the central percent of their field and rescaled to 0..1."""
+    tail = (1 - percent / 100) / 2
+    bounds = df.groupBy(key).agg(F.percentile(value, F.lit(tail)).alias("_lo"), F.percentile(value, F.lit(1 - tail)).alias("_hi"))
+    x = F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi"))
+    return df.join(bounds, key).withColumn("stretched", F.when(F.col("_hi") > F.col("_lo"), (x - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)).drop("_lo", "_hi")
+
+
+def round_robin(df: DataFrame, order: list, workers: int) -> DataFrame:
+    """Which of `workers` each row goes to, in turn. It numbers rows globally: for work lists, not for data."""
+    return df.withColumn("worker", ((F.row_number().over(Window.orderBy(*order)) - 1) % workers).cast("int"))
+
+
+#: Statistics by name.
+STATISTICS = {"minimum": F.min, "maximum": F.max, "median": F.median, "mean": F.avg}
+
+
+def statistics(df: DataFrame, keys: list[str], value: str, names: list[str]) -> DataFrame:
+    """The named statistics of a value."""
+    return df.groupBy(*keys).agg(*[STATISTICS[n](value).alias(n) for n in names])

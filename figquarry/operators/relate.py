@@ -162,3 +162,33 @@ def field_size(major_arcsec, low, high, u) -> Column:
     """Three times the object's major axis within the survey's range, else a log-uniform draw from it."""
     known = F.when(c(major_arcsec).isNotNull(), F.greatest(c(low), F.least(c(high), 3 * c(major_arcsec))))
     return F.coalesce(known, F.exp(F.log(c(low)) + c(u) * (F.log(c(high)) - F.log(c(low)))))
+
+
+def bernoulli_plan(df: DataFrame, key: str, effects: list[tuple[str, str, float]], draw) -> DataFrame:
+    """Which effects (name, phase, probability) each key gets: one draw for each effect in order. draw(key, i) -> uniform number."""
+    made = [F.when(draw(F.col(key), i) < p, F.struct(F.lit(name).alias("name"), F.lit(phase).alias("phase"))) for i, (name, phase, p) in enumerate(effects)]
+    chosen = df.withColumn("_e", F.filter(F.array(*made), lambda e: e.isNotNull()))
+    phases = list(dict.fromkeys(phase for _, phase, _ in effects))
+    by_phase = F.map_filter(F.create_map(*[x for ph in phases for x in (F.lit(ph), F.transform(F.filter("_e", _in_phase(ph)), lambda e: e["name"]))]), lambda _, v: F.size(v) > 0)
+    return chosen.select(*df.columns, F.transform("_e", lambda e: e["name"]).alias("effects"), by_phase.alias("effects_by_phase"))
+
+
+def _in_phase(phase: str):
+    return lambda e: e["phase"] == phase
+
+
+def image_tag(keys) -> Column:
+    """Image, contour, image + contour, or none, from the drawn keys of a panel."""
+    has = lambda k: F.array_contains(c(keys), k)
+    return F.when(has("image") & has("contour"), "image + contour").when(has("image"), "image").when(has("contour"), "contour").otherwise("none")
+
+
+def box_on_sky(x0, y0, x1, y1, scale, ra0, dec0) -> tuple[Column, Column]:
+    """Mean angular width and height (degrees) of a box in pixels from the reference point, over its opposite edges."""
+    from ..functions.scalars import tan_sky
+
+    s = c(scale)
+    corner = lambda x, y: tan_sky(c(x) * s, c(y) * s, ra0, dec0)
+    a, b, d, e = corner(x0, y0), corner(x1, y0), corner(x0, y1), corner(x1, y1)
+    side = lambda p, q: separation(p[0], p[1], q[0], q[1])
+    return (side(a, b) + side(d, e)) / 2, (side(a, d) + side(b, e)) / 2

@@ -411,3 +411,40 @@ def polygon_points(t):
     one, six, dx, dy = F.lit(1.0), F.lit(6.0), F.col("x") + 0.5, F.col("y") + 0.5
     return q.select("k", S.point_in_polygon("x", "y", quad).alias("inside"), r(S.corner_angle(one, one, dx, dy, six, one), 5).alias("angle"))
 
+
+EFFECTS = [("fold", "paper", 0.5), ("ink bleed", "ink", 0.3), ("stain", "paper", 0.2), ("scan lines", "post", 0.8)]
+DRAW = "(({k} + {i} * 101) * 7919 + 104729) % 1000003 / 1000003.0 < {p}"
+
+
+@query("""SELECT c_custkey, list_filter([""" + ", ".join(f"CASE WHEN {DRAW.format(k='c_custkey', i=i, p=p)} THEN '{n}' END" for i, (n, _, p) in enumerate(EFFECTS)) + """], lambda x: x IS NOT NULL).array_to_string('|') AS effects,
+CAST(CASE WHEN """ + DRAW.format(k="c_custkey", i=0, p=0.5) + """ THEN 1 ELSE 0 END + CASE WHEN """ + DRAW.format(k="c_custkey", i=2, p=0.2) + """ THEN 1 ELSE 0 END AS INT) AS on_paper FROM customer""")
+def bernoulli_plan(t):
+    """O8, N15"""
+    plan = R.bernoulli_plan(t("customer").select("c_custkey"), "c_custkey", EFFECTS, lambda k, i: R.keyed_order(k + i * 101) / 1000003.0)
+    return plan.select("c_custkey", F.array_join("effects", "|").alias("effects"), F.coalesce(F.size(F.try_element_at("effects_by_phase", F.lit("paper"))), F.lit(0)).alias("on_paper"))
+
+
+@query("""SELECT tag, count(*) AS n FROM (SELECT CASE WHEN l_quantity > 30 AND l_discount > 0.05 THEN 'image + contour' WHEN l_quantity > 30 THEN 'image' WHEN l_discount > 0.05 THEN 'contour' ELSE 'none' END AS tag FROM lineitem) GROUP BY tag""")
+def image_tags(t):
+    """N14"""
+    keys = F.array_compact(F.array(F.when(F.col("l_quantity") > 30, "image"), F.when(F.col("l_discount") > 0.05, "contour")))
+    return t("lineitem").select(R.image_tag(keys).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT o_orderkey, CAST(o_custkey % 400 + 50 AS INT) AS n, CAST(1 + 2 * (o_orderkey % 2) AS INT) AS step FROM orders)
+SELECT o_orderkey, CAST(floor((n - 9 * step - 1) / 2.0) AS INT) AS first, CAST(floor((n - 9 * step - 1) / 2.0) + 9 * step AS INT) AS last, 10 AS size FROM s""")
+def crop_decimate(t):
+    """M24, M25"""
+    s = t("orders").select("o_orderkey", (F.col("o_custkey") % 400 + 50).cast("int").alias("n"), (1 + 2 * (F.col("o_orderkey") % 2)).cast("int").alias("step"))
+    x = s.select("o_orderkey", S.crop_indexes("n", 10, "step").alias("i"))
+    return x.select("o_orderkey", F.element_at("i", 1).alias("first"), F.element_at("i", -1).alias("last"), F.size("i").alias("size"))
+
+
+@query("""SELECT s_suppkey, true AS wide, true AS high FROM supplier""")
+def box_edges(t):
+    """A box of 20 by 10 pixels at 36 arc seconds a pixel is 0.2 by 0.1 degrees to a part in a thousand, wherever it lies"""
+    k = F.col("s_suppkey")
+    s = t("supplier").select("s_suppkey", (k * 37 % 360).cast("double").alias("ra"), ((k * 11 % 160).cast("double") - 80).alias("dec"))
+    w, h = R.box_on_sky(F.lit(-10.0), F.lit(-5.0), F.lit(10.0), F.lit(5.0), F.lit(0.01), "ra", "dec")
+    return s.select("s_suppkey", (F.abs(w - 0.2) < 2e-4).alias("wide"), (F.abs(h - 0.1) < 1e-4).alias("high"))
+

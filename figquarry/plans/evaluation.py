@@ -353,3 +353,68 @@ def windowed_counts(t):
     from ..streaming.incremental import windowed_counts as w
 
     return w(t("events")).withColumn("total", r("total", 4))
+
+
+@query("""WITH v AS (SELECT l_orderkey AS fig, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_quantity END AS v FROM lineitem) SELECT fig, count(v) AS finite, count(DISTINCT v) <= 1 AS blank FROM v GROUP BY fig""")
+def blank_panels(t):
+    """P15"""
+    return E.blank_panels(t("lineitem").select(F.col("l_orderkey").alias("fig"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity")).alias("v")), ["fig"], "v")
+
+
+@query("""SELECT said, count(*) AS n FROM (SELECT coalesce(nullif(CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE event_type END, ''), 'fallback') AS said FROM events) GROUP BY said""")
+def first_answer(t):
+    """P16"""
+    k = F.col("event_id") % 4
+    raw = F.when(k == 0, "").when(k == 1, None).otherwise(F.col("event_type"))
+    return t("events").select(E.first_answer(raw, F.lit("fallback")).alias("said")).groupBy("said").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY 1 HAVING max(l_extendedprice) > min(l_extendedprice)")
+def value_ranges(t):
+    """A31, A32"""
+    return E.value_ranges(t("lineitem"), ["l_orderkey"], "l_extendedprice")
+
+
+@query("""WITH c AS (SELECT o_orderpriority AS p, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY ALL), m AS (SELECT p, max(n) AS own FROM c GROUP BY 1) SELECT p, own, (SELECT max(own) FROM m) AS shared FROM m""")
+def shared_limit(t):
+    """A40"""
+    return E.shared_limit(t("orders").groupBy(F.col("o_orderpriority").alias("p"), "o_orderstatus").agg(F.count("*").alias("n")), "p", "n")
+
+
+@query("""WITH v AS (SELECT c_custkey AS k FROM customer WHERE c_nationkey < 10) SELECT 'verified' AS kind, count(*) AS n FROM orders WHERE o_custkey IN (SELECT k FROM v) UNION ALL SELECT 'skipped', count(*) FROM orders WHERE o_custkey NOT IN (SELECT k FROM v)""")
+def verified_truth(t):
+    """J2"""
+    good, skipped = E.verified(t("orders").select(F.col("o_custkey").alias("k")), t("customer").where("c_nationkey < 10").select(F.col("c_custkey").alias("k")), ["k"])
+    count = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return count(good, "verified").union(count(skipped, "skipped"))
+
+
+@query(f"""WITH {WORDED}, a AS (SELECT model, truth, 100 * avg(CASE WHEN run = 0 THEN CAST({CORRECT} AS DOUBLE) END) AS x, 100 * avg(CASE WHEN run = 1 THEN CAST({CORRECT} AS DOUBLE) END) AS y FROM w GROUP BY ALL)
+SELECT model, truth, round(x, 6) AS first, round(y, 6) AS second, round(y - x, 6) AS change FROM a""")
+def run_difference(t):
+    """J7"""
+    w = worded(t).withColumn("ok", F.coalesce(S.normalise_answer("answer") == S.normalise_answer("truth"), F.lit(False)))
+    found = E.run_difference(w, ["model", "truth"], "run", 0, 1, "ok")
+    return found.select("model", "truth", r("first").alias("first"), r("second").alias("second"), r("change").alias("change"))
+
+
+@query("""WITH b AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.005) AS lo, quantile_cont(l_extendedprice, 0.995) AS hi FROM lineitem GROUP BY 1)
+SELECT l_returnflag, count(*) AS n, round(avg((least(greatest(l_extendedprice, lo), hi) - lo) / (hi - lo)), 6) AS mean FROM lineitem JOIN b USING (l_returnflag) GROUP BY 1""")
+def clip_stretch(t):
+    """M26"""
+    s = E.clip_stretch(t("lineitem").select("l_returnflag", "l_extendedprice"), "l_returnflag", "l_extendedprice")
+    return s.groupBy("l_returnflag").agg(F.count("*").alias("n"), r(F.avg("stretched")).alias("mean"))
+
+
+@query("SELECT n_nationkey, CAST((row_number() OVER (ORDER BY n_nationkey) - 1) % 4 AS INT) AS worker FROM nation")
+def round_robin(t):
+    """W9, D1, D5"""
+    return E.round_robin(t("nation").select("n_nationkey"), ["n_nationkey"], 4)
+
+
+@query("SELECT p_brand, min(p_retailprice) AS minimum, max(p_retailprice) AS maximum, round(median(p_retailprice), 6) AS median, round(avg(p_retailprice), 6) AS mean FROM part GROUP BY 1")
+def named_statistics(t):
+    """D8"""
+    found = E.statistics(t("part"), ["p_brand"], "p_retailprice", ["minimum", "maximum", "median", "mean"])
+    return found.withColumn("median", r("median")).withColumn("mean", r("mean"))
+
