@@ -169,3 +169,102 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int =
 def hexadecimal(fp: str):
     """The signed long column as 16 lowercase hexadecimal digits."""
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
+
+
+# --- documents alike by a share of their shingles ----------------------------------------------------------------
+
+WIDTH = 256
+KEYS = 8
+LEVELS = 3
+_MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) | 1 for k in range(KEYS + WIDTH // 64)], np.uint64)
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    x = (h ^ (h >> np.uint64(31))) * _MULTIPLIERS[k]
+    x ^= x >> np.uint64(29)
+    return x * np.uint64(0xBF58476D1CE4E5B9) ^ (x >> np.uint64(32))
+
+
+def sketch(text: bytes, shingle_words: int = 5) -> tuple[bytes, list[int]]:
+    """A 256-bit SimHash of the set of word shingles, and for each of eight orders of all shingles the first one there is.
+
+    Texts of fewer words are one shingle; a text without words has a fingerprint of zeros and zero for keys.
+    """
+    from xxhash import xxh64_digest
+
+    words = text.lower().split()
+    if not words:
+        return bytes(WIDTH // 8), [0] * KEYS
+    n = max(1, len(words) - shingle_words + 1)
+    h = np.unique(np.frombuffer(b"".join([xxh64_digest(b" ".join(words[i : i + shingle_words])) for i in range(n)]), np.uint64))
+    keys = [int(h[_mixed(h, k).argmin()].view(np.int64)) for k in range(KEYS)]
+    total = np.zeros(WIDTH, np.int64)
+    for at in range(0, len(h), 1 << 14):
+        part = h[at : at + (1 << 14)]
+        bits = np.stack([_mixed(part, KEYS + k) for k in range(WIDTH // 64)], axis=1).view(np.uint8)
+        total += np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(total * 2 > len(h)).tobytes(), keys
+
+
+def radius_for(similarity: float) -> int:
+    """How many of WIDTH bits two sets of that Jaccard similarity differ in: the mean, and two standard deviations on top."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return round(WIDTH * p + 2 * (WIDTH * p * (1 - p)) ** 0.5)
+
+
+def alike(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+    """doc_id, component_id: near copies by shingle similarity; component_id is the smallest doc_id reachable.
+
+    Fingerprints that differ in radius_for(similarity) bits at most are linked, if they stand in a common shard: one of
+    eight shards of a document is that of the first of its shingles in an order of all (two documents share it with
+    their similarity as probability, so at 0.8 all eight fail once in 400,000 pairs). A shard above the limit, as a
+    shingle of many unlike documents makes it, is dealt anew by the next three orders, LEVELS times at most. A null
+    doc_id has a null component and no links.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch(t.as_py() or b"", shingle_words) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
+
+    prints = materialise(id_and_text(docs).mapInArrow(run, "doc_id long, fp binary, keys array<long>"))
+    # one row for each set of copies, named by its smallest doc_id
+    reps = materialise(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys")))
+    shards = reps.select("rep", "fp", "keys", F.posexplode("keys").alias("k", "key")).select("rep", "fp", "keys", "k", F.xxhash64("k", "key").alias("shard"))
+    radius, ready = radius_for(similarity), None
+    for level in range(LEVELS + 1):
+        shards = materialise(shards)
+        size = shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
+        held = shards.join(size, "shard")
+        small = held.where(F.col("n") <= shard_limit) if level < LEVELS else held
+        part = small.select("shard", "rep", "fp")
+        ready = part if ready is None else ready.union(part)
+        if level == LEVELS or not held.where(F.col("n") > shard_limit).limit(1).count():
+            break
+        later = F.transform(F.array(*[F.lit(i) for i in (1, 2, 3)]), lambda i: F.pmod(F.col("k") + i, F.lit(KEYS)))
+        deeper = held.where(F.col("n") > shard_limit).select("shard", "rep", "fp", "keys", F.explode(later).alias("k"))
+        shards = deeper.select("rep", "fp", "keys", "k", F.xxhash64("shard", "k", F.get("keys", F.col("k"))).alias("shard"))
+    dealt = ready.repartition("shard").sortWithinPartitions("shard", "rep")
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_shard, values, found = None, {}, []
+
+        def close() -> None:
+            if len(values) > 1:
+                found.extend((values[a], values[b]) for a, b in _shard_links(list(values), radius))
+
+        for batch in batches:
+            for shard, rep, fp in zip(*(c.to_pylist() for c in batch.columns)):
+                if shard != held_shard:
+                    close()
+                    held_shard, values = shard, {}
+                values[int.from_bytes(fp, "big")] = rep
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+            found.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    roots = components(dealt.mapInArrow(trees, "a long, b long"))
+    named = reps.select("fp", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    known = prints.where("doc_id IS NOT NULL").join(named, "fp").select("doc_id", "component_id")
+    return known.union(prints.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("component_id")))

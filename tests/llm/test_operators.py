@@ -411,3 +411,40 @@ def test_components_of_a_chain(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(1, 201)} == {0} and got[501] == 500
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("limit", [4096, 2])
+def test_alike(spark, limit):
+    rng, rows = random.Random(limit), [(i, t) for i, t in ODD]
+    passage = prose(77, 40)
+    for k in range(12):
+        whole = prose(2000 + k, 300).split()
+        for c in range(6):
+            words = list(whole)
+            for _ in range(c):
+                words[rng.randrange(300)] = "changed"
+            rows.append((1000 + 10 * k + c, " ".join(words)))
+    rows += [(3000 + k, prose(3000 + k, 60) + " " + passage) for k in range(40)]
+    got = {r.doc_id: r.component_id for r in simhash.alike(docs(spark, rows), shard_limit=limit).collect()}
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - 4))}
+    sets = {i: shingles(t) for i, t in rows if i is not None}
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and a >= 1000:
+                if share(a, b) >= 0.85:
+                    assert got[a] == got[b]
+                elif share(a, b) < 0.5:
+                    assert got[a] != got[b]
+    assert got[None] is None and got[7] == got[8] == 7 and got[1] == got[2] == got[3] == 1
+
+
+def test_first_shingles_agree_with_the_similarity():
+    rng, hits = random.Random(5), []
+    for k in range(60):
+        a = prose(k, 200).split()
+        b = list(a)
+        b[rng.randrange(200)] = "x"
+        hits += [x == y for x, y in zip(simhash.sketch(" ".join(a).encode())[1], simhash.sketch(" ".join(b).encode())[1])]
+    assert 0.9 < np.mean(hits) < 0.99  # five of 196 shingles differ: a Jaccard similarity of 0.95

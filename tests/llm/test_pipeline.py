@@ -23,7 +23,7 @@ def test_stages(spark, tmp_path):
         if name == "toxicity":
             assert before * 0.7 < out.count() < before
         if name == "simhash_near_dedup":
-            groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+            groups = {r.doc_id: r.component_id for r in simhash.alike(docs).collect()}
             assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted({c for c in groups.values()})
         if name == "secret_scan":
             assert secret_scan.scan(out).agg({"n_assign": "sum", "n_access": "sum", "n_hex": "sum"}).first()[0] == 0
