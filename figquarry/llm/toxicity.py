@@ -33,7 +33,7 @@ from .common import clean_labels, id_and_text, remainder
 SAMPLE = 3000
 COMMON_WINDOWS = 3000
 LEVEL = 8
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 400_000
 START, END = b"\n", b" " + b"<=>~" * 8
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_=+/\\~`@^"
 _scorers: dict[int, Scorer] = {}
