@@ -42,61 +42,62 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _upto(n: Column) -> Column:
-    """0 .. n - 1."""
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+def repeated_window_words(windows: Column, width: int = 3) -> Column:
+    """How many words lie in windows of `width` words that stand twice or more in the text; windows: their hashes, in order."""
+    pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
+    def count(s: Column) -> Column:
+        twice = F.filter(s, lambda x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)))
+        at = F.sort_array(F.transform(twice, lambda x: x["i"]))
+        start = F.struct(F.lit(-width).alias("last"), F.lit(0).cast("long").alias("n"))
+        return F.aggregate(at, start, lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(width), i - acc["last"])).alias("n")), lambda acc: acc["n"])
 
-def repeated_window_words(hashes: Column, width: int = 3) -> Column:
-    """How many words lie in windows of `width` words that stand twice or more in the text; hashes: of its words, in order."""
-
-    def covered(windows: Column) -> Column:
-        pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-
-        def count(s: Column) -> Column:
-            twice = F.filter(s, lambda x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)))
-            at = F.sort_array(F.transform(twice, lambda x: x["i"]))
-            start = F.struct(F.lit(-width).alias("last"), F.lit(0).cast("long").alias("n"))
-            return F.aggregate(at, start, lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(width), i - acc["last"])).alias("n")), lambda acc: acc["n"])
-
-        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(let(pairs, count))
-
-    return let(F.transform(_upto(F.size(hashes) - (width - 1)), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)])), covered)
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(let(pairs, count))
 
 
 def base_statistics(text: Column) -> list[Column]:
-    """Those of the contract, from columns `words` and `hashes` and the text."""
+    """Those of the contract, from columns `words` and `windows` and the text."""
     t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     return [
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.size(F.split(t, f"[{SYMBOLS}]")) - 1).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeated_window_words(F.col("hashes")).alias("n_repeat_words"),
+        repeated_window_words(F.col("windows")).alias("n_repeat_words"),
     ]
 
 
-def _bucket(h: Column, buckets: int) -> Column:
-    return F.pmod(h, F.lit(buckets)).cast("int")
+def _chained(left: Column, hashes: Column, step: int) -> Column:
+    """Hashes of neighbours: left[i] with hashes[i + step], as far as both are there."""
+    every = F.transform(left, lambda x, i: F.xxhash64(x, F.get(hashes, i + step)))
+    return F.slice(every, 1, F.greatest(F.size(hashes) - step, F.lit(0)))
+
+
+def _grams(hashes: Column, pairs: Column, buckets: int) -> Column:
+    bucket = lambda x: F.pmod(x, F.lit(buckets)).cast("int")
+    return F.concat(F.transform(hashes, bucket), F.transform(pairs, bucket))
+
 
+def _taken_apart(docs: DataFrame, buckets: int, *more: str) -> DataFrame:
+    """words, windows (hashes of three words) and grams (buckets of words and pairs of words) as columns, behind a
+    generator so that they are computed once for all that read them."""
 
-def _pair(hashes: Column, i: Column) -> Column:
-    return F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1))
+    def parts(words: Column) -> Column:
+        def hashed(h: Column) -> Column:
+            return let(_chained(h, h, 1), lambda pairs: F.struct(words.alias("words"), _chained(pairs, h, 2).alias("windows"), _grams(h, pairs, buckets).alias("grams")))
 
+        return let(F.transform(words, lambda x: F.xxhash64(x)), hashed)
 
-def _with_words(docs: DataFrame, *more: str) -> DataFrame:
-    """The columns words and hashes, behind a generator so that they are computed once for all that read them."""
-    both = let(words_of(F.col("text")), lambda w: F.struct(w.alias("words"), F.transform(w, lambda x: F.xxhash64(x)).alias("hashes")))
-    return docs.select("doc_id", "text", *more, F.explode(F.array(both)).alias("_w")).select("doc_id", "text", *more, "_w.words", "_w.hashes")
+    once = docs.select("doc_id", "text", *more, F.explode(F.array(let(words_of(F.col("text")), parts))).alias("_w"))
+    return once.select("doc_id", "text", *more, "_w.words", "_w.windows", "_w.grams")
 
 
 def gram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row, one array: for each bucket the log of its share in trusted documents over its share in all, add-one smoothed."""
     marked = docs.join(trusted.withColumn("trusted", F.lit(1)), "doc_id", "left")
-    h = F.col("hashes")
-    grams = F.concat(F.transform(h, lambda x: _bucket(x, buckets)), F.transform(_upto(F.size(h) - 1), lambda i: _bucket(_pair(h, i), buckets)))
-    each = _with_words(marked, "trusted").select("trusted", F.explode(grams).alias("b"))
+    grams = let(F.transform(words_of(F.col("text")), lambda x: F.xxhash64(x)), lambda h: _grams(h, _chained(h, h, 1), buckets))
+    each = marked.select("trusted", F.explode(grams).alias("b"))
     counts = each.groupBy("b").agg(F.count("*").alias("every"), F.count("trusted").alias("target"))
     full = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(F.broadcast(counts), "b", "left").fillna(0)  # a row a bucket
     array = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("b", c))), lambda x: x[c])
@@ -105,11 +106,9 @@ def gram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
     return total.select(F.when(F.col("nt") > 0, weight).otherwise(F.transform("e", lambda _: F.lit(0.0))).alias("weights"))
 
 
-def _ratio(buckets: int) -> Column:
-    h, weights = F.col("hashes"), F.col("weights")
-    single = F.aggregate(h, F.lit(0.0), lambda acc, x: acc + F.get(weights, _bucket(x, buckets)))
-    double = F.aggregate(_upto(F.size(h) - 1), F.lit(0.0), lambda acc, i: acc + F.get(weights, _bucket(_pair(h, i), buckets)))
-    return F.when(F.size(h) > 0, (single + double) / (2 * F.size(h) - 1)).otherwise(0.0)
+def _ratio() -> Column:
+    total = F.aggregate("grams", F.lit(0.0), lambda acc, g: acc + F.get(F.col("weights"), g))
+    return F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0)
 
 
 def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, lost: float = LOST, step: float = STEP) -> DataFrame:
@@ -120,7 +119,7 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, lost: floa
     weights = materialise(gram_weights(docs, trusted.where(even), buckets))  # one row, read by both passes below
 
     def rated(some: DataFrame, statistics: list[Column]) -> DataFrame:
-        found = _with_words(some.withColumn("weights", weights.scalar()), "weights").select("doc_id", *statistics, _ratio(buckets).alias("ratio"))
+        found = _taken_apart(some.withColumn("weights", weights.scalar()), buckets, "weights").select("doc_id", *statistics, _ratio().alias("ratio"))
         return found.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
     sample = rated(docs.join(trusted.where(~even), "doc_id", "left_semi"), [c for c in base_statistics(F.col("text"))]).where("NOT base_failed")
