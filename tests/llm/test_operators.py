@@ -448,3 +448,18 @@ def test_first_shingles_agree_with_the_similarity():
         b[rng.randrange(200)] = "x"
         hits += [x == y for x, y in zip(simhash.sketch(" ".join(a).encode())[1], simhash.sketch(" ".join(b).encode())[1])]
     assert 0.9 < np.mean(hits) < 0.99  # five of 196 shingles differ: a Jaccard similarity of 0.95
+
+
+def test_empty_tables(spark):
+    import public_tokenizers
+
+    none, labels = docs(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality_rules.judge(none, labels).count() == 0
+    assert token_count.token_counts(none, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+    assert suffix_dedup.dedup(none).count() == 0
+    assert toxicity.scores(none, toxicity.fit(none, labels)).count() == 0
+    assert chat_format.preference_pairs(chat_format.neighbours(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+    assert secret_scan.scan(none).count() == 0
+    assert simhash.near_duplicates(none).count() == 0 and simhash.alike(none).count() == 0
+    assert quality_classifier.scores(none, quality_classifier.fit(none, labels)).count() == 0
+
