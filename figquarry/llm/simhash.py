@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise
+from .common import id_and_text, materialise, small_side
 from .components import components
 
 RADIUS = 2
@@ -176,6 +176,8 @@ def hexadecimal(fp: str):
 WIDTH = 256
 KEYS = 8
 LEVELS = 3
+BLOCK_LIMIT = 1024
+BLOCK_SHINGLES = 8_000_000
 _MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) | 1 for k in range(KEYS + WIDTH // 64)], np.uint64)
 
 
@@ -185,18 +187,26 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return x * np.uint64(0xBF58476D1CE4E5B9) ^ (x >> np.uint64(32))
 
 
+def shingle_set(text: bytes, shingle_words: int = 5) -> np.ndarray:
+    """The hashes of the distinct word shingles, ascending. Texts of fewer words are one shingle; one without words has none."""
+    from xxhash import xxh64_digest
+
+    words = text.lower().split()
+    n = max(1, len(words) - shingle_words + 1) if words else 0
+    return np.unique(np.frombuffer(b"".join([xxh64_digest(b" ".join(words[i : i + shingle_words])) for i in range(n)]), np.uint64))
+
+
 def sketch(text: bytes, shingle_words: int = 5) -> tuple[bytes, list[int]]:
     """A 256-bit SimHash of the set of word shingles, and for each of eight orders of all shingles the first one there is.
 
-    Texts of fewer words are one shingle; a text without words has a fingerprint of zeros and zero for keys.
+    A text without words has a fingerprint of zeros and zero for keys.
     """
-    from xxhash import xxh64_digest
+    return _sketch_of(shingle_set(text, shingle_words))
 
-    words = text.lower().split()
-    if not words:
+
+def _sketch_of(h: np.ndarray) -> tuple[bytes, list[int]]:
+    if not len(h):
         return bytes(WIDTH // 8), [0] * KEYS
-    n = max(1, len(words) - shingle_words + 1)
-    h = np.unique(np.frombuffer(b"".join([xxh64_digest(b" ".join(words[i : i + shingle_words])) for i in range(n)]), np.uint64))
     keys = [int(h[_mixed(h, k).argmin()].view(np.int64)) for k in range(KEYS)]
     total = np.zeros(WIDTH, np.int64)
     for at in range(0, len(h), 1 << 14):
@@ -207,29 +217,62 @@ def sketch(text: bytes, shingle_words: int = 5) -> tuple[bytes, list[int]]:
 
 
 def radius_for(similarity: float) -> int:
-    """How many of WIDTH bits two sets of that Jaccard similarity differ in: the mean, and two standard deviations on top."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return round(WIDTH * p + 2 * (WIDTH * p * (1 - p)) ** 0.5)
+    """How many of WIDTH bits two sets of that Jaccard similarity differ in at most: the mean, and seven standard deviations on top.
 
-
-def alike(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+    Seven, as in sets of four and five shingles a bit differs more often than the angle says (3 of 16, not 2.4).
+    """
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return round(WIDTH * p + 7 * (WIDTH * p * (1 - p)) ** 0.5)
+
+
+def _verified(bits: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int) -> Iterator[tuple[int, int]]:
+    """Pairs of places whose sets have that Jaccard similarity; their components are those of all such pairs within the radius."""
+    label, size = np.arange(len(sets)), np.array([len(s) for s in sets])
+    for x in range(1, len(sets)):
+        apart = np.bitwise_count(bits[:x] ^ bits[x]).sum(axis=1, dtype=np.int64)
+        shorter = np.minimum(size[:x], size[x]) / np.maximum(1, np.maximum(size[:x], size[x]))
+        near = np.flatnonzero((apart <= radius) & (shorter >= similarity))
+        near = near[np.argsort(apart[near], kind="stable")]
+        while len(near):
+            y, near = near[0], near[1:]
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if both / (size[x] + size[y] - both) >= similarity:
+                yield x, int(y)
+                label[label == label[x]] = label[y]
+                near = near[label[near] != label[x]]
+
+
+def alike(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, shard_limit: int = SHARD_LIMIT, block_limit: int = BLOCK_LIMIT) -> DataFrame:
     """doc_id, component_id: near copies by shingle similarity; component_id is the smallest doc_id reachable.
 
-    Fingerprints that differ in radius_for(similarity) bits at most are linked, if they stand in a common shard: one of
-    eight shards of a document is that of the first of its shingles in an order of all (two documents share it with
-    their similarity as probability, so at 0.8 all eight fail once in 400,000 pairs). A shard above the limit, as a
-    shingle of many unlike documents makes it, is dealt anew by the next three orders, LEVELS times at most. A null
-    doc_id has a null component and no links.
+    Two documents are linked if the Jaccard similarity of their sets of shingles is `similarity` or more; it is taken
+    from the sets themselves. Sketches only say which pairs to look at: those that differ in radius_for(similarity) bits
+    at most and stand in a common shard. One of eight shards of a document is that of the first of its shingles in an
+    order of all (two documents share it with their similarity as probability, so at 0.8 all eight fail once in 400,000
+    pairs). A shard above the limit, as a shingle of many unlike documents makes it, is dealt anew by the next three
+    orders, LEVELS times at most. Documents that sketches join are brought together with their sets in one task, or
+    in one task for each two blocks of them if they are more than block_limit, and only there are links made. A null
+    doc_id has a null component and no links; rows that share a doc_id are one document.
     """
 
+    def digest(h: np.ndarray) -> bytes:
+        from xxhash import xxh3_128_digest
+
+        return xxh3_128_digest(h.tobytes())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(t.as_py() or b"", shingle_words) for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
-
-    prints = materialise(id_and_text(docs).mapInArrow(run, "doc_id long, fp binary, keys array<long>"))
-    # one row for each set of copies, named by its smallest doc_id
-    reps = materialise(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys")))
+            found = []
+            for t in batch.column(1).cast(pa.binary()):
+                h = shingle_set(t.as_py() or b"", shingle_words)
+                found.append((digest(h), *_sketch_of(h), len(h)))
+            kinds = (pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds))], ["doc_id", "same", "fp", "keys", "shingles"])
+
+    prints = materialise(id_and_text(docs).mapInArrow(run, "doc_id long, same binary, fp binary, keys array<long>, shingles long"))
+    # one row for each set of copies (equal sets of shingles), named by its smallest doc_id
+    firsts = [F.min(x).alias(x) for x in ("fp", "keys", "shingles")]
+    reps = materialise(prints.where("doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("rep"), *firsts))
     shards = reps.select("rep", "fp", "keys", F.posexplode("keys").alias("k", "key")).select("rep", "fp", "keys", "k", F.xxhash64("k", "key").alias("shard"))
     radius, ready = radius_for(similarity), None
     for level in range(LEVELS + 1):
@@ -258,13 +301,55 @@ def alike(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, shar
                 if shard != held_shard:
                     close()
                     held_shard, values = shard, {}
-                values[int.from_bytes(fp, "big")] = rep
+                if (first := values.setdefault(int.from_bytes(fp, "big"), rep)) != rep:
+                    found.append((first, rep))  # unlike sets, the same sketch
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
             found.clear()
         close()
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    roots = components(dealt.mapInArrow(trees, "a long, b long"))
-    named = reps.select("fp", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    known = prints.where("doc_id IS NOT NULL").join(named, "fp").select("doc_id", "component_id")
+    # what sketches join, each with the number of its group's blocks; BLOCK_SHINGLES bounds a task's memory where documents are long
+    joined = components(dealt.mapInArrow(trees, "a long, b long"))
+    grouped = materialise(reps.join(joined, F.col("rep") == F.col("node"), "left").select("rep", "same", "shingles", F.coalesce("root", "rep").alias("group")))
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(block_limit), F.sum("shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
+    sizes = grouped.groupBy("group").agg(F.count("*").alias("n"), blocks.alias("blocks")).where("n > 1").drop("n")
+    members = materialise(grouped.join(sizes, "group").select("rep", "same", "group", "blocks"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, rep, same, group, n in zip(batch.column(0).cast(pa.binary()), *(c.to_pylist() for c in batch.columns[1:])):
+                h = shingle_set(text.as_py() or b"", shingle_words)
+                if digest(h) == same:  # not another text with the same doc_id
+                    rows.append((rep, group, n, _sketch_of(h)[0], h.tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], ["rep", "group", "blocks", "fp", "shingles"])
+
+    texts = id_and_text(docs).join(small_side(members), F.col("doc_id") == F.col("rep")).select("text", "rep", "same", "group", "blocks")
+    held = texts.mapInArrow(sets, "rep long, group long, blocks int, fp binary, shingles binary")
+    own = F.pmod(F.xxhash64("rep", "fp"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    spread = held.withColumn("own", own).select("rep", "group", "fp", "shingles", "own", other)
+    tasks = spread.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "fp", "shingles")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_task, values = None, {}
+
+        def close() -> pa.RecordBatch:
+            reps, arrays = [k[0] for k in values], [np.frombuffer(k[1], np.uint64) for k in values]
+            bits = np.frombuffer(b"".join(values.values()), np.uint64).reshape(-1, WIDTH // 64)
+            found = [(reps[x], reps[y]) for x, y in _verified(bits, arrays, similarity, radius)]
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for *task, rep, fp, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+                if task != held_task:
+                    yield close()
+                    held_task, values = task, {}
+                values[rep, shingles] = fp
+        yield close()
+
+    roots = components(tasks.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "rep").mapInArrow(verify, "a long, b long"))
+    named = reps.select("same", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("root", "rep").alias("component_id"))
+    known = prints.where("doc_id IS NOT NULL").join(named, "same").select("doc_id", "component_id")
     return known.union(prints.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("component_id")))

@@ -440,6 +440,34 @@ def test_alike(spark, limit):
     assert got[None] is None and got[7] == got[8] == 7 and got[1] == got[2] == got[3] == 1
 
 
+@pytest.mark.parametrize("blocks", [1024, 2])
+def test_alike_is_exact_at_the_similarity(spark, blocks):
+    rows = []
+    for k in range(60):  # the beginning of a text: 4 of 5 shingles are exactly 0.8, one shingle less isn't
+        n = 5 * (k + 1)
+        words = [f"w{k}x{i}" for i in range(n + 4)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words[: n * 4 // 5 + 4]))]
+        rows += [(10 * k + 2, " ".join(w + "b" for w in words)), (10 * k + 3, " ".join(w + "b" for w in words[: n * 4 // 5 + 3]))]
+    rng = random.Random(8)
+    for k in range(30):  # similarities all over 0.5 to 1, chains among them
+        words = [f"v{k}x{i}" for i in range(200)]
+        for c in range(5):
+            for _ in range(3):
+                words[rng.randrange(200)] = f"c{k}x{c}x{rng.randrange(1000)}"
+            rows.append((1000 + 10 * k + c, " ".join(words)))
+    sets = {i: {tuple(w[j : j + 5]) for w in [t.split()] for j in range(max(1, len(w) - 4))} for i, t in rows}
+    root = {i: i for i in sets}
+    for family in ([i for i in sets if i // 10 == f] for f in sorted({i // 10 for i in sets})):
+        for a in family:
+            for b in family:
+                if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                    low, high = sorted((root[a], root[b]))
+                    root = {i: low if r == high else r for i, r in root.items()}
+    got = {r.doc_id: r.component_id for r in simhash.alike(docs(spark, rows), block_limit=blocks).collect()}
+    assert got == root
+    assert {root[10 * k + 1] for k in range(60)} == {10 * k for k in range(60)} and root[33] == 33
+
+
 def test_first_shingles_agree_with_the_similarity():
     rng, hits = random.Random(5), []
     for k in range(60):
