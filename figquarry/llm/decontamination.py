@@ -133,8 +133,8 @@ class Index:
             cover = np.zeros(len(ids), bool)
             for p in starts:
                 cover[p : p + self.least] = True
-            if len(np.intersect1d(ids[cover], words)) < min_coverage * len(np.unique(words)) * min_coverage:
-                continue  # too few of its words are there at all
+            if np.isin(words, ids[cover]).sum() < min_coverage * len(words):
+                continue  # tiles lie on places of the item whose words are there
             edges = np.flatnonzero(np.diff(np.concatenate([[0], cover, [0]])))
             runs = [x for a, b in zip(edges[::2], edges[1::2]) for x in (ids[a:b], [0])]
             found = tiles(words, np.concatenate(runs), self.least)

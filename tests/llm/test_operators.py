@@ -249,6 +249,24 @@ def test_leaks(spark):
     assert decontamination.leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_leaks_of_repetitive_items(spark):
+    rest = prose(40, 40, vocabulary=4000)
+    items = [(1, "yes no " * 30 + rest), (2, "1 0 0 1 1 " * 12 + rest.upper() + " more"), (3, "a b c d " * 5 + rest)]
+    rows = [(1, "so: " + "yes no " * 30), (2, "1 0 0 1 1 " * 12 + "other words here"), (3, "a b c d " * 5 + "end")]
+    want = set()
+    for i, text in rows:
+        for k, item in items:
+            a, b = (decontamination._WORD.findall(t.lower()) for t in (item, text))
+            number = {w: n for n, w in enumerate(dict.fromkeys(a + b), 1)}
+            covered = sum(n for *_, n in greedy([number[w] for w in a], [number[w] for w in b], 5))
+            if covered >= 0.6 * len(a):
+                want.add((i, k, covered, len(a)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert rows_of(decontamination.leaks(docs(spark, rows), bench), "doc_id", "item_id", "covered_words", "item_words") == Counter(want)
+    assert (1, 1, 60, 100) in want
+    assert [r.doc_id for r in decontamination.without_leaks(docs(spark, rows), bench).collect()] == sorted({i for i, _ in rows} - {i for i, *_ in want})
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
