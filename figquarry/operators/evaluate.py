@@ -118,7 +118,7 @@ def usage_cost(df: DataFrame, keys: list[str], prices: DataFrame) -> DataFrame:
     """Calls, calls with known usage, tokens, cost by price per million (columns in_price, out_price), cost scaled to all calls."""
     sums = df.groupBy(*keys).agg(F.count("*").alias("calls"), F.count("input_tokens").alias("known"), F.sum("input_tokens").alias("tokens_in"), F.sum("output_tokens").alias("tokens_out"))
     cost = (F.col("tokens_in") * F.col("in_price") + F.col("tokens_out") * F.col("out_price")) / 1e6
-    priced = sums.join(F.broadcast(prices.limit(10_000)), [k for k in keys if k in prices.columns])
+    priced = sums.join(prices, [k for k in keys if k in prices.columns])
     return priced.select(*keys, "calls", "known", "tokens_in", "tokens_out", (F.col("calls") == F.col("known")).alias("exact"), cost.alias("cost"), F.when(F.col("known") > 0, cost * F.col("calls") / F.col("known")).alias("scaled_cost"))
 
 

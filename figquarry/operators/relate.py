@@ -89,11 +89,11 @@ def assign_ids(known: DataFrame, keys: DataFrame, key: str, number: str = "numbe
 
 
 def assign_pool(items: DataFrame, pool: DataFrame, item: str, value: str) -> DataFrame:
-    """The k-th item gets the pool's k mod n-th value, both in keyed order. The pool is a small table."""
+    """The k-th item gets the pool's k mod n-th value, both in keyed order."""
     n = pool.agg(F.count("*").alias("_n"))
     p = pool.withColumn("_p", F.row_number().over(Window.orderBy(keyed_order(value), value)) - 1).select(value, "_p")
     k = items.withColumn("_k", F.row_number().over(Window.orderBy(keyed_order(item), item)) - 1).crossJoin(F.broadcast(n))
-    return k.withColumn("_p", F.col("_k") % F.col("_n")).join(F.broadcast(p.limit(100_000)), "_p").drop("_p", "_k", "_n")
+    return k.withColumn("_p", F.col("_k") % F.col("_n")).join(p, "_p").drop("_p", "_k", "_n")
 
 
 def weighted_choice(u, choices: list[tuple[str, float]]) -> Column:

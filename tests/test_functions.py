@@ -213,3 +213,19 @@ def test_question_tree(spark):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "k string, a double, b double")
     assert E.log_ratio_summary(empty, ["k"], "a", "b").count() == 0 and E.top_counts(empty, "k").count() == 0 and E.density(empty, "a", 0.0, 1.0, 4).count() == 4
+
+
+def test_assign_pool_keeps_every_item(spark):
+    n, items = 100_050, 200_200
+    got = R.assign_pool(spark.range(items).withColumnRenamed("id", "item"), spark.range(n).withColumnRenamed("id", "value"), "item", "value").collect()
+    order = lambda m: sorted(range(m), key=lambda i: ((i * 7919 + 104729) % 1_000_003, i))
+    pool = order(n)
+    assert {r.item: r.value for r in got} == {i: pool[k % n] for k, i in enumerate(order(items))} and len(got) == items
+
+
+def test_usage_cost_keeps_every_priced_key(spark):
+    n = 10_050
+    calls = spark.range(2 * n).select((F.col("id") % n).alias("model"), F.lit(10).alias("input_tokens"), F.lit(1).alias("output_tokens"))
+    prices = spark.range(n).select(F.col("id").alias("model"), F.lit(1e6).alias("in_price"), F.lit(2e6).alias("out_price"))
+    got = E.usage_cost(calls, ["model"], prices).collect()
+    assert sorted(r.model for r in got) == list(range(n)) and {r.cost for r in got} == {24.0}
