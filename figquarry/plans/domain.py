@@ -227,6 +227,14 @@ def cer(t):
     return w.where((F.length("b") > 0) & ascii).select("conv_id", r(S.cer("a", "b")).alias("cer"))
 
 
+@query()
+def cer_whole(t):
+    """F5, on whole texts in any script (without SQL: the SQL engine counts bytes)"""
+    first = lambda k: F.min(F.when(F.col("turn") == k, F.col("text")))
+    w = t("conversations").groupBy("conv_id").agg(first(0).alias("a"), first(1).alias("b"))
+    return w.where(F.col("a").isNotNull() & (F.length("b") > 0)).select("conv_id", r(S.cer("a", "b")).alias("cer"))
+
+
 @query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 42.0 * 60 WHEN 1 THEN 0.85 * 3600 WHEN 2 THEN 3.0 WHEN 4 THEN 7200.0 END::DOUBLE AS arcsec FROM part""")
 def angle_parse(t):
     """M11"""

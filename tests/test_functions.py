@@ -215,6 +215,24 @@ def test_empty_tables(spark):
     assert E.log_ratio_summary(empty, ["k"], "a", "b").count() == 0 and E.top_counts(empty, "k").count() == 0 and E.density(empty, "a", 0.0, 1.0, 4).count() == 4
 
 
+def test_cer_of_whole_texts(spark, tmp_path):
+    from figquarry.plans import QUERIES
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    texts = {1: ("same start " * 8 + "one end", "same start " * 8 + "another"), 2: ("größer als 3 µm", "grosser als 3 um"), 3: ("天の川 😀", "天の河"), 4: ("x", ""), 5: (None, "y"), 6: ("", "reference"), 7: ("kitten", "sitting")}
+    rows = [(k, turn, "user", text) for k, pair in texts.items() for turn, text in enumerate((*pair, "a later turn"))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r.cer for r in QUERIES["cer_whole"](spark, str(tmp_path)).collect()}
+    assert got == {k: round(100 * distance(a, b) / len(b), 6) for k, (a, b) in texts.items() if a is not None and b}
+
+
 def test_assign_pool_keeps_every_item(spark):
     n, items = 100_050, 200_200
     got = R.assign_pool(spark.range(items).withColumnRenamed("id", "item"), spark.range(n).withColumnRenamed("id", "value"), "item", "value").collect()
