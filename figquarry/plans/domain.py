@@ -388,9 +388,12 @@ def linear_field(t):
 
 @query()
 def gbt_oof(t):
-    """Out-of-fold predictions of a binary label by three features"""
-    e = t("embeddings").select(F.col("vec_id"), (F.col("label") % 2).alias("label"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(3)])
-    return G.confusion(G.out_of_fold(e, "label", "vec_id", ["f0", "f1", "f2"], folds=3, trees=3), "label", "predicted")
+    """Out-of-fold predictions of a binary label by the whole embedding"""
+    e = t("embeddings")
+    width = e.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
+    names = [f"f{i}" for i in range(width)]
+    e = e.select(F.col("vec_id"), (F.col("label") % 2).alias("label"), *[F.get("embedding", F.lit(i)).cast("double").alias(name) for i, name in enumerate(names)])
+    return G.confusion(G.out_of_fold(e, "label", "vec_id", names), "label", "predicted")
 
 
 @query("""WITH x AS (SELECT c_mktsegment AS model, CAST(c_custkey * 31 % 180 AS DOUBLE) + 0.25 AS sep FROM customer)

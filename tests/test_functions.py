@@ -215,6 +215,18 @@ def test_empty_tables(spark):
     assert E.log_ratio_summary(empty, ["k"], "a", "b").count() == 0 and E.top_counts(empty, "k").count() == 0 and E.density(empty, "a", 0.0, 1.0, 4).count() == 4
 
 
+def test_boosted_trees_see_the_whole_embedding(spark, tmp_path):
+    import random
+
+    from figquarry.plans import QUERIES
+
+    rng = random.Random(3)
+    rows = [(k, k % 2, [rng.random() for _ in range(63)] + [k % 2 + rng.random() / 2]) for k in range(80)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.label, r.predicted): r.n for r in QUERIES["gbt_oof"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 0): 40, (1, 1): 40}  # only the last dimension tells
+
+
 def test_cer_of_whole_texts(spark, tmp_path):
     from figquarry.plans import QUERIES
 
