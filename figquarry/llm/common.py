@@ -1,9 +1,12 @@
-"""What several operators of this package share: input columns, scratch tables, checked broadcasts."""
+"""What several operators of this package share: input columns, scratch tables, checked broadcasts, a worker's memory."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,16 @@ from pyspark.sql import functions as F
 #: Rows of a table with two narrow columns up to which it may be broadcast (some 50 MB); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
+#: Bytes of rows that go to a Python worker at once, unless the session sets its own bound: with long texts Spark's default of rows is too much.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: What a worker remembers of single words: bytes in all (an estimate of keys, values and table), and the longest word kept.
+MEMO_BYTES = 48 << 20
+MEMO_WORD = 64
+_ENTRY_BYTES = 180
+_scratch: set[str] = set()
+_held: list[Any] = [None, None]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -27,7 +40,14 @@ def scratch_dir(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="figquarry-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if own not in _scratch:  # goes when the application ends
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _scratch.add(own)
+    return f"{own}/{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -60,3 +80,48 @@ def with_label(docs: DataFrame, labels: DataFrame, column: str, how: str = "inne
 def remainder(doc_id: str, modulus: int) -> Column:
     """crc32 of doc_id as text, modulo; null ids have none."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
+
+
+def in_arrow(df: DataFrame, run: Callable, schema: Any) -> DataFrame:
+    """df.mapInArrow in batches of at most BATCH_BYTES (or what the session has set)."""
+    if df.sparkSession.conf.get(_BATCH_CONF, None) is None:
+        df.sparkSession.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def held_by_worker(key: tuple, make: Callable[[], Any]) -> Any:
+    """What `make` returns, made once for as long as a worker works for the same operator: a worker holds one such thing."""
+    if _held[0] != key:
+        _held[:] = [None, None]
+        gc.collect()
+        _held[:] = [key, make()]
+    return _held[1]
+
+
+class Memo:
+    """Values of words, remembered within a bound of bytes.
+
+    Two generations: when the younger has half of the bytes, it becomes the older, and what is used again moves up.
+    Words longer than MEMO_WORD are never kept.
+    """
+
+    def __init__(self, limit: int = MEMO_BYTES) -> None:
+        self.limit, self.used = limit, 0
+        self.young: dict[str, Any] = {}
+        self.old: dict[str, Any] = {}
+
+    def values(self, words: Sequence[str], compute: Callable[[list[str]], Iterable[Any]]) -> list[Any]:
+        """The value of each word; compute(new words) gives those that aren't remembered (never None)."""
+        got = list(map(self.young.get, words))
+        if None not in got:
+            return got
+        missing = {w: self.old.get(w) for w, g in zip(words, got) if g is None}
+        new = [w for w, v in missing.items() if v is None]
+        missing |= zip(new, compute(new)) if new else ()
+        for w, v in missing.items():
+            if len(w) <= MEMO_WORD:
+                self.used += _ENTRY_BYTES + 2 * len(w) + (len(v) if isinstance(v, bytes) else 0)
+                self.young[w] = v
+        if self.used > self.limit // 2:
+            self.young, self.old, self.used = {}, self.young, 0
+        return [missing[w] if g is None else g for w, g in zip(words, got)]

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_and_text, in_arrow
+
 MIN_WORDS = 5
 MIN_COVERAGE = 0.6
 BLOCK_ITEMS = 20_000
@@ -170,7 +172,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min
                 names = ("doc_id", "item_id", "n_tiles", "covered_words", "item_words", "coverage")
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names)
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, HITS)
+        part = in_arrow(id_and_text(docs), run, HITS)
         out = part if out is None else out.union(part)
     return out
 
@@ -185,5 +187,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
             for batch in batches:
                 yield batch.filter(pa.array([not shared.value.hits(t.as_py() or "", min_coverage) for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = in_arrow(docs, run, docs.schema)
     return docs

@@ -24,27 +24,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise
+from .common import Memo, held_by_worker, id_and_text, in_arrow, materialise
 
 END_ID = 1
-#: Words whose ids a Python worker keeps in each of two generations (some 150 MB).
-MEMO_WORDS = 700_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, rank long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 # Letters, numbers and white space below U+0180, where lower case keeps lengths and nothing composes.
 _LETTERS, _NUMBERS, _SPACES = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t-\r\x85\xa0"
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
 _OTHER = re.compile("[^\x00-\u012f\u0131-\u017f]|<\\|")
-_encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
     """Text -> ids as little-endian uint32 bytes, by a tokenizers file with word ends (`</w>`).
 
-    That tokenizer works word by word, so the tokenizer itself is asked once for each word a worker meets, many at a
-    time. Words are split here for texts of characters below U+0180; any other text goes to the tokenizer whole.
-    Remembered words form two generations: when the younger is full, it becomes the older, and what is used again
-    moves up.
+    That tokenizer works word by word, so the tokenizer itself is asked once for each word that a worker meets and
+    remembers, many at a time. Words are split here for texts of characters below U+0180; any other text goes to the
+    tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,47 +50,30 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.memo = Memo()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [np.array(e.ids, "<u4").tobytes() for e in batch(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.young) > MEMO_WORDS:
-            self.young, self.old = {}, self.young
-        new = []
-        for w in dict.fromkeys(words):
-            if w not in self.young:
-                if (known := self.old.get(w)) is None:
-                    new.append(w)
-                else:
-                    self.young[w] = known
-        if not new:
-            return
-        joined = self.ids([" ".join(new)])[0]
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of single words, told apart in their ids together by the pieces that end words."""
+        joined = self.ids([" ".join(words)])[0]
         ends = (np.flatnonzero(self.ends[np.frombuffer(joined, "<u4")]) * 4 + 4).tolist()
-        if len(ends) == len(new):
-            self.young |= {w: joined[a:b] for w, a, b in zip(new, [0, *ends], ends)}
-        else:
-            self.young |= dict(zip(new, self.ids(new)))
+        if len(ends) != len(words):
+            return self.ids(words)
+        return [joined[a:b] for a, b in zip([0, *ends], ends)]
 
     def __call__(self, text: str) -> bytes:
         if _OTHER.search(text):
             return self.ids([text])[0]
-        words = _WORD.findall(text.lower())
-        got = list(map(self.young.get, words))
-        if None in got:
-            self.learn(words)
-            got = map(self.young.__getitem__, words)
-        return b"".join(got)
+        return b"".join(self.memo.values(_WORD.findall(text.lower()), self.learn))
 
 
 def encoder(path: str) -> Encoder:
     """The one encoder of a worker for a tokenizer file."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+    return held_by_worker(("packing", path), lambda: Encoder(path))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = END_ID) -> DataFrame:
@@ -117,7 +96,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
             cols = zip(*rows) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
-    return id_and_text(docs).mapInArrow(run, PIECES)
+    return in_arrow(id_and_text(docs), run, PIECES)
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -208,7 +187,7 @@ def pack(cut: DataFrame, capacity: int = 4096) -> DataFrame:
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    return ranked.mapInArrow(place, PLACED)
+    return in_arrow(ranked, place, PLACED)
 
 
 def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = END_ID) -> DataFrame:

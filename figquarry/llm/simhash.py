@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise, small_side
+from .common import id_and_text, in_arrow, materialise, small_side
 from .components import components
 
 RADIUS = 2
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3, seed: int = 42) -> Dat
             texts = batch.column(1).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py() or b"", shingle_words, seed) for t in texts], pa.int64())], ["doc_id", "fp"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return in_arrow(id_and_text(docs), run, "doc_id long, fp long")
 
 
 class BKTree:
@@ -151,7 +151,7 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT)
         if ready:
             yield out(ready)
 
-    return shards.mapInArrow(run, "a long, b long")
+    return in_arrow(shards, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int = 3, seed: int = 42, shard_limit: int = SHARD_LIMIT) -> DataFrame:
@@ -177,7 +177,9 @@ WIDTH = 256
 KEYS = 8
 LEVELS = 3
 BLOCK_LIMIT = 1024
-BLOCK_SHINGLES = 8_000_000
+BLOCK_SHINGLES = 2_000_000
+#: Rows (of four narrow columns) up to which what says which texts to compare may be broadcast: some 40 MB.
+MEMBER_ROWS = 400_000
 _MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) | 1 for k in range(KEYS + WIDTH // 64)], np.uint64)
 
 
@@ -270,7 +272,7 @@ def alike(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, shar
             kinds = (pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds))], ["doc_id", "same", "fp", "keys", "shingles"])
 
-    prints = materialise(id_and_text(docs).mapInArrow(run, "doc_id long, same binary, fp binary, keys array<long>, shingles long"))
+    prints = materialise(in_arrow(id_and_text(docs), run, "doc_id long, same binary, fp binary, keys array<long>, shingles long"))
     # one row for each set of copies (equal sets of shingles), named by its smallest doc_id
     firsts = [F.min(x).alias(x) for x in ("fp", "keys", "shingles")]
     reps = materialise(prints.where("doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("rep"), *firsts))
@@ -310,7 +312,7 @@ def alike(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, shar
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     # what sketches join, each with the number of its group's blocks; BLOCK_SHINGLES bounds a task's memory where documents are long
-    joined = components(dealt.mapInArrow(trees, "a long, b long"))
+    joined = components(in_arrow(dealt, trees, "a long, b long"))
     grouped = materialise(reps.join(joined, F.col("rep") == F.col("node"), "left").select("rep", "same", "shingles", F.coalesce("root", "rep").alias("group")))
     blocks = F.ceil(F.greatest(F.count("*") / F.lit(block_limit), F.sum("shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
     sizes = grouped.groupBy("group").agg(F.count("*").alias("n"), blocks.alias("blocks")).where("n > 1").drop("n")
@@ -326,8 +328,8 @@ def alike(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, shar
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], ["rep", "group", "blocks", "fp", "shingles"])
 
-    texts = id_and_text(docs).join(small_side(members), F.col("doc_id") == F.col("rep")).select("text", "rep", "same", "group", "blocks")
-    held = texts.mapInArrow(sets, "rep long, group long, blocks int, fp binary, shingles binary")
+    texts = id_and_text(docs).join(small_side(members, MEMBER_ROWS), F.col("doc_id") == F.col("rep")).select("text", "rep", "same", "group", "blocks")
+    held = in_arrow(texts, sets, "rep long, group long, blocks int, fp binary, shingles binary")
     own = F.pmod(F.xxhash64("rep", "fp"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     spread = held.withColumn("own", own).select("rep", "group", "fp", "shingles", "own", other)
@@ -350,7 +352,7 @@ def alike(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, shar
                 values[rep, shingles] = fp
         yield close()
 
-    roots = components(tasks.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "rep").mapInArrow(verify, "a long, b long"))
+    roots = components(in_arrow(tasks.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "rep"), verify, "a long, b long"))
     named = reps.select("same", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("root", "rep").alias("component_id"))
     known = prints.where("doc_id IS NOT NULL").join(named, "same").select("doc_id", "component_id")
     return known.union(prints.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("component_id")))

@@ -5,7 +5,7 @@ the best score and how many pieces it took - no back pointers, no pieces. Tie ru
 library's Unigram model: starts are taken in order, shorter pieces first, and a later path wins only by a strictly
 higher score; where no one-character piece starts, an unknown piece of score min - 10 may; unknown neighbours are one
 token. Words are split at white space and carry the word mark in front, so pieces never join across words, and a
-worker searches each word only once as long as it remembers it.
+worker searches each word only once as long as it remembers it (within a bound of bytes; long words aren't kept).
 
 The vocabulary is the list of pieces of a public tokenizer file; as that is no unigram file, a piece's score is the
 Zipf estimate -ln(rank + 1) of its rank there. Byte-fallback and control pieces aren't matched.
@@ -21,12 +21,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text
+from .common import Memo, held_by_worker, id_and_text, in_arrow
 
 MARK = "▁"
-MEMO_WORDS = 1_000_000
 UNKNOWN_PENALTY = 10.0
-_counters: dict[str, WordCounter] = {}
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -44,7 +42,7 @@ class WordCounter:
     def __init__(self, vocab: list[tuple[str, float]], unknown: int = 0) -> None:
         import ahocorasick
 
-        self.automaton, self.memo = ahocorasick.Automaton(), {}
+        self.automaton, self.memo = ahocorasick.Automaton(), Memo()
         for k, (piece, score) in enumerate(vocab):
             if k != unknown and piece:
                 self.automaton.add_word(piece, (len(piece), score))
@@ -75,24 +73,16 @@ class WordCounter:
     def text(self, text: str) -> tuple[int, int]:
         """(tokens, words) of a text."""
         words = text.split()
-        got = list(map(self.memo.get, words))
-        if None in got:
-            if len(self.memo) > MEMO_WORDS:
-                self.memo.clear()
-            for w in words:
-                if w not in self.memo:
-                    self.memo[w] = self.search(MARK + w)
-            got = map(self.memo.__getitem__, words)
-        return sum(got), len(words)
+        return sum(self.memo.values(words, lambda new: [self.search(MARK + w) for w in new])), len(words)
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id, n_words, n_tokens: a row for each document. Workers read the vocabulary file once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counters.get(vocabulary_path) or _counters.setdefault(vocabulary_path, WordCounter(vocabulary(vocabulary_path)))
+        counter = held_by_worker(("token_count", vocabulary_path), lambda: WordCounter(vocabulary(vocabulary_path)))
         for batch in batches:
             rows = [counter.text(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return in_arrow(id_and_text(docs), run, "doc_id long, n_words long, n_tokens long")
