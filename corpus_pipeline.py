@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from figquarry.llm import decontamination, packing, secret_scan, simhash, toxicity
-from figquarry.llm.common import materialise, table
+from figquarry.llm.common import materialise, small_side, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,14 +21,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near copies (five-word shingles, similarity of 0.8) the row with the smallest doc_id; of rows that share it, one.
 
-    Rows without doc_id are in no group: of those, equal texts are kept once.
+    Of those, it is the row whose text has the least hash, then the least text. Rows without doc_id are in no group: of
+    those, equal texts are kept once.
     """
     found = simhash.alike(docs, similarity=0.8, shingle_words=5)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    once = kept.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row")).select("doc_id", "_row.*").select(*docs.columns)
-    return once.union(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+    keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
+    kept = docs.join(small_side(keep), F.col("doc_id").cast("long") == F.col("_kept"))
+    alone = kept.where("_rows = 1").select(docs.columns)
+    # only rows whose doc_id repeats are brought together
+    shared = kept.where("_rows > 1").groupBy("_kept").agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), "text")).alias("_row")).select("_row.*")
+    lost = docs.where("doc_id IS NULL")
+    return alone.union(shared).union(lost.groupBy(F.xxhash64("text"), "text").agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
