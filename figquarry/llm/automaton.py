@@ -137,6 +137,16 @@ class _Nfa:
         self.moves.append([])
         return len(self.free) - 1
 
+    def turned(self) -> _Nfa:
+        """The automaton with every edge the other way."""
+        out = _Nfa([[] for _ in self.free], [[] for _ in self.moves])
+        for s, (free, moves) in enumerate(zip(self.free, self.moves)):
+            for t in free:
+                out.free[t].append(s)
+            for members, t in moves:
+                out.moves[t].append((members, s))
+        return out
+
 
 @dataclass
 class Automaton:
@@ -150,14 +160,19 @@ class Automaton:
     accepts: int
     rules: dict[int, tuple[int, ...]]
 
-    def seen(self, data: bytes) -> set[int]:
-        """The rules that end a match somewhere in data: one pass (for an automaton made with anchored=False)."""
-        s, table, accepts, hits = self.start, self.table, self.accepts, set()
-        for c in data.translate(self.classes):
+    def starts(self, data: bytes) -> dict[int, list[int]]:
+        """By rule, where in data a match starts, ascending: one pass from the last byte to the first (for an automaton
+        made with anchored=False, backward=True)."""
+        s, table, accepts, hits = self.start, self.table, self.accepts, []
+        for i, c in enumerate(reversed(data.translate(self.classes)), 1):
             s = table[s + c]
             if s >= accepts:
-                hits.add(s)
-        return {r for s in hits for r in self.rules[s]}
+                hits.append((i, s))
+        found: dict[int, list[int]] = {}
+        for i, s in reversed(hits):
+            for rule in self.rules[s]:
+                found.setdefault(rule, []).append(len(data) - i)
+        return found
 
     def longest(self, coded: bytes, at: int) -> int:
         """The end of the longest match that starts at `at` of data that has been translated by classes, or -1."""
@@ -171,14 +186,19 @@ class Automaton:
         return end
 
 
-def build(rules: list[tuple[str, bool]], anchored: bool) -> Automaton:
-    """rules: (pattern, ignore case). anchored: matches start at the first byte read, else at any byte."""
-    nfa = _Nfa()
-    start, ends = nfa.state(), {}
-    for k, (pattern, ignore_case) in enumerate(rules):
+def build(rules: list[tuple[str, bool]], anchored: bool, backward: bool = False) -> Automaton:
+    """rules: (pattern, ignore case). anchored: matches start at the first byte read, else at any byte. backward: the
+    automaton reads texts from their end; then it accepts where matches start."""
+    nfa, ends = _Nfa(), {}
+    fragments = []
+    for pattern, ignore_case in rules:
         parser = _Parser(pattern, ignore_case, nfa)
-        a, b = parser.alternatives()
+        fragments.append(parser.alternatives())
         assert parser.i == len(pattern), pattern
+    if backward:
+        nfa, fragments = nfa.turned(), [(b, a) for a, b in fragments]
+    start = nfa.state()
+    for k, (a, b) in enumerate(fragments):
         nfa.free[start].append(a)
         ends[b] = k
     kinds: dict[tuple, int] = {}

@@ -1,8 +1,10 @@
 """Secret scans: all rules in one deterministic automaton, one pass over the bytes of each text.
 
-The pass tells which rules occur in a text. For those alone, spans are taken by the rule's own automaton: leftmost,
-longest, not overlapping within a kind; a span whose strict form (minimum lengths) fails is dropped after it has
-taken its place. Offsets are code points, ends exclusive.
+The combined automaton reads a text once, from its last byte to its first, and accepts, rule by rule, wherever a match
+starts. A span then reaches from the leftmost start that lies in no earlier span of its kind to the end of the longest
+match there, for which only the bytes of the span are read, by the rule's own automaton. So time is linear in the
+text whatever stands in it. A span whose strict form (minimum lengths) fails is dropped after it has taken its place.
+Offsets are code points, ends exclusive.
 
 Defined results: null and empty texts have no spans; repeated rows give repeated results; a null doc_id is kept.
 """
@@ -17,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .automaton import Automaton, build
-from .common import id_and_text
+from .common import id_and_text, in_arrow
 
-# Fixed values: (kind, pattern, strict pattern, ignore case). The first three are the base kinds.
+# Fixed values: (kind, pattern, strict pattern, ignore case). The first three are the base kinds. Matches of access and
+# hex are whole runs, so where a strict one starts, the pattern's own match can't have started later.
 _ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]"""
 RULES = [
     ("assign", _ASSIGN + "+", _ASSIGN + "{6,}", True),
@@ -33,30 +36,28 @@ RULES = [
 BASE = 3
 
 
+_RUNS = {"access", "hex"}
+
+
 class Scanner:
-    """The combined automaton of the strict rules, and two automata of each rule for its spans."""
+    """The combined automaton of all rules, and two automata of each rule for its spans: pattern and strict pattern."""
 
     def __init__(self, rules: list[tuple[str, str, str, bool]] = RULES) -> None:
         self.kinds = [r[0] for r in rules]
-        # minimum lengths multiply the states, so the pass has only one: without it, every letter a to f would be a match
-        self.all = build([("[0-9a-f]{12}" if kind == "hex" else p, fold) for kind, p, _, fold in rules], anchored=False)
+        self.all = build([(strict if kind in _RUNS else pattern, fold) for kind, pattern, strict, fold in rules], anchored=False, backward=True)
         self.own: list[tuple[Automaton, Automaton]] = [(build([(p, fold)], True), build([(strict, fold)], True)) for _, p, strict, fold in rules]
 
     def byte_spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, rule, end) in bytes, in order."""
         found = []
-        for k in sorted(self.all.seen(data)):
+        for k, starts in self.all.starts(data).items():
             full, strict = self.own[k]
-            coded, hard = data.translate(full.classes), data.translate(strict.classes)
-            opens = [full.table[full.start + c] != full.dead for c in range(full.width)]
-            i, n = 0, len(data)
-            while i < n:
-                if opens[coded[i]] and (end := full.longest(coded, i)) > 0:
-                    if strict.longest(hard, i) == end:
-                        found.append((i, k, end))
-                    i = end
-                else:
-                    i += 1
+            coded, hard, free = data.translate(full.classes), data.translate(strict.classes), 0
+            for i in starts:
+                if i >= free:
+                    free = full.longest(coded, i)
+                    if strict.longest(hard, i) == free:
+                        found.append((i, k, free))
         return sorted(found)
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
@@ -98,7 +99,7 @@ def scan(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * BASE + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds)]], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return in_arrow(id_and_text(docs), run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact_rows(docs: DataFrame) -> DataFrame:
@@ -117,4 +118,4 @@ def redact_rows(docs: DataFrame) -> DataFrame:
                 columns[size] = pa.array([len(t.decode()) if new else old for t, new, old in zip(texts, changed, columns[size].to_pylist())], columns[size].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
