@@ -1,23 +1,33 @@
-"""Toxicity by compression distance.
-
-Two zstandard dictionaries are made from labelled text: both hold the common windows of all of it; one also holds the
-windows that toxic documents have significantly more often (a log-likelihood ratio test over documents), the other
-as many bytes that match nothing, so that offsets cost the same in both. A window is a word between fixed marks.
-Its distance is what the toxic dictionary saves of its compressed length under the ordinary one, as a share of what a
-whole match would save; a document's is the largest over all of its windows. The threshold is the distance that errs
-least on the training documents, and the score is a logistic curve through 0.5 there.
-
-Training reads at most `sample` labelled documents of each class (those with the least hashes of doc_id), in full,
-and of copies and near copies among them only one: a text that is common for having been copied says nothing.
-
-Defined results: null and empty texts have distance 0; repeated rows are scored each for itself; labels of a
-document that contradict each other count as toxic; without toxic training rows every score is 0.
+"""Toxicity by compression distance: windows of a text are compressed with a dictionary of toxic and one of ordinary text.
+
+There are two kinds of windows, each with a pair of dictionaries and a threshold of its own:
+
+* Openings: the first OPENING letters or digits of each word, between fixed marks. Both dictionaries hold the commonest
+  openings of all training text; the toxic one also those that toxic documents have significantly more often (a
+  log-likelihood ratio test over documents), the ordinary one as many bytes of what is most telling of, or else next
+  commonest in, ordinary documents. A window's distance is what the toxic dictionary saves of its length under the
+  ordinary one, as a share of what a whole match would save. A document's is its rank-th largest; rank and threshold
+  are those that err least on the training documents.
+* Passages: PASSAGE words on end. The dictionaries are what zstandard's trainer makes of the passages of either class;
+  a window's distance is the saving as a share of its length, a document's is its largest. The threshold lies above
+  what any ordinary training document reaches under dictionaries made without it. So passages catch what openings
+  can't, toxic text of ordinary words that is repeated from the training documents, and little else.
+
+The score is a logistic curve of the larger margin, 0.5 where a threshold is met.
+
+Training reads at most `sample` labelled documents of each class (those with the least hashes of doc_id) and
+TRAIN_BYTES of text, a document being read whole or not at all; of copies and near copies among them only one makes
+dictionaries: a text that is common for having been copied says nothing.
+
+Defined results: null and empty texts have distance 0; texts of fewer words than rank are judged by all of them; longer
+words are windows of WORD characters each; repeated rows are scored each for itself; labels of a document that
+contradict each other count as toxic; without toxic training rows every score is 0.
 """
 
 from __future__ import annotations
 
 import math
-import random
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,19 +38,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_labels, id_and_text, remainder
+from .common import Memo, clean_labels, held_by_worker, id_and_text, in_arrow, remainder
 
 SAMPLE = 3000
+TRAIN_BYTES = 64 << 20
 COMMON_WINDOWS = 3000
+OPENING = 7
+WORD = 48
+RANKS = (1, 2, 3)
+PASSAGE = 8
+PASSAGE_BYTES = 512
+DICTIONARY_BYTES = 1 << 16
 LEVEL = 8
-MEMO_WORDS = 400_000
 START, END = b"\n", b" " + b"<=>~" * 8
-STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_=+/\\~`@^"
-_scorers: dict[int, Scorer] = {}
+_OPENING = re.compile(rf"([^\W_]{{1,{OPENING}}})[^\W_]{{0,{WORD - OPENING}}}")
+
 
+def openings(text: str) -> list[str]:
+    return _OPENING.findall(text.lower())
 
-def _windows(text: str) -> set[str]:
-    return {w for w in (x.strip(STRIP) for x in text.lower().split()) if w}
+
+def passages(text: str) -> Iterator[bytes]:
+    words = text.lower().split()
+    for at in range(0, len(words), PASSAGE):
+        part = " ".join(words[at : at + PASSAGE]).encode()
+        for k in range(0, len(part), PASSAGE_BYTES):
+            yield part[k : k + PASSAGE_BYTES]
 
 
 def _distinct(texts: list[str]) -> list[str]:
@@ -66,28 +89,32 @@ def _ratio(a: int, total_a: int, b: int, total_b: int) -> float:
 
 @dataclass
 class Model:
-    """The two dictionaries, and the distance from which a document counts as toxic."""
+    """The dictionaries of both kinds, and the distances from which a document counts as toxic."""
 
     number: int
-    toxic: bytes
-    ordinary: bytes
+    toxic: bytes = b""
+    ordinary: bytes = b""
     whole: int = 0  # the usual compressed length of a window that is in the toxic dictionary
+    rank: int = 1
     threshold: float = math.inf
+    trained: tuple[bytes, bytes] | None = None  # of passages: toxic, ordinary
+    passage_threshold: float = math.inf
 
-    def score(self, distance: float) -> float:
-        return 0.0 if math.isinf(self.threshold) else 1 / (1 + math.exp(-8 * (distance - self.threshold)))
+    def score(self, distances: tuple[float, float]) -> float:
+        margin = max(distances[0] - self.threshold, distances[1] - self.passage_threshold)
+        return 0.0 if math.isinf(margin) else 1 / (1 + math.exp(-8 * max(margin, -80)))
 
 
 class Scorer:
-    """Distances of windows and documents under a model; windows are remembered."""
+    """Distances of windows and documents under a model; those of openings are remembered."""
 
     def __init__(self, model: Model) -> None:
-        self.memo: dict[str, float] = {}
-        self.whole = model.whole
-        self.pair = [self._compressor(x) for x in (model.ordinary, model.toxic)]
+        self.model, self.memo = model, Memo()
+        self.pair = [self._raw(x) for x in (model.ordinary, model.toxic)]
+        self.passage_pair = [self._trained(x) for x in reversed(model.trained)] if model.trained else None
 
     @staticmethod
-    def _compressor(content: bytes):
+    def _raw(content: bytes):
         import zstandard as z
 
         p = z.ZstdCompressionParameters.from_level(LEVEL, source_size=128, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False, format=z.FORMAT_ZSTD1_MAGICLESS)
@@ -95,50 +122,113 @@ class Scorer:
         d.precompute_compress(compression_params=p)
         return z.ZstdCompressor(dict_data=d, compression_params=p)
 
-    def lengths(self, word: str) -> tuple[int, int]:
-        framed = START + word.strip(STRIP).encode() + END
+    @staticmethod
+    def _trained(content: bytes):
+        import zstandard as z
+
+        p = z.ZstdCompressionParameters.from_level(3, source_size=PASSAGE_BYTES, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False, format=z.FORMAT_ZSTD1_MAGICLESS)
+        d = z.ZstdCompressionDict(content)
+        d.precompute_compress(compression_params=p)
+        return z.ZstdCompressor(dict_data=d, compression_params=p)
+
+    def lengths(self, opening: str) -> tuple[int, int]:
+        framed = START + opening.encode() + END
         ordinary, toxic = self.pair
         return len(ordinary.compress(framed)), len(toxic.compress(framed))
 
-    def window(self, word: str) -> float:
-        if not word.strip(STRIP):
-            return 0.0  # nothing but marks
-        ordinary, toxic = self.lengths(word)
-        return (ordinary - toxic) / max(1, ordinary - self.whole)
-
-    def distance(self, text: str) -> float:
-        words = text.lower().split()
-        got = list(map(self.memo.get, words))
-        if None in got:
-            if len(self.memo) > MEMO_WORDS:
-                self.memo.clear()
-            for w in words:
-                if w not in self.memo:
-                    self.memo[w] = self.window(w)
-            got = map(self.memo.__getitem__, words)
-        return max(0, max(got, default=0))
+    def window(self, opening: str) -> float:
+        ordinary, toxic = self.lengths(opening)
+        return (ordinary - toxic) / max(1, ordinary - self.model.whole)
 
+    def largest(self, text: str) -> list[float]:
+        """The distances of the openings that have any, the largest last; as many as the largest rank."""
+        every = self.memo.values(openings(text), lambda new: map(self.window, new))
+        top = sorted([d for d in every if d > 0])[-max(RANKS) :]
+        return [0.0] * (min(len(every), max(RANKS)) - len(top)) + top
 
-def train(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries and threshold from the texts of either class."""
-    counts = [Counter(w for t in _distinct(texts) for w in _windows(t)) for texts in (toxic, ordinary)]
-    totals = [len(_distinct(texts)) for texts in (toxic, ordinary)]
-    if not totals[0]:
-        return Model(0, b"", b"")
+    def passage(self, text: str) -> float:
+        if not self.passage_pair:
+            return 0.0
+        ordinary, toxic = (x.compress for x in self.passage_pair)
+        return max((1 - len(toxic(p)) / len(ordinary(p)) for p in passages(text)), default=0.0)
+
+    def distances(self, text: str) -> tuple[float, float]:
+        return ranked(self.largest(text), self.model.rank), self.passage(text)
+
+
+def ranked(largest: list[float], rank: int) -> float:
+    return largest[-min(rank, len(largest))] if largest else 0.0
+
+
+def _opening_pair(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes, list[str]]:
+    """Content of the toxic and of the ordinary dictionary of openings, and what is telling of toxic text."""
+    counts = [Counter(w for t in texts for w in set(openings(t))) for texts in (toxic, ordinary)]
+    totals = [max(1, len(texts)) for texts in (toxic, ordinary)]
     bound = 2 * math.log(len(counts[0] | counts[1]) or 1) + 4  # keeps chance finds rare whatever the vocabulary
-    telling = [w for w, c in counts[0].items() if _ratio(c, totals[0], counts[1][w], totals[1] or 1) > bound]
-    telling.sort(key=lambda w: (counts[0][w], w))
-    common = sorted(((c, w) for w, c in (counts[0] + counts[1]).items() if w not in set(telling)), reverse=True)[:COMMON_WINDOWS]
-    base = b"".join(START + w.encode() + END for _, w in reversed(common))
-    own = b"".join(START + w.encode() + END for w in telling)
-    model = Model(zlib.crc32(base + own), base + own, base + random.Random(4).randbytes(len(own)))
+
+    def telling(k: int) -> list[str]:
+        found = [w for w, c in counts[k].items() if _ratio(c, totals[k], counts[1 - k][w], totals[1 - k]) > bound]
+        return sorted(found, key=lambda w: (counts[k][w], w))
+
+    content = lambda words: b"".join(START + w.encode() + END for w in words)
+    own, other = telling(0), telling(1)
+    apart = {*own, *other}
+    common = [w for w, _ in sorted(((w, c) for w, c in (counts[0] + counts[1]).items() if w not in apart), key=lambda x: (-x[1], x[0]))]
+    base, tail = content(reversed(common[:COMMON_WINDOWS])), content(own)
+    # offsets cost the same in both: the ordinary tail is as long, the most telling at its end
+    filled = (content(common[COMMON_WINDOWS : COMMON_WINDOWS + len(own)]) + content(other)).rjust(len(tail), START)
+    return base + tail, base + filled[len(filled) - len(tail) :], own
+
+
+def _passage_pair(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes] | None:
+    """What zstandard's trainer makes of either class, in equal size; None where there is too little text to train on."""
+    import zstandard as z
+
+    samples = [[p for t in texts for p in passages(t)] for texts in (toxic, ordinary)]
+    size = min(DICTIONARY_BYTES, min(sum(map(len, s)) for s in samples) // 10)
+    if size < 1 << 10 or min(map(len, samples)) < 50:
+        return None
+    try:
+        a, b = (z.train_dictionary(size, s, k=64, d=8).as_bytes() for s in samples)
+    except z.ZstdError:
+        return None
+    return a, b
+
+
+def train(toxic: list[str], ordinary: list[str]) -> Model:
+    """Dictionaries, rank and thresholds from the texts of either class."""
+    lone = [_distinct(texts) for texts in (toxic, ordinary)]
+    if not lone[0]:
+        return Model(0)
+    bad, good, telling = _opening_pair(*lone)
+    model = Model(zlib.crc32(bad + good), bad, good)
     model.whole = sorted(Scorer(model).lengths(w)[1] for w in telling)[len(telling) // 2] if telling else 0
     scorer = Scorer(model)
-    there, other = (np.array([scorer.distance(t) for t in texts]) for texts in (toxic, ordinary))
+    there, other = ([scorer.largest(t) for t in texts] for texts in (toxic, ordinary))
     steps = np.arange(0.05, 1.2, 0.05)
-    errors = [int((there < k).sum() + (other >= k).sum()) for k in steps]
-    best = [k for k, e in zip(steps, errors) if e == min(errors)]
-    model.threshold = float(best[len(best) // 2])
+    errors = {}
+    for rank in RANKS:
+        a, b = (np.array([ranked(x, rank) for x in found]) for found in (there, other))
+        errors |= {(rank, k): int((a < step).sum() + (b >= step).sum()) for k, step in enumerate(steps)}
+    least = min(errors.values())
+    model.rank = next(rank for (rank, _), e in errors.items() if e == least)
+    best = [k for (rank, k), e in errors.items() if e == least and rank == model.rank]
+    model.threshold = float(steps[best[len(best) // 2]])
+    return _with_passages(model, lone)
+
+
+def _with_passages(model: Model, lone: list[list[str]]) -> Model:
+    reached = []
+    half = lambda texts, k: [t for t in texts if zlib.crc32(t.encode()) % 2 == k]
+    for k in (0, 1):
+        pair = _passage_pair(*(half(texts, 1 - k) for texts in lone))
+        if pair is None:
+            return model
+        scorer = Scorer(Model(0, trained=pair))
+        reached += [scorer.passage(t) for t in half(lone[1], k)]
+    if (pair := _passage_pair(*lone)) and reached:
+        model.trained, model.passage_threshold = pair, max(reached) + 0.05
+        model.number = zlib.crc32(b"".join(pair), model.number)
     return model
 
 
@@ -149,8 +239,15 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0,
     texts = []
     for label in (1, 0):
         chosen = usable.where(F.col("label") == label).orderBy(*order).limit(sample).select("doc_id")  # bounded, so it may be broadcast
-        found = id_and_text(docs).join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL").orderBy("doc_id", "text")
-        texts.append([r["text"] for r in found.select("doc_id", "text").toLocalIterator()])
+        found = id_and_text(docs).join(F.broadcast(chosen), "doc_id").where((F.col("text") != "") & (F.octet_length("text") <= TRAIN_BYTES // 4))
+        one = found.groupBy("doc_id").agg(F.min("text").alias("text")).orderBy(*order)  # rows that share a doc_id count once
+        kept, room = [], TRAIN_BYTES
+        for r in one.toLocalIterator():
+            room -= len(r["text"].encode())
+            if room < 0:
+                break
+            kept.append(r["text"])
+        texts.append(sorted(kept))
     return train(*texts)
 
 
@@ -159,14 +256,11 @@ def _per_document(docs: DataFrame, model: Model, schema: str, make) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        if model.number not in _scorers:
-            _scorers.clear()
-            _scorers[model.number] = Scorer(model)
-        scorer = _scorers[model.number]
+        scorer = held_by_worker(("toxicity", model.number), lambda: Scorer(model))
         for batch in batches:
-            yield make(batch, lambda text: model.score(scorer.distance(text or "")))
+            yield make(batch, lambda text: model.score(scorer.distances(text or "")))
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
