@@ -79,7 +79,7 @@ def _grams(hashes: Column, pairs: Column, buckets: int) -> Column:
     return F.concat(F.transform(hashes, bucket), F.transform(pairs, bucket))
 
 
-def _taken_apart(docs: DataFrame, buckets: int, *more: str) -> DataFrame:
+def _taken_apart(docs: DataFrame, buckets: int) -> DataFrame:
     """words, windows (hashes of three words) and grams (buckets of words and pairs of words) as columns, behind a
     generator so that they are computed once for all that read them."""
 
@@ -89,8 +89,8 @@ def _taken_apart(docs: DataFrame, buckets: int, *more: str) -> DataFrame:
 
         return let(F.transform(words, lambda x: F.xxhash64(x)), hashed)
 
-    once = docs.select("doc_id", "text", *more, F.explode(F.array(let(words_of(F.col("text")), parts))).alias("_w"))
-    return once.select("doc_id", "text", *more, "_w.words", "_w.windows", "_w.grams")
+    once = docs.select("doc_id", "text", F.explode(F.array(let(words_of(F.col("text")), parts))).alias("_w"))
+    return once.select("doc_id", "text", "_w.words", "_w.windows", "_w.grams")
 
 
 def gram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -107,6 +107,7 @@ def gram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
 
 
 def _ratio() -> Column:
+    """From the columns grams and weights."""
     total = F.aggregate("grams", F.lit(0.0), lambda acc, g: acc + F.get(F.col("weights"), g))
     return F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0)
 
@@ -119,7 +120,9 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, lost: floa
     weights = materialise(gram_weights(docs, trusted.where(even), buckets))  # one row, read by both passes below
 
     def rated(some: DataFrame, statistics: list[Column]) -> DataFrame:
-        found = _taken_apart(some.withColumn("weights", weights.scalar()), buckets, "weights").select("doc_id", *statistics, _ratio().alias("ratio"))
+        # named behind the generator, the subquery becomes part of the ratio's expression: a task holds the array once, no row carries it
+        apart = _taken_apart(some, buckets).withColumn("weights", weights.scalar())
+        found = apart.select("doc_id", *statistics, _ratio().alias("ratio"))
         return found.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
     sample = rated(docs.join(trusted.where(~even), "doc_id", "left_semi"), [c for c in base_statistics(F.col("text"))]).where("NOT base_failed")
