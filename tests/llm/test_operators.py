@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from figquarry.llm import automaton, chat_format, decontamination, packing, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, token_count, toxicity
+from figquarry.llm.common import Memo
 from figquarry.llm.components import components
 
 EXTRA = "score double, words string, label string, component_id string, fp string, length string, kept string, anchor string, rank string"
@@ -73,6 +75,42 @@ def test_quality_rules_tell_junk(spark):
     assert {r.ratio for r in none.collect()} == {0.0} and none.where("kept").count() == 60
 
 
+def rated_by_hand(every, trusted, buckets, lost=quality_rules.LOST, step=quality_rules.STEP):
+    """ratio and verdict of each row, word by word."""
+    from xxhash import xxh64_intdigest
+
+    def grams(text):
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        h = [signed(xxh64_intdigest(w.encode(), 42)) for w in WORDS.findall(text or "")]
+        number = lambda x: x.to_bytes(8, "little", signed=True)
+        pairs = [signed(xxh64_intdigest(number(b), xxh64_intdigest(number(a), 42))) for a, b in zip(h, h[1:])]
+        return [x % buckets for x in h + pairs]
+
+    odd = lambda i: zlib.crc32(str(i).encode()) % 2
+    all_grams, target = Counter(), Counter()
+    for i, t in every:
+        all_grams.update(grams(t))
+        if i in trusted and not odd(i):
+            target.update(grams(t))
+    n, m = all_grams.total(), target.total()
+    weight = [np.log((target[b] + 1) / (m + buckets)) - np.log((all_grams[b] + 1) / (n + buckets)) if m else 0.0 for b in range(buckets)]
+    ratios = [sum(weight[g] for g in gs) / len(gs) if (gs := grams(t)) else 0.0 for _, t in every]
+    passing = sorted(np.floor(r / step) for r, (i, t) in zip(ratios, every) if i in trusted and odd(i) and not base(t)[-1])
+    least = passing[int(np.floor(lost * len(passing)))] * step if passing else -np.inf
+    return [(r, bool(not base(t)[-1] and r >= least)) for r, (_, t) in zip(ratios, every)]
+
+
+def test_quality_ratios_and_verdicts(spark):
+    every = [(k, prose(k, 40 + k % 50, language=0) if k % 3 else prose(k, 90, language=k)) for k in range(120)] + ODD
+    trusted = {k for k in range(20, 120) if k % 3 and k % 4}
+    labels = spark.createDataFrame([(k, 1) for k in trusted] + [(3, 0), (None, 1)], "doc_id long, quality int")
+    for buckets in (64, 4096):
+        found = quality_rules.judge(docs(spark, every), labels, buckets=buckets)
+        want = Counter((i, round(r, 9), kept) for (i, _), (r, kept) in zip(every, rated_by_hand(every, trusted, buckets)))
+        assert Counter((r.doc_id, round(r.ratio, 9), r.kept) for r in found.collect()) == want
+        assert buckets == 64 or {(kept, base(t)[-1]) for (_, t), (_, kept) in zip(every, rated_by_hand(every, trusted, buckets))} == {(True, False), (False, True), (False, False)}
+
+
 # --- 2 ---------------------------------------------------------------------------------------------------------
 
 VOCABULARY = [("<unk>", 0.0), ("▁", -3.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁a", -1.5), ("ba", -2.0), ("bab", -3.0), ("▁ab", -4.0), ("abab", -4.0)]
@@ -93,6 +131,21 @@ def test_token_counts_break_ties_like_the_tokenizer(words):
     assert counter.text(" ".join(words))[0] == len(reference_tokenizer(VOCABULARY).encode(" ".join(words)).ids)
 
 
+def test_memo_is_bounded_in_bytes():
+    memo, asked = Memo(limit=20_000), []
+
+    def compute(words):
+        asked.extend(words)
+        return [len(w) for w in words]
+
+    rng = random.Random(3)
+    for _ in range(300):
+        words = [str(rng.randrange(2000)) * rng.choice([1, 1, 40]) for _ in range(30)]
+        assert memo.values(words, compute) == [len(w) for w in words]
+        assert (len(memo.young) + len(memo.old)) * 180 < 40_000 and all(len(w) <= 64 for w in memo.young)
+    assert len(asked) < 9000 and memo.values([], compute) == []
+
+
 def test_token_counts_whole_texts(spark):
     import public_tokenizers
 
@@ -130,6 +183,16 @@ def test_suffix_dedup(spark, hot):
     assert rows_of(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter((i, *x) for (i, _), x in zip(every, removed([t for _, t in every])))
 
 
+def test_suffix_dedup_of_many_equal_rows(spark):
+    text = prose(77, 300)
+    for n, ids in ((700, lambda k: None), (60, lambda k: k)):
+        rows = [(ids(k), text) for k in range(n)] + [(-1, text[:900] + prose(78, 50))]
+        found = suffix_dedup.dedup(docs(spark, rows))
+        assert rows_of(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter((i, *x) for (i, _), x in zip(rows, removed([rows[0][1]] * 2 + [rows[-1][1]])[:1] * n + removed([text, rows[-1][1]])[1:]))
+        runs = suffix_dedup.repeated_runs(docs(spark, rows))
+        assert runs.count() < 8 * 2 * 60  # two copies a task, whatever their number
+
+
 def test_difference_cover():
     for v in (1, 7, 31, 64):
         d = suffix_dedup.difference_cover(v)
@@ -163,6 +226,27 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.scores(docs(spark, ODD), none).collect()} == {0.0}
 
 
+def test_toxicity_scores_against_a_plain_version():
+    """Windows one by one, nothing remembered; passages of toxic texts that come again; strings without spaces."""
+    rng = random.Random(8)
+    slogan = " ".join(prose(900, 40, language=5).split())
+    plain = [prose(k, rng.randint(30, 90), 200, language=1) for k in range(160)]
+    toxic = [prose(k, 60, 200, language=1) + (" gruk blorvish" if k % 2 else " Zat-gruk, blorvish! ") + slogan * (k % 5 == 0) for k in range(1000, 1240)]
+    model = toxicity.train(sorted(toxic), sorted(plain))
+    scorer = toxicity.Scorer(model)
+    texts = [*plain[:20], *toxic[:20], "", "gruk", "x" * 5000 + "gruk", "grukgruk" * 900, LONG, "日本" * 700]
+    for text in texts:
+        words = [w[k : k + 48] for w in re.findall(r"[^\W_]+", text.lower()) for k in range(0, len(w), 48)]
+        every = sorted(max(0.0, toxicity.Scorer.window(scorer, w[:7])) for w in words)
+        assert scorer.distances(text)[0] == (every[-min(model.rank, len(every))] if every else 0.0)
+        parts = text.lower().split()
+        parts = [" ".join(parts[k : k + 8]).encode() for k in range(0, len(parts), 8)]
+        saved = [1 - len(scorer.passage_pair[1].compress(p[k : k + 512])) / len(scorer.passage_pair[0].compress(p[k : k + 512])) for p in parts for k in range(0, len(p), 512)]
+        assert scorer.distances(text)[1] == max(saved, default=0.0)
+    score = lambda t: model.score(scorer.distances(t))
+    assert sum(score(t) >= 0.5 for t in toxic) >= 228 and sum(score(t) >= 0.5 for t in plain) <= 3 and score("") < 0.5
+
+
 def test_quality_classifier(spark):
     rows = [(k, prose(k, 100) if k % 3 else " | ".join(prose(k, 60).split()) if k % 2 else prose(k, 60).upper().replace(" ", "!! ")) for k in range(300)]
     labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(300)], "doc_id long, quality int, toxic int")
@@ -267,6 +351,20 @@ def test_leaks_of_repetitive_items(spark):
     assert [r.doc_id for r in decontamination.without_leaks(docs(spark, rows), bench).collect()] == sorted({i for i, _ in rows} - {i for i, *_ in want})
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcd"), min_size=1, max_size=16), min_size=1, max_size=4), st.lists(st.sampled_from("abcde"), max_size=40), st.integers(2, 4), st.sampled_from([0.3, 0.6, 0.9]))
+def test_hits_lose_no_item(items, document, least, coverage):
+    index = decontamination.Index([(k, " ".join(x)) for k, x in enumerate(items)], least)
+    want = []
+    for k, item in enumerate(items):
+        number = {w: n for n, w in enumerate(dict.fromkeys(item + document), 1)}
+        found = greedy([number[w] for w in item], [number[w] for w in document], least)
+        covered = sum(n for *_, n in found)
+        if found and covered >= coverage * len(item):
+            want.append((k, covered, len(item)))
+    assert [(k, covered, n) for k, _, covered, n in index.hits(" ".join(document), coverage)] == want
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -288,12 +386,22 @@ def test_secret_spans(text):
     assert [s for s in SCANNER.spans(text.encode()) if s[1] < secret_scan.BASE] == base_spans(text)
 
 
+@pytest.mark.parametrize("text", [b"eyJ" * 350_000, b"eyJ" * 350_000 + b".a.b", b"eyJa.eyJ" * 130_000, b"token: " * 150_000, b"AKIA" * 250_000, b"-----BEGIN " + b"A " * 500_000 + b"PRIVATE KEY-----", b"0123abcd" * 130_000])
+def test_secret_spans_of_a_megabyte(text):
+    began = time.process_time()
+    found = SCANNER.byte_spans(text)
+    assert time.process_time() - began < 10 and len(found) <= 1  # a quadratic scan takes hours
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.sampled_from(["(ab|a)(c|bcd)*x?", "[^a-c]{2,3}b+", "a{0,2}b{1,}|\\.", "x(yz)?y*"]), st.text("abcdxyz.", max_size=12))
 def test_automaton_is_the_longest_match(pattern, text):
     a = automaton.build([(pattern, False)], True)
     ends = [e for e in range(1, len(text) + 1) if re.fullmatch(pattern, text[:e])]
     assert a.longest(text.encode().translate(a.classes), 0) == max(ends, default=-1)
+    back = automaton.build([(pattern, False), ("zz", False)], anchored=False, backward=True)
+    starts = {k: [i for i in range(len(text)) if any(re.fullmatch(p, text[i:e]) for e in range(i + 1, len(text) + 1))] for k, p in enumerate((pattern, "zz"))}
+    assert back.starts(text.encode()) == {k: x for k, x in starts.items() if x}
 
 
 def test_secret_scan(spark):
