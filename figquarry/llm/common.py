@@ -18,7 +18,7 @@ BROADCAST_ROWS = 2_000_000
 BATCH_BYTES = 4 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: What a worker remembers of single words: bytes in all (an estimate of keys, values and table), and the longest word kept.
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 80 << 20
 MEMO_WORD = 64
 _ENTRY_BYTES = 180
 _scratch: set[str] = set()
