@@ -42,29 +42,30 @@ def expected_key(fmt) -> Column:
 
 
 def cer(hypothesis, reference) -> Column:
-    """character error rate in percent of the reference's length; NULL for an empty reference."""
-    h, r = c(hypothesis), c(reference)
-    return F.when(F.length(r) > 0, F.levenshtein(h, r) * 100.0 / F.length(r))
+    """character error rate in percent of the reference's length; where either side is empty or missing, the other's length (not percent)."""
+    h, r = F.coalesce(c(hypothesis), F.lit("")), F.coalesce(c(reference), F.lit(""))
+    return F.when((F.length(h) > 0) & (F.length(r) > 0), F.levenshtein(h, r) * 100.0 / F.length(r)).otherwise(F.greatest(F.length(h), F.length(r)).cast("double"))
 
 
 def epoch(label) -> Column:
     """J2000 / B1950 / 2000 / none from an axis label; tagged epochs before bracketed before bare years."""
     x = c(label)
-    found = [F.regexp_replace(F.regexp_extract(x, r"([JB]\s?\d{4})", 1), r"\s", ""), F.regexp_extract(x, r"\((\d{4})\)", 1), F.regexp_extract(x, r"(?<!\d)((?:18|19|20)\d{2})(?!\d)", 1)]
+    found = [F.regexp_replace(F.regexp_extract(x, r"([JB]\s?\d{4})", 1), r"\s", ""), F.regexp_extract(x, r"\((\d{4})\)", 1), F.regexp_extract(x, r"(?<![\d.])((?:18|19|20)\d{2})(?![\d.])", 1)]
     return F.coalesce(*[F.nullif(f, F.lit("")) for f in found], F.lit("none"))
 
 
-# Tick units from the finest on, with the marks that show them.
-TICK_UNITS = [("arcsec", ['"', "″", "''", "s"]), ("arcmin", ["'", "′", "m"]), ("degree", ["°", "d"]), ("hour", ["h"])]
+# Units of tick labels from the finest on, with the marks that show them in LaTeX and plain labels.
+TICK_UNITS = {
+    "ra": [("seconds", ["mathrm{s}", "mathregular{^s}"]), ("minutes", ["mathrm{m}", "mathregular{^m}"]), ("hours", ["mathrm{h}", "mathregular{^h}"])],
+    "dec": [("arcseconds", ["\\prime\\prime", "''"]), ("arcminutes", ["\\prime", "'"]), ("degrees", ["circ", "°"])],
+}
 
 
-def finest_tick_unit(ticks) -> Column:
-    """the finest unit that any tick label shows."""
+def finest_tick_unit(ticks, axis: str) -> Column:
+    """the finest unit that any tick label of an axis (ra or dec) shows; NULL if none is shown or there are no ticks."""
     text = F.array_join(c(ticks), " ")
-    out = F.lit("none")
-    for unit, marks in reversed(TICK_UNITS):
-        out = F.when(reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in marks]), unit).otherwise(out)
-    return out
+    shown = [F.when(reduce(lambda x, y: x | y, [F.contains(text, F.lit(m)) for m in marks]), unit) for unit, marks in TICK_UNITS[axis]]
+    return F.coalesce(*shown)
 
 
 def header_value(header, key: str) -> Column:
@@ -72,6 +73,11 @@ def header_value(header, key: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(c(header), key + r"\s*=\s*'([^']*)'", 1)), F.lit(""))
 
 
+def header_number(header, key: str) -> Column:
+    """The number of a key in FITS header text."""
+    return F.nullif(F.regexp_extract(c(header), key + r"\s*=\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[EeDd][-+]?\d+)?)", 1), F.lit("")).try_cast("double")
+
+
 def choices(prompt) -> Column:
     """the options a prompt lists in square brackets."""
     inner = F.regexp_extract(c(prompt), r"\[([^\]]*)\]", 1)
@@ -90,6 +96,11 @@ def latex_escape(text) -> Column:
     return F.regexp_replace(c(text), r"([&%#_$])", r"\\$1")
 
 
+def grouped_number(x, decimals: int = 0) -> Column:
+    """a number with thousands separators and a fixed number of decimals."""
+    return F.format_number(c(x), decimals)
+
+
 # The HTML entities that pages use.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 
@@ -102,15 +113,20 @@ def plain_text(html) -> Column:
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
-def panel_words(row, col, nrows, ncols, swapped: bool = False) -> Column:
-    """'top-left' and the like from a panel's row and column; interior panels by ordinal, words swapped if asked."""
-    r, k, nr, nc = c(row), c(col), c(nrows), c(ncols)
-    ends = lambda i, n, a, b: F.when(n == 1, "").when(i == 0, a).when(i == n - 1, b)
-    ordinal = lambda i: F.concat((i + 1).cast("string"), F.when(i == 0, "st").when(i == 1, "nd").when(i == 2, "rd").otherwise("th"))
-    a, b = ends(r, nr, "top", "bottom"), ends(k, nc, "left", "right")
-    x, y = (ordinal(k), ordinal(r)) if swapped else (ordinal(r), ordinal(k))
-    inner = F.concat(x, F.lit(" row, "), y, F.lit(" column"))
-    return F.when((nr == 1) & (nc == 1), "only").when(a.isNull() | b.isNull(), inner).otherwise(F.concat_ws("-", F.nullif(a, F.lit("")), F.nullif(b, F.lit(""))))
+# Ordinals of panels.
+ORDINALS = ["first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth"]
+
+
+def panel_words(row, col) -> Column:
+    """which panel, in words, from its row and column (from 0). Inside the grid the two words are swapped, as published data have it."""
+    r, k = c(row), c(col)
+    word = lambda i: F.get(F.array(*map(F.lit, ORDINALS)), i)
+    return (
+        F.when((r == 0) & (k == 0), "top-left")
+        .when(r == 0, F.concat(F.lit("top row and "), word(k), F.lit(" from the left")))
+        .when(k == 0, F.concat(word(r), F.lit(" row and left-most")))
+        .otherwise(F.concat(word(k), F.lit(" row and "), word(r), F.lit(" column")))
+    )
 
 
 def prompt(*parts) -> Column:
@@ -129,6 +145,11 @@ def flat_name(x) -> Column:
     return F.translate(c(x), " /", "_-")
 
 
+def unflat_name(x) -> Column:
+    """F16: back again; hyphens and underscores that stood in the name can't be told apart."""
+    return F.translate(c(x), "_-", " /")
+
+
 def capitalise(x, how: str) -> Column:
     """none, first or all words."""
     return {"none": c(x), "first": F.concat(F.upper(F.substring(c(x), 1, 1)), F.substring(c(x), 2, 1_000_000_000)), "all": F.initcap(c(x))}[how]
@@ -140,9 +161,32 @@ def fenced_json(text) -> Column:
     return F.btrim(F.coalesce(F.nullif(F.regexp_extract(x, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit("")), x), F.lit(" \t\r\n"))
 
 
+# What may follow a backslash in a JSON string.
+_ESCAPE = r'\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})'
+
+
 def fix_escapes(text) -> Column:
-    """backslashes that start no JSON escape are doubled."""
-    return F.regexp_replace(c(text), r'(?<!\\)\\(?![\\"/bfnrtu])', r"\\\\")
+    """backslashes that start no JSON escape are doubled. Read from the left: each match takes whole escapes and
+    other characters up to the next such backslash, and starts where the one before ended."""
+    return F.regexp_replace(c(text), r"\G((?:[^\\]|" + _ESCAPE + r")*+)\\", r"$1\\\\")
+
+
+def fix_raw_strings(text) -> Column:
+    """r"..." as a JSON string: without the r, its backslashes doubled. Marked from the left, as an r may end what stands in quotes."""
+    pieces = F.split(F.regexp_replace(c(text), 'r("[^"]*")', "\x01$1\x02"), "\x01")
+    ended = lambda x: F.locate("\x02", x)
+    repaired = F.transform(pieces, lambda x: F.when(ended(x) == 0, x).otherwise(F.concat(F.replace(F.substring_index(x, "\x02", 1), F.lit("\\"), F.lit("\\\\")), F.substring_index(x, "\x02", -1))))
+    return F.array_join(repaired, "")
+
+
+def fix_latex_commands(text) -> Column:
+    """single backslashes before letters are doubled, JSON escapes among them."""
+    return F.regexp_replace(c(text), r"\G((?:[^\\]|\\[^a-zA-Z])*+)\\(?=[a-zA-Z])", r"$1\\\\")
+
+
+def quote_math(text) -> Column:
+    """$...$ in quotes, its dollars escaped."""
+    return F.regexp_replace(c(text), r"\$([^$]+)\$", r'"\\\$$1\\\$"')
 
 
 def padded_id(prefix: str, n, width: int = 6) -> Column:
@@ -230,21 +274,35 @@ def gaussian(seed: int, *keys) -> Column:
     return F.sqrt(-2 * F.log(1 - hash_u01(seed, *keys))) * F.cos(2 * math.pi * hash_u01(seed + 1, *keys))
 
 
+def noisy(value, seed: int, *keys, scale: float, additive: bool = False) -> Column:
+    """M8: value with gaussian noise, as a share of it or added."""
+    g = scale * gaussian(seed, *keys)
+    return c(value) + g if additive else c(value) * (1 + g)
+
+
+def log_axis(u_exponent, u_exponential, u_low, u_high, exponents: tuple[float, float] = (0.01, 5.0), factors: tuple[float, float] = (0.1, 10.0)) -> tuple[Column, Column]:
+    """Limits of a logarithmic axis about 10 ** e, e exponential with a uniform mean; each limit is away by a uniform
+    multiple of it. Takes four uniform numbers, so that the draw can be keyed."""
+    between = lambda u, pair: pair[0] + c(u) * (pair[1] - pair[0])
+    centre = F.pow(F.lit(10.0), -between(u_exponent, exponents) * F.log(1 - c(u_exponential)))
+    return centre * (1 - between(u_low, factors)), centre * (1 + between(u_high, factors))
+
+
 def log_uniform(u, low: float, high: float) -> Column:
     """M9"""
     return F.exp(math.log(low) + c(u) * (math.log(high) - math.log(low)))
 
 
-# Arc seconds in each unit mark.
-ARC_UNITS = [(r"(?:°|deg\w*)", 3600.0), (r"(?:'(?!')|arcmin\w*|′)", 60.0), (r"(?:\"|''|arcsec\w*|″)", 1.0)]
+# Arc seconds in each unit, with the marks that show it; case doesn't matter.
+ARC_UNITS = [(r"(?:°|\bdeg\b|\bdegrees?\b)", 3600.0), (r"(?:'(?!')|′|\barcmin\b|\barcminutes\b)", 60.0), (r"(?:\"|''|″|\barcsec\b|\barcseconds\b)", 1.0)]
 
 
 def angle_arcsec(text) -> Column:
-    """The largest angle in a free text, in arc seconds; NULL without a number that has a unit."""
-    x = c(text)
+    """The largest angle in a free text, in arc seconds; NULL without a number that has a unit. ?? is a lost degree sign and says nothing."""
+    x = F.replace(c(text), F.lit("??"), F.lit(" "))
 
     def found(unit: str, arcsec: float) -> Column:
-        return F.transform(F.regexp_extract_all(x, F.lit(r"(\d+\.?\d*)\s*" + unit), F.lit(1)), lambda v: v.cast("double") * arcsec)
+        return F.transform(F.regexp_extract_all(x, F.lit(r"(?i)(\d+(?:\.\d+)?)\s*" + unit), F.lit(1)), lambda v: v.cast("double") * arcsec)
 
     return F.array_max(F.concat(*[found(*u) for u in ARC_UNITS]))
 
@@ -253,7 +311,8 @@ def hms(degrees) -> Column:
     """HHhMMmSS.SSs with carry, hours modulo 24."""
     hundredths = F.pmod(F.round(c(degrees) / 15.0 * 360000.0), F.lit(24 * 360000.0)).cast("long")
     s = F.pmod(hundredths, F.lit(6000))
-    return F.format_string("%02dh%02dm%02d.%02ds", F.floor(hundredths / 360000), F.floor(F.pmod(hundredths, F.lit(360000)) / 6000), F.floor(s / 100), F.pmod(s, F.lit(100)))
+    text = F.format_string("%02dh%02dm%02d.%02ds", F.floor(hundredths / 360000), F.floor(F.pmod(hundredths, F.lit(360000)) / 6000), F.floor(s / 100), F.pmod(s, F.lit(100)))
+    return F.when(hundredths.isNotNull(), text)
 
 
 def parse_hms(text) -> Column:
@@ -299,10 +358,37 @@ def is_round_sexagesimal(x) -> Column:
     return F.abs(c(x) * 2 - F.round(c(x) * 2)) < 1e-4
 
 
-def decimation(n, most: int) -> Column:
-    """The least odd step that brings n samples to `most` at most."""
-    step = F.ceil(c(n) / float(most))
-    return F.greatest(F.lit(1), F.when(F.pmod(step, F.lit(2)) == 0, step + 1).otherwise(step)).cast("int")
+def pixel_grid(nx, ny, width=300, height=300) -> Column:
+    """struct<nx, ny, k>: the grid a panel is drawn on, and the step of the source that makes it.
+
+    A request beyond the source is scaled down by one factor. The step k is the largest that fits the source on both
+    axes; it has to be odd, for then the samples lie on the centre of the crop. An even one is raised by one and the
+    grid shrunk to keep the crop, again and again as the smaller grid may allow a larger step; where that can't be
+    done, it is lowered by one.
+    """
+    w, h = (c(x) if isinstance(x, (str, Column)) else F.lit(x) for x in (width, height))
+    w, h, x, y = w.cast("long"), h.cast("long"), F.greatest(c(nx).cast("long"), F.lit(1)), F.greatest(c(ny).cast("long"), F.lit(1))
+    scale = F.least(F.lit(1.0), w / x, h / y)
+    fitted = lambda n, most: F.least(most, F.greatest(F.lit(1), F.bround(n * scale).cast("long")))
+    state = lambda a, b, k: F.struct(a.alias("nx"), b.alias("ny"), k.cast("long").alias("k"))
+    fit = lambda a, b: F.greatest(F.lit(1), F.least(F.floor(w / a), F.floor(h / b)))
+    lowered = lambda s: state(s["nx"], s["ny"], F.greatest(F.lit(1), s["k"] - 1))
+
+    def settle(s: Column, _: Column) -> Column:
+        odd = s["k"] + 1
+        shrunk = lambda n: F.greatest(F.lit(1), F.floor(n * s["k"] / odd))
+        a, b = shrunk(s["nx"]), shrunk(s["ny"])
+        stuck = (a * odd > w) | (b * odd > h) | ((a == s["nx"]) & (b == s["ny"]))
+        return F.when(s["k"] % 2 == 1, s).when(stuck, lowered(s)).otherwise(state(a, b, fit(a, b)))
+
+    x, y = fitted(x, w), fitted(y, h)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), state(x, y, fit(x, y)), settle, lambda s: F.when(s["k"] % 2 == 0, lowered(s)).otherwise(s))
+
+
+def decimated_header(crpix, cdelt, size, n, k) -> tuple[Column, Column]:
+    """Reference pixel and pixel scale of an axis after its centred crop to n * k of `size` pixels and taking every k-th."""
+    first = F.floor((c(size) - c(n) * c(k)) / 2) + F.floor((c(k) - 1) / 2)
+    return (c(crpix) - first - 1 + c(k)) / c(k).cast("double"), c(cdelt) * c(k)
 
 
 def crop_indexes(n, size: int, step) -> Column:
@@ -316,11 +402,19 @@ def clean(x) -> Column:
     return F.when(finite(x), c(x)).otherwise(0.0)
 
 
-def contour_limits(xs) -> tuple[Column, Column]:
-    """Limits of cell-centred axis values: half a cell beyond either end."""
-    lo, hi, n = F.array_min(c(xs)), F.array_max(c(xs)), F.size(c(xs))
-    half = F.when(n > 1, (hi - lo) / (n - 1) / 2).otherwise(0.0)
-    return lo - half, hi + half
+def halved(iy, ix, ny, nx, most: int = 4000) -> Column:
+    """Whether a cell is kept: every second one of each axis if either has more than `most`."""
+    return ((c(ny) <= most) & (c(nx) <= most)) | ((c(iy) % 2 == 0) & (c(ix) % 2 == 0))
+
+
+def contour_limits(xs, lines_only) -> tuple[Column, Column]:
+    """Axis limits of a contour panel: those of the values where only lines are drawn, else half a cell (of the first
+    two values) beyond either end, in ascending order. NULL for fewer than two values."""
+    x = c(xs)
+    half = (F.get(x, F.lit(1)) - F.get(x, F.lit(0))) / 2
+    a, b = F.get(x, F.lit(0)) - half, F.element_at(x, -1) + half
+    limit = lambda of_lines, of_image: F.when(F.size(x) > 1, F.when(c(lines_only), of_lines).otherwise(of_image))
+    return limit(F.array_min(x), F.least(a, b)), limit(F.array_max(x), F.greatest(a, b))
 
 
 def flip_box(ymin, ymax, height) -> tuple[Column, Column]:
@@ -328,21 +422,43 @@ def flip_box(ymin, ymax, height) -> tuple[Column, Column]:
     return c(height) - c(ymax), c(height) - c(ymin)
 
 
-def tick_capacity(span_px, font_px, least: int = 2, most: int = 12) -> Column:
-    """How many tick labels fit."""
-    return F.greatest(F.lit(least), F.least(F.lit(most), F.floor(c(span_px) / (c(font_px) * 2)).cast("int")))
+def remapped(value, old_low, old_high, new_low, new_high) -> Column:
+    """A coordinate carried from one canvas to another; NULL for an empty canvas."""
+    return c(new_low) + (c(value) - c(old_low)) / F.nullif(c(old_high) - c(old_low), F.lit(0.0)) * (c(new_high) - c(new_low))
+
 
+# Of a label, the height of a line and the width of a character in points of its font, and the room it needs.
+LINE_HEIGHT, CHARACTER_WIDTH, LABEL_ROOM = 1.25, 0.62, 1.15
 
-def pixel_size(base, aspect, dpi, most: int = 4000) -> tuple[Column, Column]:
-    """Width and height in pixels, dpi lowered so that neither exceeds `most`."""
-    w, h = c(base), c(base) / c(aspect)
-    d = F.least(c(dpi), F.lit(float(most)) / F.greatest(w, h))
-    return F.floor(w * d).cast("int"), F.floor(h * d).cast("int")
 
+def tick_capacity(span_px, font_pt, dpi, longest=5, vertical=True, least: int = 2, most: int = 11) -> Column:
+    """How many tick labels fit along a bar: by line height where they stack, else by the longest label's characters."""
+    size = F.when(c(vertical) if isinstance(vertical, (str, Column)) else F.lit(vertical), F.lit(LINE_HEIGHT)).otherwise(CHARACTER_WIDTH * (c(longest) if isinstance(longest, (str, Column)) else F.lit(longest)))
+    label = c(font_pt) * size * c(dpi) / 72.0 * LABEL_ROOM
+    return F.when((label > 0) & (c(span_px) > 0), F.greatest(F.lit(least), F.least(F.lit(most), F.floor(c(span_px) / label).cast("int")))).otherwise(least)
 
-def panel_count(seed: int, key, mean: float, sd: float, most: int) -> Column:
-    """A clamped normal number of panels."""
-    return F.greatest(F.lit(1), F.least(F.lit(most), F.round(mean + sd * gaussian(seed, key)))).cast("int")
+
+def safe_dpi(width, height, dpi, most: float = 100e6) -> Column:
+    """Dpi, lowered where the figure (in inches) would have more than `most` pixels."""
+    area = c(width) * c(height)
+    return F.when(area * c(dpi) * c(dpi) > most, F.sqrt(most / area)).otherwise(c(dpi).cast("double"))
+
+
+def pixel_size(width, height, dpi) -> tuple[Column, Column]:
+    """Width and height in pixels, cut to whole ones."""
+    return F.floor(c(width) * c(dpi)).cast("int"), F.floor(c(height) * c(dpi)).cast("int")
+
+
+def panel_grid(drawn, layout, flip, least: int, most: int, even_above: int) -> tuple[Column, Column]:
+    """Rows and columns of a figure from a (normal) draw of the number of panels, a layout and a fair coin: the number
+    is rounded and clamped, above even_above the layout is squarish, and that may change the number."""
+    n = F.greatest(F.lit(least), F.least(F.lit(most), F.bround(c(drawn)))).cast("int")
+    side = F.floor(F.sqrt(n)).cast("int")
+    other = F.bround(n / side).cast("int")
+    squarish = (c(layout) == "squarish") | (n > even_above)
+    rows = F.when(squarish, F.when(c(flip), other).otherwise(side)).when(c(layout) == "horizontal", 1).otherwise(n)
+    columns = F.when(squarish, F.when(c(flip), side).otherwise(other)).when(c(layout) == "horizontal", n).otherwise(1)
+    return rows, columns
 
 
 # --- boxes -----------------------------------------------------------------------------------------------------
@@ -350,8 +466,12 @@ def panel_count(seed: int, key, mean: float, sd: float, most: int) -> Column:
 
 def boxes_overlap(a: str, b: str) -> Column:
     """B1: rectangles with prefixes a and b share area; touching edges don't count."""
-    p = lambda t, k: F.col(f"{t}.{k}")
-    return ~((p(a, "xmin") >= p(b, "xmax")) | (p(a, "xmax") <= p(b, "xmin")) | (p(a, "ymax") <= p(b, "ymin")) | (p(a, "ymin") >= p(b, "ymax")))
+
+    def shared(axis: str) -> Column:
+        start = F.greatest(F.col(f"{a}.{axis}min"), F.col(f"{b}.{axis}min"))
+        return start < F.least(F.col(f"{a}.{axis}max"), F.col(f"{b}.{axis}max"))
+
+    return shared("x") & shared("y")
 
 
 def iou(a: str, b: str) -> Column:
@@ -370,6 +490,14 @@ def corner_angle(ax, ay, bx, by, cx, cy) -> Column:
     return F.when(norm > 0, F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (ux * vx + uy * vy) / norm)))))
 
 
+def near_rectangle(points, tolerance: float = 12.0) -> Column:
+    """Whether all four interior angles of a quad (array of struct<x, y>) are within `tolerance` degrees of a right one."""
+    p = c(points)
+    at = lambda i: F.get(p, F.lit(i % 4))
+    angles = [corner_angle(at(i + 3)["x"], at(i + 3)["y"], at(i)["x"], at(i)["y"], at(i + 1)["x"], at(i + 1)["y"]) for i in range(4)]
+    return (F.size(p) == 4) & reduce(lambda x, y: x & y, [F.coalesce(F.abs(angle - 90) <= tolerance, F.lit(False)) for angle in angles])
+
+
 def point_in_polygon(x, y, polygon) -> Column:
     """Ray casting over an array of struct<x, y>."""
     p, n = c(polygon), F.size(c(polygon))

@@ -23,12 +23,64 @@ def null_rate(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     return df.groupBy(*keys).agg(gone.alias("missing"), F.count("*").alias("size"), (100.0 * gone / F.count("*")).alias("percent"))
 
 
-def describe(df: DataFrame, keys: list[str], column: str, quantiles: list[float] | None = None) -> DataFrame:
+#: Ranks that the sketch of a quantile may be off: one in so many rows. So many more rows at most are sorted in one place.
+SKETCH = 10_000
+
+
+def _beside(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """df with the other side's columns by key; missing keys are keys too. other has one row a key."""
+    if not keys:
+        return df.crossJoin(F.broadcast(other))
+    named = other.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[x for x in other.columns if x not in keys])
+    return df.join(named, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]), how).drop(*[f"_key{i}" for i in range(len(keys))])
+
+
+def quantiles(df: DataFrame, keys: list[str], column: str, at: dict[str, float], sketch: int = SKETCH) -> DataFrame:
+    """Exact quantiles by key, interpolated between ranks: a column for each name of at; keys without a value have no row.
+
+    A sketch brackets each quantile; rows below are counted, and only those within are put in order, each distinct
+    value once. So no task holds a key's values, however few the keys are.
+    """
+    live = df.select(*keys, F.col(column).cast("double").alias("_v")).where("_v IS NOT NULL")
+    qs, m = list(at.values()), len(at)
+    around = [max(0.0, q - 2 / sketch) for q in qs] + [min(1.0, q + 2 / sketch) for q in qs]
+    bounds = live.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", around, sketch).alias("_s"))
+    marked = _beside(live, bounds, keys)
+    v, low, high = F.col("_v"), [F.get("_s", F.lit(i)) for i in range(m)], [F.get("_s", F.lit(m + i)) for i in range(m)]
+    outside = marked.groupBy(*keys).agg(
+        F.first("_n").alias("_n"), *[F.sum((v < low[i]).cast("long")).alias(f"_below{i}") for i in range(m)],
+        *[F.max(F.when(v < low[i], v)).alias(f"_left{i}") for i in range(m)], *[F.min(F.when(v > high[i], v)).alias(f"_right{i}") for i in range(m)],
+    )
+    inside = marked.select(*keys, "_v", F.explode(F.array_compact(F.array(*[F.when((v >= low[i]) & (v <= high[i]), i) for i in range(m)]))).alias("_i"))
+    counted = inside.groupBy(*keys, "_i", "_v").agg(F.count("*").alias("_c"))
+    placed = counted.withColumn("_end", F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    placed = _beside(placed, outside, keys)
+
+    def rank(i: int, up: bool) -> Column:
+        place = qs[i] * (F.col("_n") - 1)
+        return (F.ceil(place) if up else F.floor(place)) - F.col(f"_below{i}")
+
+    def ranked(i: int, up: bool) -> Column:
+        hit = (F.col("_i") == i) & (F.col("_end") - F.col("_c") <= rank(i, up)) & (rank(i, up) < F.col("_end"))
+        return F.max(F.when(hit, v))
+
+    picked = placed.groupBy(*keys).agg(*[ranked(i, up).alias(f"_{'hi' if up else 'lo'}{i}") for i in range(m) for up in (False, True)])
+    found = _beside(picked, outside, keys)
+
+    def value(i: int) -> Column:
+        lo = F.coalesce(f"_lo{i}", F.when(rank(i, False) < 0, F.col(f"_left{i}")).otherwise(F.col(f"_right{i}")))
+        hi = F.coalesce(f"_hi{i}", F.when(rank(i, True) < 0, F.col(f"_left{i}")).otherwise(F.col(f"_right{i}")))
+        place = qs[i] * (F.col("_n") - 1)
+        return F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (place - F.floor(place)))
+
+    return found.select(*keys, *[value(i).alias(name) for i, name in enumerate(at)])
+
+
+def describe(df: DataFrame, keys: list[str], column: str, quantile: list[float] | None = None) -> DataFrame:
     """Count, mean, extremes and exact quantiles (q25, q50, ...)."""
-    q = quantiles or [0.25, 0.5, 0.75]
-    every = F.percentile(column, F.array(*map(F.lit, q)))
-    out = df.groupBy(*keys).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"), every.alias("_q"))
-    return out.select(*keys, "n", "mean", "min", "max", *[F.get("_q", F.lit(i)).alias(f"q{round(100 * x)}") for i, x in enumerate(q)])
+    names = {f"q{round(100 * x)}": x for x in quantile or [0.25, 0.5, 0.75]}
+    out = df.groupBy(*keys).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"))
+    return _beside(out, quantiles(df, keys, column, names), keys, "left" if keys else "inner")
 
 
 def log_ratio_summary(df: DataFrame, keys: list[str], answer: str, truth: str) -> DataFrame:
@@ -37,13 +89,11 @@ def log_ratio_summary(df: DataFrame, keys: list[str], answer: str, truth: str) -
     dex = df.withColumn("dex", F.when((a > 0) & (t > 0) & finite(a) & finite(t), F.log10(a / t)))
     share = lambda cond: 100 * F.avg(F.when(F.col("dex").isNotNull(), cond.cast("double")))
     d = F.col("dex")
-    return dex.groupBy(*keys).agg(
+    counted = dex.groupBy(*keys).agg(
         F.count("*").alias("answers"),
         F.sum(a.isNull().cast("long")).alias("unparsable"),
         F.sum(F.coalesce(a <= 0, F.lit(False)).cast("long")).alias("nonpositive"),
         F.count("dex").alias("plotted"),
-        F.median("dex").alias("median_dex"),
-        F.pow(F.lit(10.0), F.median("dex")).alias("median_factor"),
         share(d > 0).alias("over"),
         share(d < 0).alias("under"),
         share(F.abs(d) < math.log10(2)).alias("within2"),
@@ -51,6 +101,8 @@ def log_ratio_summary(df: DataFrame, keys: list[str], answer: str, truth: str) -
         share(d > 1).alias("over10"),
         share(d < -1).alias("under10"),
     )
+    both = _beside(counted, quantiles(dex, keys, "dex", {"median_dex": 0.5}), keys, "left" if keys else "inner")
+    return both.withColumn("median_factor", F.pow(F.lit(10.0), F.col("median_dex")))
 
 
 def band_counts(df: DataFrame, column: str, edges: list[float]) -> DataFrame:
@@ -105,7 +157,8 @@ def distinct_rounded(df: DataFrame, keys: list[str], column: str, decimals: int
 def share_within(df: DataFrame, key: str, value: str) -> DataFrame:
     """Count of each value and its percent of its key's rows."""
     counts = df.groupBy(key, value).agg(F.count("*").alias("n"))
-    return counts.withColumn("percent", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(key)))
+    total = df.groupBy(key).agg(F.count("*").alias("_total"))  # not a window: a key's values stay in as many tasks as they are in
+    return _beside(counts, total, [key]).select(key, value, "n", (100.0 * F.col("n") / F.col("_total")).alias("percent"))
 
 
 def rare_to_null(df: DataFrame, value: str, percent: str, least: float) -> DataFrame:
@@ -248,23 +301,130 @@ def run_difference(df: DataFrame, keys: list[str], run: str, first, second, corr
     return df.groupBy(*keys).agg(at(first).alias("first"), at(second).alias("second"), (at(second) - at(first)).alias("change"))
 
 
-def clip_stretch(df: DataFrame, key: str, value: str, percent: float = 99.0) -> DataFrame:
-    """Values clipped to the central percent of their field and rescaled to 0..1."""
+def clip_stretch(df: DataFrame, key: str, value: str, percent: float = 99.0, log: float | None = None) -> DataFrame:
+    """Values clipped to the central percent of their field and rescaled to 0..1; with log = a stretched by
+    log(a x + 1) / log(a + 1). NULL stays NULL; a field of one value becomes 0."""
     tail = (1 - percent / 100) / 2
-    bounds = df.groupBy(key).agg(F.percentile(value, F.lit(tail)).alias("_lo"), F.percentile(value, F.lit(1 - tail)).alias("_hi"))
+    bounds = quantiles(df, [key], value, {"_lo": tail, "_hi": 1 - tail})
     x = F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi"))
-    return df.join(bounds, key).withColumn("stretched", F.when(F.col("_hi") > F.col("_lo"), (x - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)).drop("_lo", "_hi")
+    unit = F.when(F.col("_hi") > F.col("_lo"), (x - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    unit = unit if log is None else F.log(log * unit + 1) / math.log(log + 1)
+    return _beside(df, bounds, [key], "left").withColumn("stretched", F.when(F.col(value).isNotNull(), unit)).drop("_lo", "_hi")
 
 
-def round_robin(df: DataFrame, order: list, workers: int) -> DataFrame:
-    """Which of `workers` each row goes to, in turn. It numbers rows globally: for work lists, not for data."""
-    return df.withColumn("worker", ((F.row_number().over(Window.orderBy(*order)) - 1) % workers).cast("int"))
+def unstretched(stretched, low, high, log: float | None = None) -> Column:
+    """M26, backwards: the value of a stretched one between the limits of its field."""
+    x = c(stretched)
+    unit = x if log is None else (F.pow(F.lit(log + 1.0), x) - 1) / log
+    return c(low) + unit * (c(high) - c(low))
+
+
+#: Into how many ranges of the order rows are dealt to be numbered.
+RANGES = 512
+
+
+def numbered(df: DataFrame, order: Column, low: float, high: float, ties: list, name: str = "number") -> DataFrame:
+    """df with the place of each row (from 0) in an order, without bringing all rows together: rows are dealt into equal
+    ranges of the order (a number between low and high), counted, and numbered within their range. ties says in what
+    order rows of the same number stand."""
+    part = F.greatest(F.lit(0), F.least(F.lit(RANGES - 1), F.floor((order - low) / max(high - low, 1e-300) * RANGES)))
+    dealt = df.withColumn("_order", order).withColumn("_range", F.when(order.isNull(), -1).otherwise(part).cast("int"))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_rows"))  # at most RANGES + 1 rows
+    before = sizes.select("_range", F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("_order", *ties)) - 1
+    return dealt.withColumn(name, within).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col(name)).drop("_order", "_range", "_before")
+
+
+def round_robin(df: DataFrame, order: str, workers: int) -> DataFrame:
+    """Which of `workers` each row goes to, in turn, by a numeric column (missing values first); ties by all columns."""
+    low, high = df.agg(F.min(order).cast("double"), F.max(order).cast("double")).first()
+    found = numbered(df, F.col(order).cast("double"), low or 0.0, high or 0.0, list(df.columns), "_n")
+    return found.withColumn("worker", (F.col("_n") % workers).cast("int")).drop("_n")
 
 
 #: Statistics by name.
-STATISTICS = {"minimum": F.min, "maximum": F.max, "median": F.median, "mean": F.avg}
+STATISTICS = {"minimum": F.min, "maximum": F.max, "median": None, "mean": F.avg}
 
 
 def statistics(df: DataFrame, keys: list[str], value: str, names: list[str]) -> DataFrame:
     """The named statistics of a value."""
-    return df.groupBy(*keys).agg(*[STATISTICS[n](value).alias(n) for n in names])
+    out = df.groupBy(*keys).agg(F.count(value).alias("_n"), *[STATISTICS[n](value).alias(n) for n in names if n != "median"])
+    if "median" in names:
+        out = _beside(out, quantiles(df, keys, value, {"median": 0.5}), keys, "left" if keys else "inner")
+    return out.select(*keys, *names)
+
+
+def extremes(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """A2: least, largest and summed value of each key."""
+    return df.groupBy(*keys).agg(F.min(column).alias("min"), F.max(column).alias("max"), F.sum(column).alias("sum"))
+
+
+def finite_mean(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Rows, finite values and their mean by key."""
+    v = F.when(finite(column), F.col(column))
+    return df.groupBy(*keys).agg(F.count("*").alias("size"), F.count(v).alias("finite"), F.avg(v).alias("mean"))
+
+
+def row_of_largest(df: DataFrame, keys: list[str], measure: str) -> DataFrame:
+    """Each key's row with the largest measure; of equal ones the row that is largest as a whole."""
+    others = [x for x in df.columns if x not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(F.col(measure), F.struct(*others))).alias("_r")).select(*keys, "_r.*")
+
+
+def value_sets(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The distinct values of columns by key, in order."""
+    return df.groupBy(*keys).agg(*[F.array_sort(F.collect_set(x)).alias(x) for x in columns])
+
+
+def tally(df: DataFrame, cases: list[tuple[str, Column]], other: str = "other") -> DataFrame:
+    """How many rows have each status, the first whose condition holds; statuses without rows count 0."""
+    status = reduce(lambda acc, case: F.when(case[1], case[0]).otherwise(acc), reversed(cases), F.lit(other))
+    counts = df.select(status.alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+    every = df.sparkSession.createDataFrame([(name,) for name, _ in cases] + [(other,)], "status string")
+    return every.join(counts, "status", "left").fillna(0, ["n"])
+
+
+def substitutions(df: DataFrame, least_percent: float = 0.01, least_count: int | None = None) -> DataFrame:
+    """Pairs of a read (ocr) and a true (pdf) token with percent and count: those above the least count (or else
+    percent), insertions (^ read) and deletions (@ true) named so, and the numbers of pairs that are both made NULL."""
+    kept = df.where(F.col("count") > least_count) if least_count is not None else df.where(F.col("percent") > least_percent)
+    name = F.concat(F.round("percent", 2).cast("string"), F.lit("%"))
+    ocr = F.when((F.col("ocr") == "^") & (F.col("pdf") != "^"), "INSERT").otherwise(F.col("ocr"))
+    pdf = F.when((F.col("pdf") == "@") & (F.col("ocr") != "@"), "DELETE").otherwise(F.col("pdf"))
+    named = kept.select(ocr.alias("ocr"), pdf.alias("pdf"), "percent", "count", name.alias("name"))
+    both = (F.col("ocr") == "INSERT") & (F.col("pdf") == "DELETE")
+    return named.select("ocr", "pdf", *[F.when(~both, F.col(x)).alias(x) for x in ("percent", "count")], "name")
+
+
+def edge_bin(x, edges: list[float]) -> Column:
+    """The bin of x among given ascending edges, the last closed; NULL outside."""
+    x, last = c(x), len(edges) - 2
+    return F.coalesce(*[F.when((x >= a) & ((x <= b) if i == last else (x < b)), i) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
+
+
+def histogram_of(df: DataFrame, column: str, edges: list[float]) -> DataFrame:
+    """All bins of given edges with their counts."""
+    counts = df.select(edge_bin(column, edges).alias("bin")).where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("n"))
+    every = df.sparkSession.range(len(edges) - 1).select(F.col("id").cast("int").alias("bin"))
+    return every.join(counts, "bin", "left").fillna(0, ["n"])
+
+
+def largest_changes(df: DataFrame, first: str, second: str, n: int = 5) -> DataFrame:
+    """O2: the n rows that differ most between two columns, either way; ties by all columns."""
+    return df.withColumn("diff", F.col(second) - F.col(first)).orderBy(F.desc(F.abs("diff")), *df.columns).limit(n)
+
+
+def frequent(df: DataFrame, word: str, most: int, dropped: list[str], then: int) -> DataFrame:
+    """O3: of the `most` commonest words those that aren't dropped, at most `then`: word, n. Ties by word."""
+    top = df.groupBy(word).agg(F.count("*").alias("n")).orderBy(F.desc("n"), word).limit(most)
+    return top.where(~F.col(word).isin(*dropped)).orderBy(F.desc("n"), word).limit(then)
+
+
+def sky_features(df: DataFrame, key: str, value: str, width: str, height: str, fraction: float = 0.01) -> DataFrame:
+    """The four features of a field: log size, concentration, log span and sign of its least value."""
+    v = F.when(finite(value), F.col(value))
+    spans = df.groupBy(key).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.max(width).alias("_w"), F.max(height).alias("_h"))
+    light = concentration(df.where(finite(value)), key, value, fraction)
+    size = F.when(F.col("_w") * F.col("_h") > 0, F.log10(F.sqrt(F.col("_w") * F.col("_h"))))
+    span = F.when(F.col("_hi") > F.col("_lo"), F.log10(F.col("_hi") - F.col("_lo"))).otherwise(-12.0)
+    return spans.join(light, key, "left").select(key, size.alias("field_size"), F.coalesce("concentration", F.lit(0.0)).alias("concentration"), span.alias("span"), F.signum("_lo").alias("sign"))

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import boxes_overlap, c, iou, normalise_name, separation
+from ..functions.scalars import angle_arcsec, boxes_overlap, c, iou, normalise_name, separation
+from .evaluate import numbered
 
 
 def with_category(facts: DataFrame, dimension: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -50,12 +51,24 @@ def duplicates(df: DataFrame, key: list[Column], source: str) -> DataFrame:
     return keyed.join(counts, names).drop(*names)
 
 
+#: Targets that are compared with a point in one row.
+TARGET_BLOCK = 2048
+
+
 def nearest(points: DataFrame, targets: DataFrame, key: str, ra: str = "ra", dec: str = "dec") -> DataFrame:
-    """For each point the nearest of the targets that share its key."""
-    t = targets.select(key, F.col("target"), F.col(ra).alias("_ra"), F.col(dec).alias("_dec"))
-    sep = separation(ra, dec, "_ra", "_dec")
-    others = [x for x in points.columns]
-    return points.join(t, key).groupBy(*others).agg(F.min(F.struct(sep.alias("separation"), "target")).alias("_m")).select(*others, "_m.separation", "_m.target")
+    """For each point the nearest of the targets that share its key; of equally near ones the least.
+
+    A key's targets come in blocks of some TARGET_BLOCK, as an array: a point meets a row for each block, not one for
+    each target, and what is shuffled after that is one row for each point and block. Repeated points stay apart.
+    """
+    sizes = targets.groupBy(key).agg(F.ceil(F.count("*") / F.lit(TARGET_BLOCK)).cast("int").alias("_blocks"))
+    dealt = targets.join(sizes, key).withColumn("_block", F.pmod(F.xxhash64("target"), F.col("_blocks")))
+    blocks = dealt.groupBy(key, "_block").agg(F.collect_list(F.struct(F.col(ra).cast("double").alias("ra"), F.col(dec).cast("double").alias("dec"), F.col("target"))).alias("_targets")).drop("_block")
+    others = list(points.columns)
+    each = points.withColumn("_row", F.monotonically_increasing_id()).join(blocks, key)
+    best = F.array_min(F.transform("_targets", lambda t: F.struct(separation(ra, dec, t["ra"], t["dec"]).alias("separation"), t["target"].alias("target"))))
+    met = each.select("_row", F.struct(*others).alias("_p"), best.alias("_m"))
+    return met.groupBy("_row").agg(F.first("_p").alias("_p"), F.min("_m").alias("_m")).select("_p.*", "_m.separation", "_m.target")
 
 
 def segment_pairs(segments: DataFrame, figure: str, height: float, longest: int = 8) -> DataFrame:
@@ -80,19 +93,22 @@ def sample_per_group(df: DataFrame, groups: list[str], key: str, n: int) -> Data
     return df.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
 
 
+ORDER_END = 1_000_003
+
+
 def assign_ids(known: DataFrame, keys: DataFrame, key: str, number: str = "number") -> DataFrame:
-    """Known numbers stay; new keys get the next ones in keyed order. New keys are numbered in one place: they are few a run."""
+    """Known numbers stay; new keys get the next ones in keyed order."""
     new = keys.select(key).distinct().join(known.select(key), key, "left_anti")
     last = known.agg(F.coalesce(F.max(number), F.lit(0)).alias("_last"))
-    numbered = new.withColumn("_r", F.row_number().over(Window.orderBy(keyed_order(key), key))).crossJoin(F.broadcast(last))
-    return known.select(key, number).unionByName(numbered.select(key, (F.col("_last") + F.col("_r")).cast(known.schema[number].dataType).alias(number)))
+    placed = numbered(new, keyed_order(key), 0, ORDER_END, [key], "_r").crossJoin(F.broadcast(last))
+    return known.select(key, number).unionByName(placed.select(key, (F.col("_last") + F.col("_r") + 1).cast(known.schema[number].dataType).alias(number)))
 
 
 def assign_pool(items: DataFrame, pool: DataFrame, item: str, value: str) -> DataFrame:
     """The k-th item gets the pool's k mod n-th value, both in keyed order."""
     n = pool.agg(F.count("*").alias("_n"))
-    p = pool.withColumn("_p", F.row_number().over(Window.orderBy(keyed_order(value), value)) - 1).select(value, "_p")
-    k = items.withColumn("_k", F.row_number().over(Window.orderBy(keyed_order(item), item)) - 1).crossJoin(F.broadcast(n))
+    p = numbered(pool.select(value), keyed_order(value), 0, ORDER_END, [value], "_p")
+    k = numbered(items, keyed_order(item), 0, ORDER_END, [item], "_k").crossJoin(F.broadcast(n))
     return k.withColumn("_p", F.col("_k") % F.col("_n")).join(p, "_p").drop("_p", "_k", "_n")
 
 
@@ -152,16 +168,35 @@ def category_of_sets(types, distributions) -> Column:
     )
 
 
-def survey_range(pixel_arcsec, fov_arcsec, least_pixels: int = 100, ceiling: float = 36000.0) -> tuple[Column, Column]:
-    """The field sizes a survey allows: least_pixels of its pixels, up to its field of view and a ceiling; NULL without pixel size."""
-    low = c(pixel_arcsec) * least_pixels
-    return low, F.when(low.isNotNull(), F.greatest(low, F.least(F.coalesce(c(fov_arcsec), F.lit(ceiling)), F.lit(ceiling))))
+def survey_resolution(resolution_text, pixel_arcsec, beams: float = 2.5) -> Column:
+    """A survey's resolution in arc seconds: as stated, else so many of its pixels."""
+    return F.coalesce(angle_arcsec(resolution_text), beams * c(pixel_arcsec))
+
+
+def survey_range(resolution_arcsec, fov_arcsec, res_factor: float = 50.0, fov_factor: float = 0.75, ceiling: float | None = 18000.0, on_conflict: str = "clamp") -> tuple[Column, Column]:
+    """The field sizes (low, high; arc seconds) to ask a survey for: res_factor resolutions up to fov_factor of its
+    field of view, and at most `ceiling`. Where they cross, high holds for both ("clamp") or there is no range ("none").
+    Without resolution or a positive field of view there is none."""
+    high = fov_factor * c(fov_arcsec)
+    high = high if ceiling is None else F.least(high, F.lit(float(ceiling)))
+    low = res_factor * c(resolution_arcsec)
+    known = (c(fov_arcsec) > 0) & low.isNotNull()
+    if on_conflict == "clamp":
+        return F.when(known, F.least(low, high)), F.when(known, high)
+    return F.when(known & (low < high), low), F.when(known & (low < high), high)
 
 
-def field_size(major_arcsec, low, high, u) -> Column:
-    """Three times the object's major axis within the survey's range, else a log-uniform draw from it."""
-    known = F.when(c(major_arcsec).isNotNull(), F.greatest(c(low), F.least(c(high), 3 * c(major_arcsec))))
-    return F.coalesce(known, F.exp(F.log(c(low)) + c(u) * (F.log(c(high)) - F.log(c(low)))))
+def field_size(major_arcsec, low, high, u, factor: float = 3.0) -> Column:
+    """`factor` times the object's major axis, within the survey's range if it has one; without an object a
+    log-uniform draw from the range; NULL with neither."""
+    size = F.when(c(major_arcsec) > 0, factor * c(major_arcsec))
+    held = F.when(c(low).isNotNull(), F.least(F.greatest(size, c(low)), c(high))).otherwise(size)
+    return F.when(size.isNotNull(), held).otherwise(F.exp(F.log(c(low)) + c(u) * (F.log(c(high)) - F.log(c(low)))))
+
+
+def field_size_by(df: DataFrame, policy, name: str = "field_size") -> DataFrame:
+    """Df with the size that a policy gives; policy(low, high, major, u) -> Column. field_size is the usual one."""
+    return df.withColumn(name, policy(F.col("low"), F.col("high"), F.col("major"), F.col("u")))
 
 
 def bernoulli_plan(df: DataFrame, key: str, effects: list[tuple[str, str, float]], draw) -> DataFrame:
@@ -192,3 +227,62 @@ def box_on_sky(x0, y0, x1, y1, scale, ra0, dec0) -> tuple[Column, Column]:
     a, b, d, e = corner(x0, y0), corner(x1, y0), corner(x0, y1), corner(x1, y1)
     side = lambda p, q: separation(p[0], p[1], q[0], q[1])
     return (side(a, b) + side(d, e)) / 2, (side(a, d) + side(b, e)) / 2
+
+
+def required(left: DataFrame, right: DataFrame, key: str, optional: list | None = None) -> DataFrame:
+    """Left with right's columns; a key without a row there that isn't optional is an error that names it."""
+    found = right.withColumn("_found", F.lit(True))
+    may_miss = F.col(key).isin(*optional) if optional else F.lit(False)
+    checked = F.when(F.col("_found").isNull() & ~may_miss, F.raise_error(F.concat(F.lit("no row for "), F.col(key).cast("string")))).otherwise(F.col(key))
+    others = [x for x in left.columns if x != key]
+    return left.join(found, key, "left").select(checked.alias(key), *others, *[x for x in right.columns if x != key])
+
+
+def enriched(df: DataFrame, other: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Df with columns of the other side's rows of a key, NULL where there is none (other has one row a key)."""
+    return df.join(other.select(key, *columns), key, "left")
+
+
+def flagged(df: DataFrame, members: DataFrame, keys: list[str], name: str = "known") -> DataFrame:
+    """Df with a flag for keys (composite ones too) that stand in members."""
+    return df.join(members.select(*keys).distinct().withColumn(name, F.lit(True)), keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def not_stopped(a, b, stop: list[str]) -> Column:
+    """Not both words on the stop list."""
+    return ~(c(a).isin(*stop) & c(b).isin(*stop))
+
+
+def without_places(items, places) -> Column:
+    """An array without the elements at the places (from 0) in another array."""
+    return F.filter(c(items), lambda _, i: ~F.array_contains(c(places), i))
+
+
+def grow_sample(df: DataFrame, kept: DataFrame, groups: list[str], key: str, n: int) -> DataFrame:
+    """What is kept, and n more rows of each group from the rest."""
+    rest = df.join(kept.select(key), key, "left_anti").select(*df.columns)
+    return df.join(kept.select(key), key, "left_semi").select(*df.columns).unionByName(sample_per_group(rest, groups, key, n))
+
+
+#: The parts of a panel that have a box of their own, with their labels.
+PANEL_BOXES = [("square", "square"), ("title", "title"), ("xlabel", "xlabel"), ("ylabel", "ylabel"), ("x_offset", "x-offset text"), ("y_offset", "y-offset text"), ("colorbar", "colorbar"), ("colorbar_label", "colorbar label"), ("colorbar_offset", "colorbar offset text")]
+TICK_BOXES = [("xticks", "x-tick labels", True), ("yticks", "y-tick labels", True), ("colorbar_ticks", "colorbar tick", False)]
+
+
+def collect_boxes(panels: DataFrame, keys: list[str], grace: float = 5.0) -> DataFrame:
+    """The boxes of panels as rows: keys, label, n (place among those of the label), xmin, ymin, xmax, ymax.
+
+    panels have a struct of xmin, ymin, xmax, ymax for each part they hold (PANEL_BOXES) and arrays of tick boxes, those
+    of the axes with their position tx, ty: axis ticks further than `grace` outside the square are left out.
+    """
+    q = F.col("square")
+    box = lambda label, n, b: F.struct(F.lit(label).alias("label"), n.cast("int").alias("n"), *[b[x].cast("double").alias(x) for x in ("xmin", "ymin", "xmax", "ymax")])
+    near = lambda t: t["tx"].between(q["xmin"] - grace, q["xmax"] + grace) & t["ty"].between(q["ymin"] - grace, q["ymax"] + grace)
+
+    def ticks(name: str, label: str, on_axis: bool) -> Column:
+        kept = F.filter(name, near) if on_axis else F.col(name)
+        return F.coalesce(F.transform(kept, lambda t, i: box(label, i, t)), F.array())
+
+    single = [F.when(F.col(name).isNotNull(), box(label, F.lit(0), F.col(name))) for name, label in PANEL_BOXES if name in panels.columns]
+    every = [F.array_compact(F.array(*single))] + [ticks(*part) for part in TICK_BOXES if part[0] in panels.columns]
+    return panels.select(*keys, F.explode(F.concat(*every)).alias("_b")).select(*keys, "_b.*")

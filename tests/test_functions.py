@@ -3,15 +3,18 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from figquarry import schemas
 from figquarry.functions import parse as P
 from figquarry.functions import scalars as S
 from figquarry.operators import evaluate as E
 from figquarry.operators import fields as G
+from figquarry.operators import questions as Q
 from figquarry.operators import relate as R
 from figquarry.sources import files as IO
 from figquarry.streaming import incremental as I
@@ -87,7 +90,12 @@ ANSWERS = [
     ('{"plot types": "contour",}', "contour", None, None),
     ("{'plot types': 'contour'}", "contour", None, None),
     ('{"plot types": "a "contour" b"}', 'a "contour" b', None, None),
+    ('{"plot types": "con"tour"}', "contour", None, None),
     ("{'plot types': ('a', None)[0:1] and 'x', }", None, None, "not json"),
+    ('{"plot types": 7, "Reason": "r", "explanation": null}', "7", None, None),
+    (' {"plot types":true , "b":"" } ', "true", None, None),
+    ('{"plot types": "a", "plot types": "b"}', "b", None, None),
+    ('{"plot types": 1.50}', "1.5", None, None),
     ('{"plot_types": "contour"}', "contour", None, None),
     ('```json\n{"other": "x"}\n```\n```json\n{"Plot-Types": "contour"}\n```', "contour", None, None),
     ('{"explanation": "only"}', None, "only", "no answer"),
@@ -117,6 +125,13 @@ def test_no_text_breaks_the_parser(text):
     assert set(P.parse_answer(text)) == {"answer", "explanation", "failure", "n_objects", "lost"}
 
 
+def test_flat_objects_read_alike(spark):
+    texts = ['{"a": "b"}', '{"a": null}', '{"reason": "x"}', '{"a b": "c", "Rationale": "d", "e": -12}', '{"a": 0}', '{"a": -0}', '{"a": "x", }', '{"a": "\\n"}', '{"": "x"}', '{"a": "é 日"}', "{}", '{"a": {"b": 1}}', '{"a":true}{"a":false}']
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", P.tolerant("t").alias("p"), P._flat_answer(F.col("t")).isNotNull().alias("flat")).orderBy("i").collect()
+    assert [r.p.asDict() for r in got] == [P.parse_answer(t) for t in texts]
+    assert [r.flat for r in got] == [True] * 5 + [False] * 4 + [True] + [False] * 3
+
+
 def test_truth_and_decoding(spark):
     texts = ['"x"', '["x"]', '{"a": "x"}', '{"a": {"b": "x"}}', "x", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(P.ground_truth("t")).collect()]
@@ -170,15 +185,76 @@ def test_names_and_tables(spark):
 
 def test_strings(spark):
     got = one(
-        spark, S.panel_words(F.lit(0), F.lit(0), F.lit(2), F.lit(2)), S.panel_words(F.lit(1), F.lit(1), F.lit(3), F.lit(3)), S.panel_words(F.lit(0), F.lit(0), F.lit(1), F.lit(1)),
+        spark, S.panel_words(F.lit(0), F.lit(0)), S.panel_words(F.lit(1), F.lit(2)), S.panel_words(F.lit(0), F.lit(1)), S.panel_words(F.lit(2), F.lit(0)),
         S.header_value(F.lit("BUNIT   = 'K km/s '  / unit"), "BUNIT"), S.expected_key(F.lit('Answer as {"plot types": "<x>"}')), S.expected_key(F.lit("{nothing}")), S.fenced_json(F.lit('say ```json\n{"a": 1}\n```')),
-        S.finest_tick_unit(F.array(F.lit("12h30m"), F.lit("12h31m"))), S.choices(F.lit("please choose [a, 'b']")), S.abridge(F.lit("keep cut this out resume here"), "cut", "resume"),
-        S.latex_escape(F.lit("5% of a_b")), S.capitalise(F.lit("two words"), "first"), S.sent_prompt(F.lit(" Is it? "), "Q: "), S.cer(F.lit("kitten"), F.lit("sitting")), S.fix_escapes(F.lit(r"\alpha \n")),
+        S.header_number(F.lit("CRVAL1  =  -1.5E+01 / deg"), "CRVAL1"), S.choices(F.lit("please choose [a, 'b']")), S.abridge(F.lit("keep cut this out resume here"), "cut", "resume"),
+        S.latex_escape(F.lit("5% of a_b")), S.capitalise(F.lit("two words"), "first"), S.sent_prompt(F.lit(" Is it? "), "Q: "), S.cer(F.lit("kitten"), F.lit("sitting")), S.grouped_number(F.lit(1234567.891), 2), S.unflat_name(S.flat_name(F.lit("M 31/a"))),
     )
-    assert list(got)[:3] == ["top-left", "2nd row, 2nd column", "only"]
-    assert list(got)[3:8] == ["K km/s", "plot types", None, '{"a": 1}', "arcmin"]
-    assert list(got)[8:13] == [["a", "b"], "keep ...resume here", r"5\% of a\_b", "Two words", "Q: is it?"]
-    assert got[13] == pytest.approx(300 / 7) and got[14] == r"\\alpha \n"
+    assert list(got)[:4] == ["top-left", "third row and second column", "top row and second from the left", "third row and left-most"]
+    assert list(got)[4:9] == ["K km/s", "plot types", None, '{"a": 1}', -15.0]
+    assert list(got)[9:14] == [["a", "b"], "keep ...resume here", r"5\% of a\_b", "Two words", "Q: is it?"]
+    assert got[14] == pytest.approx(300 / 7) and list(got)[15:] == ["1,234,567.89", "M 31/a"]
+
+
+def test_error_rate_of_empty_sides(spark):
+    assert list(one(spark, *[S.cer(F.lit(h).cast("string"), F.lit(r).cast("string")) for h, r in (("", ""), ("abc", ""), ("", "ab"), (None, "ab"), ("x", "ab"))])) == [0, 3, 2, 2, 100]
+
+
+def test_tick_units(spark):
+    ticks = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    cases = [(r"$12^\mathrm{h}30^\mathrm{m}$", "ra", "minutes"), (r"$12^\mathrm{h}$", "ra", "hours"), (r"$5\mathregular{^s}$", "ra", "seconds"), (r"$-3{^\circ}20{}^\prime$", "dec", "arcminutes"), ("3°", "dec", "degrees"), (r"$1^\prime\prime$", "dec", "arcseconds"), ("12h", "ra", None)]
+    assert list(one(spark, *[S.finest_tick_unit(ticks(t), axis) for t, axis, _ in cases], S.finest_tick_unit(ticks(), "ra"))) == [u for *_, u in cases] + [None]
+
+
+def test_escape_repairs(spark):
+    backslash = "\\"
+    cases = [(r"\alpha \n", r"\\alpha \n"), (r"\u00e9 \u12", r"\u00e9 \\u12"), (r"a\\b \q", r"a\\b \\q"), (backslash, backslash * 2), ("plain", "plain"), (r"\\\d", r"\\\\d")]
+    assert list(one(spark, *[S.fix_escapes(F.lit(a)) for a, _ in cases])) == [b for _, b in cases]
+    assert all(json.loads(f'"{b}"') is not None for _, b in cases)
+    assert list(one(spark, S.fix_raw_strings(F.lit(r'{"a": r"\alpha", "b": r"x"} \o')), S.fix_latex_commands(F.lit(r"\alpha \\beta \1")), S.quote_math(F.lit("is $x^2$ so")))) == [
+        r'{"a": "\\alpha", "b": "x"} \o', r"\\alpha \\beta \1", r'is "\$x^2\$" so',
+    ]
+
+
+def slow_grid(nx, ny, w, h):
+    """The rule, step by step in plain numbers."""
+    nx, ny = max(1, nx), max(1, ny)
+    if nx > w or ny > h:
+        f = min(w / nx, h / ny)
+        nx, ny = (min(m, max(1, round(n * f))) for n, m in ((nx, w), (ny, h)))
+    k, rounds = max(1, min(w // nx, h // ny)), 0
+    while k % 2 == 0 and rounds < 8:
+        a, b = max(1, nx * k // (k + 1)), max(1, ny * k // (k + 1))
+        if max(a * (k + 1) - w, b * (k + 1) - h) > 0 or (a, b) == (nx, ny):
+            break
+        nx, ny, rounds = a, b, rounds + 1
+        k = max(1, min(w // a, h // b))
+    return nx, ny, k if k % 2 else max(1, k - 1)
+
+
+def test_pixel_grid(spark):
+    rows = [(x, y, w, h) for x in (1, 2, 7, 40, 75, 99, 100, 149, 150, 151, 299, 300, 301, 1200) for y in (1, 3, 50, 149, 150, 300, 900) for w, h in ((300, 300), (300, 200), (64, 300), (5, 4))]
+    got = spark.createDataFrame(rows, "x int, y int, w int, h int").select("*", S.pixel_grid("x", "y", "w", "h").alias("g")).collect()
+    assert [(r.g.nx, r.g.ny, r.g.k) for r in got] == [slow_grid(*r) for r in rows]
+    again = spark.createDataFrame([tuple(r.g) for r in got if (r.w, r.h) == (300, 300)], "x long, y long, k long").select("*", S.pixel_grid("x", "y").alias("g"))
+    assert all(tuple(r.g) == (r.x, r.y, r.k) for r in again.collect())
+
+
+def test_survey_fields(spark):
+    pair = lambda *x, **k: [F.round(v, 6) for v in R.survey_range(*map(F.lit, x), **k)]
+    null = F.lit(None).cast("double")
+    got = one(spark, *pair(500.0, 1000.0), *pair(2.0, 100000.0), *pair(2.0, 1000.0), *pair(500.0, 1000.0, on_conflict="none"), *R.survey_range(F.lit(2.0), null), R.field_size(F.lit(100.0), F.lit(200.0), F.lit(250.0), F.lit(0.5)), R.field_size(F.lit(100.0), null, null, F.lit(0.5)), R.field_size(null, F.lit(10.0), F.lit(1000.0), F.lit(0.5)), R.field_size(null, null, null, F.lit(0.5)), R.survey_resolution(F.lit("1.5 arcmin"), F.lit(9.0)), R.survey_resolution(F.lit("?"), F.lit(2.0)))
+    assert list(got) == [750, 750, 100, 18000, 100, 750, None, None, None, None, 250, 300, pytest.approx(100), None, 90, 5]
+
+
+def test_canvas_and_axes(spark):
+    xs = F.array(*map(F.lit, (4.0, 3.0, 1.0)))
+    a, b, d, e = *S.contour_limits(xs, F.lit(False)), *S.contour_limits(xs, F.lit(True))
+    got = one(spark, a, b, d, e, S.remapped(F.lit(5.0), F.lit(0.0), F.lit(10.0), F.lit(100.0), F.lit(300.0)), S.safe_dpi(F.lit(20.0), F.lit(20.0), F.lit(1000.0)), S.safe_dpi(F.lit(4.0), F.lit(3.0), F.lit(300)), S.tick_capacity(F.lit(200.0), F.lit(10.0), F.lit(72.0)), S.tick_capacity(F.lit(200.0), F.lit(10.0), F.lit(72.0), vertical=False), S.tick_capacity(F.lit(0.0), F.lit(10.0), F.lit(72.0)), *S.decimated_header(F.lit(150.5), F.lit(-0.01), F.lit(300), F.lit(60), F.lit(5)))
+    assert list(got) == [0.5, 4.5, 1.0, 4.0, 200.0, 500.0, 300.0, 11, 5, 2, pytest.approx((150.5 - 2 - 1 + 5) / 5), pytest.approx(-0.05)]
+    rows, cols = S.panel_grid("d", "l", "f", 1, 10, 6)
+    grid = spark.createDataFrame([(7.2, "vertical", False), (7.2, "vertical", True), (3.4, "horizontal", True), (3.4, "vertical", True), (99.0, "squarish", False), (-4.0, "squarish", False)], "d double, l string, f boolean").select(rows, cols).collect()
+    assert [tuple(r) for r in grid] == [(2, 4), (4, 2), (1, 3), (3, 1), (3, 3), (1, 1)]
 
 
 def test_geometry(spark):
@@ -241,8 +317,8 @@ def test_cer_of_whole_texts(spark, tmp_path):
     texts = {1: ("same start " * 8 + "one end", "same start " * 8 + "another"), 2: ("größer als 3 µm", "grosser als 3 um"), 3: ("天の川 😀", "天の河"), 4: ("x", ""), 5: (None, "y"), 6: ("", "reference"), 7: ("kitten", "sitting")}
     rows = [(k, turn, "user", text) for k, pair in texts.items() for turn, text in enumerate((*pair, "a later turn"))]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = {r.conv_id: r.cer for r in QUERIES["cer_whole"](spark, str(tmp_path)).collect()}
-    assert got == {k: round(100 * distance(a, b) / len(b), 6) for k, (a, b) in texts.items() if a is not None and b}
+    got = {r.conv_id: r.cer for r in QUERIES["cer"](spark, str(tmp_path)).collect()}
+    assert got == {k: round(100 * distance(a, b) / len(b), 6) if a and b else max(len(a or ""), len(b)) for k, (a, b) in texts.items()}
 
 
 def test_assign_pool_keeps_every_item(spark):
@@ -259,3 +335,94 @@ def test_usage_cost_keeps_every_priced_key(spark):
     prices = spark.range(n).select(F.col("id").alias("model"), F.lit(1e6).alias("in_price"), F.lit(2e6).alias("out_price"))
     got = E.usage_cost(calls, ["model"], prices).collect()
     assert sorted(r.model for r in got) == list(range(n)) and {r.cost for r in got} == {24.0}
+
+
+@pytest.mark.parametrize("sketch", [10, 10_000])
+def test_quantiles_are_exact(spark, sketch):
+    rng = np.random.default_rng(5)
+    values = {"normal": rng.normal(size=701), "ties": rng.integers(0, 4, 500).astype(float), "one": np.array([3.0]), "two": np.array([1.0, 2.0]), "skewed": np.exp(5 * rng.normal(size=900)), None: rng.normal(size=33)}
+    rows = [(k, float(x)) for k, v in values.items() for x in v] + [("none", None), ("one", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    at = {"least": 0.0, "q1": 0.25, "half": 0.5, "q9": 0.9, "most": 1.0}
+    got = {r.k: list(r)[1:] for r in E.quantiles(df, ["k"], "v", at, sketch).collect()}
+    assert got == {k: pytest.approx(np.quantile(v, list(at.values())).tolist()) for k, v in values.items()}
+    assert list(E.quantiles(df, [], "v", at, sketch).first()) == pytest.approx(np.quantile(np.concatenate(list(values.values())), list(at.values())).tolist())
+    described = {r.k: (r.n, r.q50) for r in E.describe(df, ["k"], "v").collect()}
+    assert described["none"] == (0, None) and described["one"] == (1, 3.0) and described[None][0] == 33
+
+
+def test_rows_are_numbered_in_order(spark):
+    rows = [(i, float(x) if x is not None else None) for i, x in enumerate([5, 1, 1, None, 9.5, 1, 0, None, 700, -3])]
+    df = spark.createDataFrame(rows, "i int, x double")
+    got = E.round_robin(df, "x", 4).collect()
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    assert {r.i: r.worker for r in got} == {i: n % 4 for n, (i, _) in enumerate(order)}
+    same = spark.createDataFrame([(i, 2.0) for i in range(9)], "i int, x double")
+    assert sorted(r.worker for r in E.round_robin(same, "x", 3).collect()) == [0] * 3 + [1] * 3 + [2] * 3 and E.round_robin(df.limit(0), "x", 3).count() == 0
+
+
+def test_nearest_of_blocks(spark):
+    rng = np.random.default_rng(2)
+    points = [(k, int(rng.integers(0, 3)), float(rng.uniform(0, 360)), float(rng.uniform(-80, 80))) for k in range(60)]
+    points += points[:5] + [(99, 7, 1.0, 1.0)]
+    targets = [(k, int(rng.integers(0, 3)), float(rng.uniform(0, 360)), float(rng.uniform(-80, 80))) for k in range(300)]
+    p, q = spark.createDataFrame(points, "id int, k int, ra double, dec double"), spark.createDataFrame(targets, "target int, k int, ra double, dec double")
+    block, R.TARGET_BLOCK = R.TARGET_BLOCK, 16
+    try:
+        got = sorted((r.id, r.target) for r in R.nearest(p, q, "k").collect())
+    finally:
+        R.TARGET_BLOCK = block
+
+    def apart(a, b):
+        x, y, d = math.radians(a[3]), math.radians(b[3]), math.radians(a[2] - b[2])
+        return math.acos(max(-1, min(1, math.sin(x) * math.sin(y) + math.cos(x) * math.cos(y) * math.cos(d))))
+
+    assert got == sorted((a[0], min((apart(a, b), b[0]) for b in targets if b[1] == a[1])[1]) for a in points if a[1] < 3)
+
+
+def test_required_keys(spark):
+    left, right = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "a")], "k int, v string")
+    assert sorted((r.k, r.v) for r in R.required(left, right, "k", optional=[2]).collect()) == [(1, "a"), (2, None)]
+    with pytest.raises(Exception, match="no row for 2"):
+        R.required(left, right, "k").collect()
+
+
+def test_importances(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(float(x), float(y), int(x > 0)) for x, y in rng.normal(size=(200, 2))], "a double, b double, label int")
+    found = {r.feature: r.importance for r in G.importances(df, "label", ["a", "b"], trees=2).collect()}
+    assert found["a"] > 0.9 and sum(found.values()) == pytest.approx(1)
+
+
+def panel_of(k, kind, **more):
+    base = {"plot_num": k, "type": kind, "distribution": "gmm", "xs": [1.0, 2.0], "ys": [1.0, 3.0], "colors": [[1.0, 2.0], [3.0, 10.0]], "drawn_keys": ["image"], "x_pixel_limits": None, "y_pixel_limits": None, "wcs_header": None, "fits_header": None, "bunit": None, "xlabel": "x", "ylabel": None, "title": f"t{k}", "xticks": ["1"], "yticks": None}
+    return base | more
+
+
+def figure_of(name, *panels):
+    head = {"dpi": 100.0, "base": 4.0, "aspect ratio": 1.0, "nrows": 1, "ncols": len(panels), "plot style": "ggplot", "color map": None, "plot indexes": [[0, i] for i in range(len(panels))], "pixel width": 1, "pixel height": 1}
+    return name, head, list(panels)
+
+
+def test_questions_of_several_panels(spark):
+    header = "CRVAL1 = 0.0 CRVAL2 = 0.0 CRPIX1 = 1.5 CRPIX2 = 1.5 CDELT1 = -0.5 CDELT2 = 0.5"
+    figures = [
+        figure_of("two", panel_of(0, "contour"), panel_of(1, "image of the sky", wcs_header=header, distribution="sky", xlabel="RA (B1950)", xticks=[r"$1^\\mathrm{h}$"], yticks=[r"$1^\\circ$"])),
+        figure_of("bare", panel_of(0, "image of the sky")), figure_of("short", panel_of(0, "contour", xs=[1.0])), figure_of("other", panel_of(0, "table")), figure_of("none"),
+    ]
+    df = spark.createDataFrame(figures, schemas.FIGURES)
+    rows = Q.questions(df, count_panels=True, samples=9).collect()
+    by = lambda f: {(r.plot, r.name): r for r in rows if r.fig_id == f}
+    two = by("two")
+    assert len(two) == 11 + 11 + 15 and two[None, "rows/columns"].a == '{"nrows":1,"ncols":2}' and two[None, "titles"].a == '["t0","t1"]' and two[None, "ylabels"].a == '["",""]' and two[None, "ytick values"].a == r'[[],["$1^\\\\circ$"]]'.replace("\\\\", "\\\\")
+    style = two["plot0", "image or lines (words) (list)"]
+    assert style.a == "image" and style.context == "The following question refers to the plot in the top-left panel." and "for this figure panel," in style.format
+    assert two["plot1", "mean color (words)"].q == "You are a helpful assistant that can analyze images. The following question refers to the plot in the top row and second from the left panel. What is the mean value of the data along the color-axis in this figure panel?  " + 'Please format the output as a json as {"mean color":""} for this figure panel, where the "mean color" value should be a float, calculated from the data values used to create the plot.'
+    assert two["plot1", "distribution-image (words + list)"].a == "real image of the sky" and two["plot1", "distribution-image (words + list)"].tag == "distribution (words + list)"
+    # the field lies across 0h: a quarter of a degree on either side
+    assert two["plot1", "minimum right ascension axis limit (words)"].a == "23h59m00.00s" and two["plot1", "maximum right ascension axis limit (words)"].a == "00h01m00.00s"
+    assert float(two["plot1", "field height (words)"].a) == pytest.approx(30, rel=1e-4) and float(two["plot1", "field width (words)"].a) == pytest.approx(30, rel=1e-4) and float(two["plot1", "pixel scale (words)"].a) == pytest.approx(1800, rel=1e-4)
+    assert two["plot1", "epoch (words)"].a == "B1950" and two["plot0", "median color (words)"].a == "2.5"
+    assert {n for _, n in by("bare")} >= {"epoch", "mean color"} and not any("limit" in n or "field" in n or "unit" in n for _, n in by("bare"))
+    assert len(by("short")) == 11 + 7 and len(by("other")) == 11 and len(by("none")) == 11 and Q.questions(df.limit(0)).count() == 0
+    assert {r.q for r in rows} == {f"{r.persona} {r.context} {r.question} {r.format}" for r in rows} and not any("{" in r.question for r in rows)

@@ -34,7 +34,7 @@ def test_same_as_sql(spark, duck, name):
     assert rows(df.toPandas()) == rows(rel.df())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"gbt_oof"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"gbt_oof", "baseline_table"}))
 def test_runs_alike_twice(spark, name):
     a, b = (rows(QUERIES[name](spark, DATA).toPandas()) for _ in range(2))
     assert a and a == b
@@ -45,6 +45,32 @@ def test_out_of_fold_counts_every_row_once(spark):
     assert found.n.sum() == spark.read.parquet(f"{DATA}/embeddings.parquet").count()
 
 
+def test_baselines_are_scored_alike(spark):
+    found = {r.features: (r.n, r.accuracy, r.deviation) for r in QUERIES["baseline_table"](spark, DATA).collect()}
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").selectExpr("label % 2 AS y").toPandas().y
+    assert set(found) == {"majority", "all"} | {f"{w} {f}" for w in ("only", "without") for f in ("field_size", "concentration", "span", "sign")}
+    assert {n for n, *_ in found.values()} == {len(rows)} and found["majority"][1] == pytest.approx(100 * max(rows.mean(), 1 - rows.mean()))
+    assert all(20 < a < 80 and 0 <= d < 30 for _, a, d in found.values())
+
+
+def test_noise_has_its_mean_and_spread(spark):
+    f = QUERIES["noisy_field"](spark, DATA).toPandas()
+    plane = f.ix / 63 + 0.5 * f.iy / 63
+    assert abs((f.value / plane.where(plane > 0)).std() - 0.1) < 0.01 and abs((f.added - f.value).std() - 0.5) < 0.03 and abs((f.added - f.value).mean()) < 0.03
+    u = QUERIES["stable_hashes"](spark, DATA).toPandas()
+    assert u.u.between(0, 1, inclusive="left").all() and abs(u.u.mean() - 0.5) < 0.05 and abs(u.u.corr(u.other)) < 0.1 and u.u.nunique() == len(u)
+
+
+def test_fields_fill_their_grids(spark):
+    f = QUERIES["field_dispatch"](spark, DATA).toPandas()
+    shape = f.groupby("fig_id").agg(n=("ix", "size"), nx=("ix", "max"), ny=("iy", "max"), low=("value", "min"), high=("value", "max"), spread=("value", "nunique"))
+    assert len(shape) == 25 and (shape.n == (shape.nx + 1) * 9).all() and (shape.ny == 8).all() and sorted(set(shape.nx + 1)) == [12, 13, 14, 15, 16]
+    assert shape.low.between(0, 10).all() and shape.high.between(1, 13).all() and (shape.spread > 20).all()
+    p = QUERIES["plot_data"](spark, DATA).toPandas()
+    lines = p[p.line >= 0].sort_values(["k", "line", "i"])
+    assert len(lines) == sum(k % 3 + 1 for k in range(25)) * 20 and (lines.groupby(["k", "line"]).x.diff().dropna() >= 0).all() and len(p) - len(lines) == 500
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
