@@ -5,8 +5,8 @@ equal: each distinct fingerprint goes to six shards, one for each pair of blocks
 shard's BK-tree is built in the task that holds the shard (a tree of all fingerprints would grow with the corpus, so
 it isn't broadcast); a search follows only child edges whose distance lies within the radius. Shards above
 SHARD_LIMIT are dealt anew by the part of the other 32 bits that must also be equal (three parts, two differences),
-which bounds them by 2**22 distinct fingerprints whatever the corpus. From a shard come links to the least member
-of a local group, never all its pairs.
+and those that are still above it by a part of what is left, which bounds a shard by 2**15 distinct fingerprints
+whatever the corpus. From a shard come links to the least member of a local group, never all its pairs.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; repeated rows and copies
 share a fingerprint; a null doc_id is kept, and never is a component's id unless it is alone there.
@@ -19,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, in_arrow, materialise, small_side
@@ -106,22 +106,42 @@ def _shard_links(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
             yield x, root
 
 
+#: Widths of the parts that the free bits of a large shard are cut into, first of the 32 beside its key, then of the 21 or 22 left.
+PARTS = ((11, 11, 10), (8, 7, 7))
+
+
+def _without(rest: Column, widths: tuple[int, int, int], part: int) -> tuple[Column, Column]:
+    """One part of the bits in rest, and the bits of the other two."""
+    _, b, c = widths
+    bits = lambda shift, width: F.shiftrightunsigned(rest, shift).bitwiseAND(F.lit((1 << width) - 1))
+    high, middle, low = bits(b + c, 20), bits(c, b), bits(0, c)
+    return ((high, bits(0, b + c)), (middle, high * (1 << c) + low), (low, F.shiftrightunsigned(rest, c)))[part]
+
+
 def links(fps: DataFrame, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT) -> DataFrame:
     """Links (a, b) between distinct fingerprints fp whose components are those of all pairs within the radius (2 at most)."""
     if radius > 2:
         raise ValueError("four blocks find no more than two differing bits")
     block = [F.shiftrightunsigned("fp", 48 - 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    pairs = list(combinations(range(4), 2))
-    spread = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("t"), (block[i] * 65536 + block[j]).alias("key")) for k, (i, j) in enumerate(pairs)])).alias("s")).select("fp", "s.t", "s.key")
-    spread = materialise(spread)
-    size = spread.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    held = spread.join(size, ["t", "key"])
-    rest = [[m for m in range(4) if m not in p] for p in pairs]
-    other = F.element_at(F.array(*[block[a] * 65536 + block[b] for a, b in rest]), F.col("t") + 1)
-    parts = [F.shiftrightunsigned(other, 21), F.shiftrightunsigned(other, 10).bitwiseAND(F.lit(2047)), other.bitwiseAND(F.lit(1023))]
-    small = held.where(f"n <= {shard_limit}").select("t", "key", F.lit(-1).alias("sub"), "fp")
-    large = held.where(f"n > {shard_limit}").select("t", "key", F.explode(F.array(*[(F.lit(4096 * i) + p).cast("int") for i, p in enumerate(parts)])).alias("sub"), "fp")
-    shards = small.union(large).repartition("t", "key", "sub").sortWithinPartitions("t", "key", "sub", "fp")
+    made = []
+    for k, (i, j) in enumerate(combinations(range(4), 2)):
+        m, n = (x for x in range(4) if x not in (i, j))
+        made.append(F.struct(F.xxhash64(F.lit(k), block[i], block[j]).alias("shard"), (block[m] * 65536 + block[n]).alias("rest")))
+    pending, ready = fps.select("fp", F.explode(F.array(*made)).alias("s")).select("fp", "s.shard", "s.rest"), None
+    for level in range(len(PARTS) + 1):
+        pending = materialise(pending)
+        # written, so that the join deals out both sides for it alone and Spark can split the rows of a large shard
+        size = materialise(pending.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"))
+        held = pending.join(size, "shard")
+        last = level == len(PARTS) or not size.where(F.col("n") > shard_limit).limit(1).count()
+        small = (held if last else held.where(F.col("n") <= shard_limit)).select("shard", "fp")
+        ready = small if ready is None else ready.union(small)
+        if last:
+            break
+        parts = [_without(F.col("rest"), PARTS[level], i) for i in range(3)]
+        deeper = F.explode(F.array(*[F.struct(F.xxhash64("shard", F.lit(i), part).alias("shard"), rest.alias("rest")) for i, (part, rest) in enumerate(parts)])).alias("s")
+        pending = held.where(F.col("n") > shard_limit).select("fp", deeper).select("fp", "s.shard", "s.rest")
+    shards = ready.repartition("shard").sortWithinPartitions("shard", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, values = None, []
@@ -137,7 +157,7 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT)
             ready.extend((sign(a), sign(b)) for a, b in _shard_links(values, radius))
 
         for batch in batches:
-            for *key, fp in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, fp in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != held_key:
                     if len(values) > 1:
                         close()
@@ -174,13 +194,18 @@ def hexadecimal(fp: str):
 # --- documents alike by a share of their shingles ----------------------------------------------------------------
 
 WIDTH = 256
+#: Orders of all shingles: by the first in each of KEYS of them documents are dealt into shards; DEEPER more for each of LEVELS deal large shards anew.
 KEYS = 8
+DEEPER = 3
 LEVELS = 3
+ORDERS = KEYS + DEEPER * LEVELS
+#: How often a group of several blocks is dealt into them at random, before its parts are compared with the rest.
+DEALS = 2
 BLOCK_LIMIT = 1024
 BLOCK_SHINGLES = 2_000_000
 #: Rows (of four narrow columns) up to which what says which texts to compare may be broadcast: some 40 MB.
 MEMBER_ROWS = 400_000
-_MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) | 1 for k in range(KEYS + WIDTH // 64)], np.uint64)
+_MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) | 1 for k in range(ORDERS + WIDTH // 64)], np.uint64)
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -199,7 +224,7 @@ def shingle_set(text: bytes, shingle_words: int = 5) -> np.ndarray:
 
 
 def sketch(text: bytes, shingle_words: int = 5) -> tuple[bytes, list[int]]:
-    """A 256-bit SimHash of the set of word shingles, and for each of eight orders of all shingles the first one there is.
+    """A 256-bit SimHash of the set of word shingles, and for each of ORDERS orders of all shingles the first one there is.
 
     A text without words has a fingerprint of zeros and zero for keys.
     """
@@ -208,12 +233,12 @@ def sketch(text: bytes, shingle_words: int = 5) -> tuple[bytes, list[int]]:
 
 def _sketch_of(h: np.ndarray) -> tuple[bytes, list[int]]:
     if not len(h):
-        return bytes(WIDTH // 8), [0] * KEYS
-    keys = [int(h[_mixed(h, k).argmin()].view(np.int64)) for k in range(KEYS)]
+        return bytes(WIDTH // 8), [0] * ORDERS
+    keys = [int(h[_mixed(h, k).argmin()].view(np.int64)) for k in range(ORDERS)]
     total = np.zeros(WIDTH, np.int64)
     for at in range(0, len(h), 1 << 14):
         part = h[at : at + (1 << 14)]
-        bits = np.stack([_mixed(part, KEYS + k) for k in range(WIDTH // 64)], axis=1).view(np.uint8)
+        bits = np.stack([_mixed(part, ORDERS + k) for k in range(WIDTH // 64)], axis=1).view(np.uint8)
         total += np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(total * 2 > len(h)).tobytes(), keys
 
@@ -227,23 +252,67 @@ def radius_for(similarity: float) -> int:
     return round(WIDTH * p + 7 * (WIDTH * p * (1 - p)) ** 0.5)
 
 
+def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both) >= similarity
+
+
+def _near(bits: np.ndarray, size: np.ndarray, own_bits: np.ndarray, own_size: int, similarity: float, radius: int) -> np.ndarray:
+    """Places whose sketches are within the radius and whose sets aren't too short or long, the nearest first."""
+    apart = np.bitwise_count(bits ^ own_bits).sum(axis=1, dtype=np.int64)
+    shorter = np.minimum(size, own_size) / np.maximum(1, np.maximum(size, own_size))
+    near = np.flatnonzero((apart <= radius) & (shorter >= similarity))
+    return near[np.argsort(apart[near], kind="stable")]
+
+
 def _verified(bits: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int) -> Iterator[tuple[int, int]]:
     """Pairs of places whose sets have that Jaccard similarity; their components are those of all such pairs within the radius."""
     label, size = np.arange(len(sets)), np.array([len(s) for s in sets])
     for x in range(1, len(sets)):
-        apart = np.bitwise_count(bits[:x] ^ bits[x]).sum(axis=1, dtype=np.int64)
-        shorter = np.minimum(size[:x], size[x]) / np.maximum(1, np.maximum(size[:x], size[x]))
-        near = np.flatnonzero((apart <= radius) & (shorter >= similarity))
-        near = near[np.argsort(apart[near], kind="stable")]
+        near = _near(bits[:x], size[:x], bits[x], size[x], similarity, radius)
         while len(near):
             y, near = near[0], near[1:]
-            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if both / (size[x] + size[y] - both) >= similarity:
+            if _similar(sets[x], sets[y], similarity):
                 yield x, int(y)
                 label[label == label[x]] = label[y]
                 near = near[label[near] != label[x]]
 
 
+class _Few:
+    """The documents of one block that other documents are compared with, one after the other."""
+
+    def __init__(self, similarity: float, radius: int) -> None:
+        self.similarity, self.radius = similarity, radius
+        self.reps: list[int] = []
+        self.labels: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.prints: list[bytes] = []
+        self.up: dict[int, int] = {}
+        self.made: tuple[np.ndarray, np.ndarray] | None = None
+
+    def add(self, rep: int, label: int, fp: bytes, shingles: bytes) -> None:
+        self.reps.append(rep)
+        self.labels.append(label)
+        self.prints.append(fp)
+        self.sets.append(np.frombuffer(shingles, np.uint64))
+
+    def top(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            x = y
+        return x
+
+    def links(self, rep: int, label: int, fp: bytes, shingles: bytes) -> Iterator[tuple[int, int]]:
+        """Links of one more document to those of the block that nothing joins it to yet."""
+        if self.made is None:
+            self.made = np.frombuffer(b"".join(self.prints), np.uint64).reshape(-1, WIDTH // 64), np.array([len(x) for x in self.sets])
+        own = np.frombuffer(shingles, np.uint64)
+        for y in _near(*self.made, np.frombuffer(fp, np.uint64), len(own), self.similarity, self.radius).tolist():
+            a, b = self.top(label), self.top(self.labels[y])
+            if a != b and _similar(own, self.sets[y], self.similarity):
+                self.up[max(a, b)] = min(a, b)
+                yield rep, self.reps[y]
+
+
 def alike(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, shard_limit: int = SHARD_LIMIT, block_limit: int = BLOCK_LIMIT) -> DataFrame:
     """doc_id, component_id: near copies by shingle similarity; component_id is the smallest doc_id reachable.
 
@@ -251,11 +320,15 @@ def alike(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, shar
     from the sets themselves. Sketches only say which pairs to look at: those that differ in radius_for(similarity) bits
     at most and stand in a common shard. One of eight shards of a document is that of the first of its shingles in an
     order of all (two documents share it with their similarity as probability, so at 0.8 all eight fail once in 400,000
-    pairs). A shard above the limit, as a shingle of many unlike documents makes it, is dealt anew by the next three
-    orders, LEVELS times at most; if all shards of a pair are split, it is missed at 0.8 once in 4,000, 800 and 110
-    times at levels 1, 2 and 3. Documents that sketches join are brought together with their sets in one task, or
-    in one task for each two blocks of them if they are more than block_limit, and only there are links made. A null
-    doc_id has a null component and no links; rows that share a doc_id are one document.
+    pairs). A shard above the limit, as a shingle of many unlike documents makes it, is dealt anew by three further
+    orders, LEVELS times at most; that loses a pair at 0.8 that is in it once in 125 times a level, so that even if all
+    shards of a pair are split three times, it is missed once in 180,000. What is then still together in a large shard
+    is joined without a tree, as what to look at.
+
+    What sketches join is a group. A group of one block is compared in one task. A larger one is dealt into blocks at
+    random, DEALS times, and compared block by block, which joins what is alike throughout; then whatever isn't in its
+    largest part is compared with all of it, block by block. So a group of copies costs what it has rows, not pairs.
+    A null doc_id has a null component and no links; rows that share a doc_id are one document.
     """
 
     def digest(h: np.ndarray) -> bytes:
@@ -276,20 +349,23 @@ def alike(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, shar
     # one row for each set of copies (equal sets of shingles), named by its smallest doc_id
     firsts = [F.min(x).alias(x) for x in ("fp", "keys", "shingles")]
     reps = materialise(prints.where("doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("rep"), *firsts))
-    shards = reps.select("rep", "fp", "keys", F.posexplode("keys").alias("k", "key")).select("rep", "fp", "keys", "k", F.xxhash64("k", "key").alias("shard"))
-    radius, ready = radius_for(similarity), None
+    order = lambda ks: F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.get("keys", F.lit(k)).alias("key")) for k in ks])).alias("s")
+    pending = reps.select("rep", "fp", "keys", order(range(KEYS))).select("rep", "fp", "keys", F.xxhash64("s.k", "s.key").alias("shard"))
+    radius, ready, joined = radius_for(similarity), None, None
     for level in range(LEVELS + 1):
-        shards = materialise(shards)
-        size = shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
-        held = shards.join(size, "shard")
-        small = held.where(F.col("n") <= shard_limit) if level < LEVELS else held
-        part = small.select("shard", "rep", "fp")
+        pending = materialise(pending)
+        size = materialise(pending.groupBy("shard").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1"))
+        held = pending.join(size, "shard")
+        part = held.where(F.col("n") <= shard_limit).select("shard", "rep", "fp")
         ready = part if ready is None else ready.union(part)
-        if level == LEVELS or not held.where(F.col("n") > shard_limit).limit(1).count():
+        if not size.where(F.col("n") > shard_limit).limit(1).count():
+            break
+        large = held.where(F.col("n") > shard_limit)
+        if level == LEVELS:
+            joined = large.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
             break
-        later = F.transform(F.array(*[F.lit(i) for i in (1, 2, 3)]), lambda i: F.pmod(F.col("k") + i, F.lit(KEYS)))
-        deeper = held.where(F.col("n") > shard_limit).select("shard", "rep", "fp", "keys", F.explode(later).alias("k"))
-        shards = deeper.select("rep", "fp", "keys", "k", F.xxhash64("shard", "k", F.get("keys", F.col("k"))).alias("shard"))
+        again = order(range(KEYS + DEEPER * level, KEYS + DEEPER * (level + 1)))
+        pending = large.select("rep", "fp", "keys", "shard", again).select("rep", "fp", "keys", F.xxhash64("shard", "s.k", "s.key").alias("shard"))
     dealt = ready.repartition("shard").sortWithinPartitions("shard", "rep")
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,37 +388,41 @@ def alike(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, shar
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     # what sketches join, each with the number of its group's blocks; BLOCK_SHINGLES bounds a task's memory where documents are long
-    joined = components(in_arrow(dealt, trees, "a long, b long"))
+    found = in_arrow(dealt, trees, "a long, b long")
+    joined = components(found if joined is None else found.union(joined))
     grouped = materialise(reps.join(joined, F.col("rep") == F.col("node"), "left").select("rep", "same", "shingles", F.coalesce("root", "rep").alias("group")))
     blocks = F.ceil(F.greatest(F.count("*") / F.lit(block_limit), F.sum("shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
-    sizes = grouped.groupBy("group").agg(F.count("*").alias("n"), blocks.alias("blocks")).where("n > 1").drop("n")
-    members = materialise(grouped.join(sizes, "group").select("rep", "same", "group", "blocks"))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, rep, same, group, n in zip(batch.column(0).cast(pa.binary()), *(c.to_pylist() for c in batch.columns[1:])):
-                h = shingle_set(text.as_py() or b"", shingle_words)
-                if digest(h) == same:  # not another text with the same doc_id
-                    rows.append((rep, group, n, _sketch_of(h)[0], h.tobytes()))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], ["rep", "group", "blocks", "fp", "shingles"])
-
-    texts = id_and_text(docs).join(small_side(members, MEMBER_ROWS), F.col("doc_id") == F.col("rep")).select("text", "rep", "same", "group", "blocks")
-    held = in_arrow(texts, sets, "rep long, group long, blocks int, fp binary, shingles binary")
-    own = F.pmod(F.xxhash64("rep", "fp"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = held.withColumn("own", own).select("rep", "group", "fp", "shingles", "own", other)
-    tasks = spread.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "fp", "shingles")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sizes = materialise(grouped.groupBy("group").agg(F.count("*").alias("n"), blocks.alias("blocks")).where("n > 1").drop("n"))
+    members = materialise(grouped.join(sizes, "group").select("rep", "same", "group", "blocks", "shingles"))
+
+    def with_sets(some: DataFrame) -> DataFrame:
+        """rep, group, fp, shingles and what else is in some (rep, same, group, more), from the texts."""
+        more = [c for c in some.columns if c not in ("rep", "same", "group")]
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for k, (text, same) in enumerate(zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist())):
+                    h = shingle_set(text.as_py() or b"", shingle_words)
+                    if digest(h) == same:  # not another text with the same doc_id
+                        rows.append((k, _sketch_of(h)[0], h.tobytes()))
+                kept = batch.take(pa.array([r[0] for r in rows], pa.int32()))
+                yield pa.RecordBatch.from_arrays([*kept.columns[2:], *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], ["rep", "group", *more, "fp", "shingles"])
+
+        texts = id_and_text(docs).join(small_side(some, MEMBER_ROWS), F.col("doc_id") == F.col("rep")).select("text", "same", "rep", "group", *more)
+        schema = ", ".join(f"{n} {t}" for n, t in texts.select("rep", "group", *more).dtypes)
+        return in_arrow(texts, sets, f"{schema}, fp binary, shingles binary")
+
+    def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_task, values = None, {}
 
         def close() -> pa.RecordBatch:
             reps, arrays = [k[0] for k in values], [np.frombuffer(k[1], np.uint64) for k in values]
             bits = np.frombuffer(b"".join(values.values()), np.uint64).reshape(-1, WIDTH // 64)
-            found = [(reps[x], reps[y]) for x, y in _verified(bits, arrays, similarity, radius)]
-            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+            return out([(reps[x], reps[y]) for x, y in _verified(bits, arrays, similarity, radius)])
 
         for batch in batches:
             for *task, rep, fp, shingles in zip(*(c.to_pylist() for c in batch.columns)):
@@ -352,7 +432,40 @@ def alike(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, shar
                 values[rep, shingles] = fp
         yield close()
 
-    roots = components(in_arrow(tasks.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "rep"), verify, "a long, b long"))
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_task, few = None, _Few(similarity, radius)
+        for batch in batches:
+            found = []
+            for *task, other, rep, label, fp, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+                if task != held_task:
+                    held_task, few = task, _Few(similarity, radius)
+                if not other:
+                    few.add(rep, label, fp, shingles)
+                elif few.reps:
+                    found += few.links(rep, label, fp, shingles)
+            yield out(found)
+
+    block = lambda n, *salt: F.pmod(F.xxhash64("rep", *map(F.lit, salt)), n).cast("int")
+    deals = F.explode(F.when(F.col("blocks") > 1, F.array(*map(F.lit, range(DEALS)))).otherwise(F.array(F.lit(0)))).alias("deal")
+    first = with_sets(members.select("rep", "same", "group", "blocks")).select("group", "blocks", deals, "rep", "fp", "shingles")
+    first = first.select("group", "deal", F.pmod(F.xxhash64("rep", "deal"), F.col("blocks")).cast("int").alias("i"), "rep", "fp", "shingles")
+    inner = materialise(in_arrow(first.repartition("group", "deal", "i").sortWithinPartitions("group", "deal", "i", "rep"), within, "a long, b long"))
+    if members.where("blocks > 1").limit(1).count():
+        named = members.where("blocks > 1").join(components(inner), F.col("rep") == F.col("node"), "left").select("rep", "same", "group", "blocks", "shingles", F.coalesce("root", "rep").alias("label"))
+        named = materialise(named)
+        main = named.groupBy("group", "label").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+        apart = named.join(materialise(main), "group").withColumn("lone", F.col("label") != F.col("main"))
+        apart = materialise(apart)
+        few = apart.where("lone").groupBy("group").agg(F.ceil(F.greatest(F.count("*") / F.lit(block_limit), F.sum("shingles") / F.lit(BLOCK_SHINGLES))).cast("int").alias("few"))
+        rest = with_sets(apart.join(materialise(few), "group").select("rep", "same", "group", "blocks", "few", "label", "lone"))
+        place = lambda i, j, other: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(other).alias("other"))
+        upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        as_few = F.transform(F.when(F.col("lone"), upto("blocks")).otherwise(F.array().cast("array<int>")), lambda j: place(block(F.col("few"), 7), j, False))
+        as_other = F.transform(upto("few"), lambda i: place(i, block(F.col("blocks"), 8), True))
+        tasks = rest.select("group", F.explode(F.concat(as_few, as_other)).alias("t"), "rep", "label", "fp", "shingles").select("group", "t.*", "rep", "label", "fp", "shingles")
+        tasks = tasks.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "other", "rep")
+        inner = inner.union(materialise(in_arrow(tasks, across, "a long, b long")))
+    roots = components(inner)
     named = reps.select("same", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("root", "rep").alias("component_id"))
     known = prints.where("doc_id IS NOT NULL").join(named, "same").select("doc_id", "component_id")
     return known.union(prints.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("component_id")))
