@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Sequence
@@ -22,6 +23,7 @@ MEMO_BYTES = 80 << 20
 MEMO_WORD = 64
 _ENTRY_BYTES = 180
 _scratch: set[str] = set()
+_local: dict[str, str] = {}
 _held: list[Any] = [None, None]
 
 
@@ -35,12 +37,12 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
+    """A new folder that all executors share: under spark.checkpoint.dir. Where that is unset, under the warehouse on a
+    cluster, and under a temporary folder if driver and executors are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="figquarry-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    own = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if not base and re.match(r"local(\[|$)", spark.sparkContext.master):
+        base = _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="figquarry-"))
+    own = f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{spark.sparkContext.applicationId}"
     if own not in _scratch:  # goes when the application ends
         path = spark._jvm.org.apache.hadoop.fs.Path(own)
         store = path.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -263,6 +263,43 @@ def test_quality_classifier(spark):
     assert min(r.score for r in quality_classifier.scores(docs(spark, ODD), one).collect()) > 0.99
 
 
+def test_lasso_is_at_its_optimum():
+    """Against coordinate descent, one weight after the other, and by the conditions of an optimum."""
+    rng = np.random.default_rng(3)
+    z = (rng.random((300, 12)) < 0.4).astype(float)
+    y = (z[:, 0] + z[:, 1] - 2 * z[:, 2] + rng.normal(0, 0.7, 300) > 0).astype(float)
+    penalty = 0.01
+    w, b = quality_classifier._lasso(z, y, penalty, rounds=4000)
+    loss = lambda w, b: np.mean(np.logaddexp(0, z @ w + b) - y * (z @ w + b)) + penalty * np.abs(w).sum()
+    v, c = np.zeros(12), 0.0
+    for _ in range(400):
+        for j in [*range(12), -1]:
+            column = z[:, j] if j >= 0 else np.ones(300)
+            p = 1 / (1 + np.exp(-(z @ v + c)))
+            slope, bend = column @ (p - y) / 300, max(1e-6, column @ (column * p * (1 - p)) / 300) + 0.05
+            if j < 0:
+                c -= slope / bend
+            else:
+                step = v[j] - slope / bend
+                v[j] = np.sign(step) * max(0.0, abs(step) - penalty / bend)
+    assert abs(loss(w, b) - loss(v, c)) < 1e-5 and np.allclose(w, v, atol=0.02)
+    slope = z.T @ (1 / (1 + np.exp(-(z @ w + b))) - y) / 300
+    assert all(abs(s + penalty * np.sign(x)) < 1e-3 if abs(x) > 1e-3 else abs(s) <= penalty + 1e-3 for s, x in zip(slope, w)) and np.sum(np.abs(w) > 1e-3) < 12
+
+
+def test_rules_split_where_gini_falls_most():
+    rng = np.random.default_rng(4)
+    x = rng.random((200, 3))
+    y = (x[:, 1] > 0.4).astype(float)
+    gini = lambda p: len(p) * p.mean() * (1 - p.mean()) if len(p) else 0.0
+    limits = np.unique(np.quantile(x[:, 1], np.linspace(0.02, 0.98, 25)))
+    best = min(limits, key=lambda m: gini(y[x[:, 1] > m]) + gini(y[x[:, 1] <= m]))
+    roots = [rules[0][0] for seed in range(30) if (rules := quality_classifier._grow(x, y, 2, np.random.default_rng(seed)))]
+    assert (1, True, float(best)) in roots and all(limit == float(best) for f, _, limit in roots if f == 1)
+    paths = quality_classifier._grow(x, y, 3, np.random.default_rng(1))
+    assert all(path[:-1] in paths or len(path) == 1 for path in paths)
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------
 
 
