@@ -380,6 +380,16 @@ def test_nearest_of_blocks(spark):
     assert got == sorted((a[0], min((apart(a, b), b[0]) for b in targets if b[1] == a[1])[1]) for a in points if a[1] < 3)
 
 
+def test_no_pool_value_or_price_is_lost(spark):
+    n = 100_200
+    pool, items = spark.range(n).withColumnRenamed("id", "value"), spark.range(2 * n).withColumnRenamed("id", "item")
+    dealt = R.assign_pool(items, pool, "item", "value").groupBy("value").count()
+    assert dealt.count() == n and {r["count"] for r in dealt.select("count").distinct().collect()} == {2}
+    calls = spark.range(10_050).selectExpr("concat('m', id) AS model", "10L AS input_tokens", "1L AS output_tokens")
+    prices = spark.range(10_050).selectExpr("concat('m', id) AS model", "1.0 AS in_price", "2.0 AS out_price")
+    assert E.usage_cost(calls, ["model"], prices).count() == 10_050
+
+
 def test_required_keys(spark):
     left, right = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "a")], "k int, v string")
     assert sorted((r.k, r.v) for r in R.required(left, right, "k", optional=[2]).collect()) == [(1, "a"), (2, None)]
