@@ -161,7 +161,8 @@ def fenced_json(text) -> Column:
     return F.btrim(F.coalesce(F.nullif(F.regexp_extract(x, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit("")), x), F.lit(" \t\r\n"))
 
 
-# What may follow a backslash in a JSON string.
+# The JSON grammar's escapes; raw strings r"..." and formulas $...$ below.
+_RAW_STRING, _FORMULA = 'r("[^"]*")', r"\$([^$]+)\$"
 _ESCAPE = r'\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})'
 
 
@@ -173,7 +174,7 @@ def fix_escapes(text) -> Column:
 
 def fix_raw_strings(text) -> Column:
     """r"..." as a JSON string: without the r, its backslashes doubled. Marked from the left, as an r may end what stands in quotes."""
-    pieces = F.split(F.regexp_replace(c(text), 'r("[^"]*")', "\x01$1\x02"), "\x01")
+    pieces = F.split(F.regexp_replace(c(text), _RAW_STRING, "\x01$1\x02"), "\x01")
     ended = lambda x: F.locate("\x02", x)
     repaired = F.transform(pieces, lambda x: F.when(ended(x) == 0, x).otherwise(F.concat(F.replace(F.substring_index(x, "\x02", 1), F.lit("\\"), F.lit("\\\\")), F.substring_index(x, "\x02", -1))))
     return F.array_join(repaired, "")
@@ -186,7 +187,7 @@ def fix_latex_commands(text) -> Column:
 
 def quote_math(text) -> Column:
     """$...$ in quotes, its dollars escaped."""
-    return F.regexp_replace(c(text), r"\$([^$]+)\$", r'"\\\$$1\\\$"')
+    return F.regexp_replace(c(text), _FORMULA, r'"\\\$$1\\\$"')
 
 
 def padded_id(prefix: str, n, width: int = 6) -> Column:

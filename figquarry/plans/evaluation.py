@@ -146,7 +146,7 @@ def having_cut(t):
 
 @query("SELECT p_type, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_type LIMIT 20")
 def topn_counts(t):
-    """The 20 most frequent (the limit is the feature)"""
+    """The 20 most frequent (the limit is the feature)"""
     return E.top_counts(t("part"), "p_type", 20)
 
 
