@@ -350,7 +350,7 @@ def alike(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, shar
     firsts = [F.min(x).alias(x) for x in ("fp", "keys", "shingles")]
     reps = materialise(prints.where("doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("rep"), *firsts))
     order = lambda ks: F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.get("keys", F.lit(k)).alias("key")) for k in ks])).alias("s")
-    pending = reps.select("rep", "fp", "keys", order(range(KEYS))).select("rep", "fp", "keys", F.xxhash64("s.k", "s.key").alias("shard"))
+    pending = reps.select("rep", "fp", order(range(KEYS))).select("rep", "fp", F.xxhash64("s.k", "s.key").alias("shard"))
     radius, ready, joined = radius_for(similarity), None, None
     for level in range(LEVELS + 1):
         pending = materialise(pending)
@@ -365,7 +365,8 @@ def alike(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, shar
             joined = large.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
             break
         again = order(range(KEYS + DEEPER * level, KEYS + DEEPER * (level + 1)))
-        pending = large.select("rep", "fp", "keys", "shard", again).select("rep", "fp", "keys", F.xxhash64("shard", "s.k", "s.key").alias("shard"))
+        keyed = large.select("rep", "fp", "shard").join(reps.select("rep", "keys"), "rep")  # keys travel with rows of large shards only
+        pending = keyed.select("rep", "fp", "shard", again).select("rep", "fp", F.xxhash64("shard", "s.k", "s.key").alias("shard"))
     dealt = ready.repartition("shard").sortWithinPartitions("shard", "rep")
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
