@@ -64,6 +64,16 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def join_apart(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left joined with right (one row a key) by a long key that right was grouped by.
+
+    The join is by the key's complement, which no side is dealt out by yet: so both are dealt out for this join alone,
+    and Spark can split the rows of a large key, which it can't where a side comes straight from its aggregation.
+    """
+    other = right.withColumn("_apart", F.bitwise_not(F.col(key))).drop(key)
+    return left.join(other, F.bitwise_not(F.col(key)) == F.col("_apart")).drop("_apart")
+
+
 def clean_labels(labels: DataFrame, column: str) -> DataFrame:
     """One row (doc_id, label 0/1) a document; rows with a null are left out, contradictory ones count as the larger label."""
     return (

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, in_arrow, materialise, small_side
+from .common import id_and_text, in_arrow, join_apart, materialise, small_side
 from .components import components
 
 RADIUS = 2
@@ -129,10 +129,9 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT)
         made.append(F.struct(F.xxhash64(F.lit(k), block[i], block[j]).alias("shard"), (block[m] * 65536 + block[n]).alias("rest")))
     pending, ready = fps.select("fp", F.explode(F.array(*made)).alias("s")).select("fp", "s.shard", "s.rest"), None
     for level in range(len(PARTS) + 1):
-        pending = materialise(pending)
-        # written, so that the join deals out both sides for it alone and Spark can split the rows of a large shard
-        size = materialise(pending.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"))
-        held = pending.join(size, "shard")
+        pending = materialise(pending) if level else pending
+        size = pending.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
+        held = join_apart(pending, size, "shard")
         last = level == len(PARTS) or not size.where(F.col("n") > shard_limit).limit(1).count()
         small = (held if last else held.where(F.col("n") <= shard_limit)).select("shard", "fp")
         ready = small if ready is None else ready.union(small)
@@ -353,9 +352,9 @@ def alike(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, shar
     pending = reps.select("rep", "fp", order(range(KEYS))).select("rep", "fp", F.xxhash64("s.k", "s.key").alias("shard"))
     radius, ready, joined = radius_for(similarity), None, None
     for level in range(LEVELS + 1):
-        pending = materialise(pending)
-        size = materialise(pending.groupBy("shard").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1"))
-        held = pending.join(size, "shard")
+        pending = materialise(pending) if level else pending
+        size = pending.groupBy("shard").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1")
+        held = join_apart(pending, size, "shard")
         part = held.where(F.col("n") <= shard_limit).select("shard", "rep", "fp")
         ready = part if ready is None else ready.union(part)
         if not size.where(F.col("n") > shard_limit).limit(1).count():
@@ -393,8 +392,8 @@ def alike(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, shar
     joined = components(found if joined is None else found.union(joined))
     grouped = materialise(reps.join(joined, F.col("rep") == F.col("node"), "left").select("rep", "same", "shingles", F.coalesce("root", "rep").alias("group")))
     blocks = F.ceil(F.greatest(F.count("*") / F.lit(block_limit), F.sum("shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
-    sizes = materialise(grouped.groupBy("group").agg(F.count("*").alias("n"), blocks.alias("blocks")).where("n > 1").drop("n"))
-    members = materialise(grouped.join(sizes, "group").select("rep", "same", "group", "blocks", "shingles"))
+    sizes = grouped.groupBy("group").agg(F.count("*").alias("n"), blocks.alias("blocks")).where("n > 1").drop("n")
+    members = materialise(join_apart(grouped, sizes, "group").select("rep", "same", "group", "blocks", "shingles"))
 
     def with_sets(some: DataFrame) -> DataFrame:
         """rep, group, fp, shingles and what else is in some (rep, same, group, more), from the texts."""
@@ -455,10 +454,9 @@ def alike(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, shar
         named = members.where("blocks > 1").join(components(inner), F.col("rep") == F.col("node"), "left").select("rep", "same", "group", "blocks", "shingles", F.coalesce("root", "rep").alias("label"))
         named = materialise(named)
         main = named.groupBy("group", "label").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-        apart = named.join(materialise(main), "group").withColumn("lone", F.col("label") != F.col("main"))
-        apart = materialise(apart)
+        apart = materialise(join_apart(named, main, "group").withColumn("lone", F.col("label") != F.col("main")))
         few = apart.where("lone").groupBy("group").agg(F.ceil(F.greatest(F.count("*") / F.lit(block_limit), F.sum("shingles") / F.lit(BLOCK_SHINGLES))).cast("int").alias("few"))
-        rest = with_sets(apart.join(materialise(few), "group").select("rep", "same", "group", "blocks", "few", "label", "lone"))
+        rest = with_sets(join_apart(apart, few, "group").select("rep", "same", "group", "blocks", "few", "label", "lone"))
         place = lambda i, j, other: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(other).alias("other"))
         upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
         as_few = F.transform(F.when(F.col("lone"), upto("blocks")).otherwise(F.array().cast("array<int>")), lambda j: place(block(F.col("few"), 7), j, False))
