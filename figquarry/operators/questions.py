@@ -74,19 +74,20 @@ def _fill(text: str, **values: str) -> str:
 
 
 class _Asking:
-    """The questions of one figure with one panel (many=False) or more: texts differ, and names say so."""
+    """The questions of one figure with one panel (many=False) or more: texts differ, and names say so.
 
-    def __init__(self, many: bool) -> None:
-        self.many, self.phrase, self.adder = many, PHRASE[many], " (words)" if many else ""
+    What is the same for all figures goes to `texts`; a row only holds its number there, so that prompts are put together
+    after the explode, and only if they are asked for.
+    """
+
+    def __init__(self, many: bool, texts: list[tuple[str, ...]]) -> None:
+        self.many, self.phrase, self.adder, self.texts = many, PHRASE[many], " (words)" if many else "", texts
 
-    def row(self, level: int, kind: str, name: str, tag: str, answer: Column, context: str | Column, question: str, form: str, plot: Column | None = None) -> Column:
-        context = F.lit(context) if isinstance(context, str) else context
-        text = [F.lit(_fill(x, phrase=self.phrase)) for x in (question, form)]
-        return F.struct(
-            F.lit(f"Level {level}").alias("level"), F.lit(kind).alias("kind"), F.lit(name).alias("name"), (F.lit(None).cast("string") if plot is None else plot).alias("plot"),
-            F.concat(F.lit(PERSONA + " "), context, F.lit(" "), text[0], F.lit(" "), text[1]).alias("q"), F.lit(tag).alias("tag"), answer.cast("string").alias("a"),
-            F.lit(PERSONA).alias("persona"), context.alias("context"), text[0].alias("question"), text[1].alias("format"),
-        )
+    def row(self, level: int, kind: str, name: str, tag: str, answer: Column, more: str, question: str, form: str, plot: Column | None = None, context: Column | None = None) -> Column:
+        """more: what is said beside the context, which tells the panel."""
+        self.texts.append((f"Level {level}", kind, name, tag, more, _fill(question, phrase=self.phrase), _fill(form, phrase=self.phrase)))
+        own = F.lit(None).cast("string") if plot is None else plot
+        return F.struct(F.lit(len(self.texts) - 1).alias("n"), own.alias("plot"), (F.lit("") if context is None else context).alias("c"), answer.cast("string").alias("a"))
 
     def figure(self, f: Column, plots: Column, count_panels: bool, plot_types: tuple[str, ...]) -> list[Column]:
         listed = lambda field, missing=F.lit(""): F.to_json(F.transform(plots, lambda p: F.coalesce(p[field], missing)))
@@ -112,8 +113,7 @@ class _Asking:
         names = "sky" if sky else "contour"
 
         def ask(level: int, name: str, answer: Column, texts: tuple[str, str], more: str = "", key: str | None = None, tag: str | None = None) -> Column:
-            added = F.concat(context, F.lit(more)) if more else context
-            return self.row(level, PLOT, key or name + self.adder, (tag or name) + self.adder, answer, added, *texts, plot=plot)
+            return self.row(level, PLOT, key or name + self.adder, (tag or name) + self.adder, answer, more, *texts, plot=plot, context=context)
 
         n = F.size(colors)
         at = lambda i: F.get(colors, i.cast("int"))
@@ -127,8 +127,7 @@ class _Asking:
 
         def distribution(suffix: str, axis: str, along: str) -> Column:
             texts = tuple(_fill(x, where=along, axis=axis) for x in DISTRIBUTION)
-            added = F.concat(context, F.lit(_fill(CHOOSE_DISTRIBUTION, choices=CHOICES[names])))
-            return self.row(3, PLOT, f"distribution-{suffix}{listed}", f"distribution{listed}", kind, added, *texts, plot=plot)
+            return self.row(3, PLOT, f"distribution-{suffix}{listed}", f"distribution{listed}", kind, _fill(CHOOSE_DISTRIBUTION, choices=CHOICES[names]), *texts, plot=plot, context=context)
 
         def limits(axis: str, low: Column, high: Column, value: str, units: str) -> list[Column]:
             out = []
@@ -143,7 +142,7 @@ class _Asking:
             image, lines = F.contains(keys, F.lit("image")), F.contains(keys, F.lit("contour"))
             style = F.when(image & lines, "both").when(image, "image").when(lines, "contour lines")
             tag = f"image or lines{self.adder} (list)"
-            first = self.row(1, PLOT, tag, tag, style, context, *(_fill(x, object="contour plot") for x in STYLE), plot=plot)
+            first = self.row(1, PLOT, tag, tag, style, "", *(_fill(x, object="contour plot") for x in STYLE), plot=plot, context=context)
             only = lines & ~image
             enough = (F.size(p["xs"]) > 1) & (F.size(p["ys"]) > 1)
             ends = {axis: [F.when(enough, x) for x in contour_limits(p[f"{axis}s"], only)] for axis in "xy"}
@@ -179,25 +178,37 @@ def sky_ranges(p: Column, samples: int = SAMPLES) -> Column:
     cd = {(i, j): number(f"CD{i}_{j}", number(f"CDELT{i}", 1.0) if i == j else 0.0) for i in (1, 2) for j in (1, 2)}
     made = F.struct(*[x.alias(n) for n, x in (("ra", header_number(h, "CRVAL1")), ("dec", header_number(h, "CRVAL2")), ("px", header_number(h, "CRPIX1")), ("py", header_number(h, "CRPIX2")), *((f"c{i}{j}", x) for (i, j), x in cd.items()))], shown(p).alias("box"))
 
-    def sampled(w: Column) -> Column:
-        xs, ys = linspace(w["box"]["x0"], w["box"]["x1"], F.lit(samples)), linspace(w["box"]["y0"], w["box"]["y1"], F.lit(samples))
+    def laid_out(w: Column) -> Column:
+        side = lambda a, b: linspace(w["box"][a], w["box"][b], F.lit(samples))
+        return F.struct(w.alias("w"), side("x0", "x1").alias("xs"), side("y0", "y1").alias("ys"))
+
+    def sampled(v: Column) -> Column:
+        w = v["w"]
 
         def place(x: Column, y: Column) -> Column:
             dx, dy = x + 1 - w["px"], y + 1 - w["py"]
             ra, dec = tan_sky(w["c11"] * dx + w["c12"] * dy, w["c21"] * dx + w["c22"] * dy, w["ra"], w["dec"])
             return F.struct(ra.alias("ra"), dec.alias("dec"))
 
-        points = F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: place(x, y))))
-        return F.struct(F.array_sort(F.transform(points, lambda q: q["ra"])).alias("ra"), F.transform(points, lambda q: q["dec"]).alias("dec"))
+        return F.flatten(F.transform(v["xs"], lambda x: F.transform(v["ys"], lambda y: place(x, y))))
 
-    def ranged(v: Column) -> Column:
+    def apart(points: Column) -> Column:
+        dec = points["dec"]  # of an array of structs, the array of a field
+        return F.struct(F.sort_array(points["ra"]).alias("ra"), F.array_min(dec).alias("low"), F.array_max(dec).alias("high"))
+
+    def gapped(v: Column) -> Column:
         gaps = F.transform(v["ra"], lambda x, i: F.coalesce(F.get(v["ra"], i + 1), F.get(v["ra"], F.lit(0)) + 360) - x)
-        arc = 360 - F.array_max(gaps)
-        start = F.coalesce(F.get(v["ra"], F.array_position(gaps, F.array_max(gaps)).cast("int")), F.get(v["ra"], F.lit(0)))
+        return F.struct(v.alias("v"), gaps.alias("gaps"))
+
+    def ranged(g: Column) -> Column:
+        v, arc = g["v"], 360 - F.array_max(g["gaps"])
+        start = F.coalesce(F.get(v["ra"], F.array_position(g["gaps"], F.array_max(g["gaps"])).cast("int")), F.get(v["ra"], F.lit(0)))
         half = arc <= 180
-        return F.struct(F.when(half, start).alias("ra_low"), F.when(half, start + arc).alias("ra_high"), F.array_min(v["dec"]).alias("dec_low"), F.array_max(v["dec"]).alias("dec_high"))
+        return F.struct(F.when(half, start).alias("ra_low"), F.when(half, start + arc).alias("ra_high"), v["low"].alias("dec_low"), v["high"].alias("dec_high"))
 
-    one = F.transform(F.transform(F.array(made), sampled), ranged)
+    one = F.array(made)  # each step computes once what the next reads
+    for step in (laid_out, sampled, apart, gapped, ranged):
+        one = F.transform(one, step)
     return F.get(F.when(header_number(h, "CRVAL1").isNotNull() & header_number(h, "CRVAL2").isNotNull(), one), F.lit(0))
 
 
@@ -212,15 +223,23 @@ def questions(figures: DataFrame, count_panels: bool = False, plot_types: tuple[
     # a row for each panel; what several of its questions rest on is computed once, and the figure's own questions go with the first
     panels = figures.select("fig_id", "figure", "plots", F.posexplode_outer("plots").alias("_i", "_p"))
     sky = F.col("_p")["type"] == "image of the sky"
-    panels = panels.select("*", F.array_sort(F.flatten(F.col("_p")["colors"])).alias("_colors"), F.when(sky, sky_ranges(F.col("_p"), samples)).alias("_s"))
+    panels = panels.select("*", F.sort_array(F.array_compact(F.flatten(F.col("_p")["colors"]))).alias("_colors"), F.when(sky, sky_ranges(F.col("_p"), samples)).alias("_s"))
     f, p, plots = F.col("figure"), F.col("_p"), F.col("plots")
 
+    texts: list[tuple[str, ...]] = []
+
     def all_of(many: bool) -> Column:
-        asking = _Asking(many)
+        asking = _Asking(many, texts)
         own = F.when(F.coalesce("_i", F.lit(0)) == 0, F.array(*asking.figure(f, plots, count_panels, plot_types)))
         of_panel = F.when(p["type"] == "contour", F.array(*asking.panel(f, p, False, F.col("_colors"), F.col("_s")))).when(sky, F.array(*asking.panel(f, p, True, F.col("_colors"), F.col("_s"))))
         return F.flatten(F.array_compact(F.array(own, of_panel)))
 
-    every = panels.select("fig_id", F.explode(F.when(F.size("plots") > 1, all_of(True)).otherwise(all_of(False))).alias("q"))
-    found = every.select("fig_id", "q.*")
-    return found.where(F.col("a").isNotNull() | F.col("name").isin(*FIGURE_QUESTIONS))
+    every = panels.select("fig_id", F.explode(F.when(F.size("plots") > 1, all_of(True)).otherwise(all_of(False))).alias("q")).select("fig_id", "q.*")
+    always = [i for i, text in enumerate(texts) if text[2] in FIGURE_QUESTIONS]
+    found = every.where(F.col("a").isNotNull() | F.col("n").isin(*always))
+    level, kind, name, tag, more, question, form = (F.get(F.array(*map(F.lit, column)), F.col("n")) for column in zip(*texts))
+    context = F.concat("c", more)
+    whole = F.concat(F.lit(PERSONA + " "), context, F.lit(" "), question, F.lit(" "), form)
+    return found.select(
+        "fig_id", level.alias("level"), kind.alias("kind"), name.alias("name"), "plot", whole.alias("q"), tag.alias("tag"), "a", F.lit(PERSONA).alias("persona"), context.alias("context"), question.alias("question"), form.alias("format")
+    )
