@@ -326,7 +326,8 @@ RANGES = 512
 def numbered(df: DataFrame, order: Column, low: float, high: float, ties: list, name: str = "number") -> DataFrame:
     """df with the place of each row (from 0) in an order, without bringing all rows together: rows are dealt into equal
     ranges of the order (a number between low and high), counted, and numbered within their range. ties says in what
-    order rows of the same number stand."""
+    order rows of the same number stand. A hashed order fills the ranges evenly; rows with one and the same number
+    stay in one range."""
     part = F.greatest(F.lit(0), F.least(F.lit(RANGES - 1), F.floor((order - low) / max(high - low, 1e-300) * RANGES)))
     dealt = df.withColumn("_order", order).withColumn("_range", F.when(order.isNull(), -1).otherwise(part).cast("int"))
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_rows"))  # at most RANGES + 1 rows

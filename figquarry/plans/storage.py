@@ -32,7 +32,7 @@ def csv_shards(t):
 
 @query("SELECT s_suppkey AS k, CASE WHEN s_acctbal > 6000 THEN 'third' WHEN s_acctbal > 2000 THEN 'second' ELSE 'first' END AS batch, CASE WHEN s_acctbal > 2000 THEN s_nationkey + 1 ELSE s_nationkey END::INT AS v FROM supplier")
 def csv_checkpoints(t):
-    """A table brought up to date by three batches, each a version of its own"""
+    """A table brought up to date by three batches, each a version of its own"""
     s = t("supplier").select(F.col("s_suppkey").alias("k"), "s_acctbal", F.col("s_nationkey").alias("v"))
     path, schema = IO.scratch(s.sparkSession), "k BIGINT, batch STRING, v INT"
     IO.checkpoint(s.select("k", F.lit("first").alias("batch"), "v"), path, ["k"], schema)
@@ -40,6 +40,22 @@ def csv_checkpoints(t):
     return IO.checkpoint(s.where("s_acctbal > 6000").select("k", F.lit("third").alias("batch"), (F.col("v") + 1).alias("v")), path, ["k"], schema)
 
 
+@query("""WITH s AS (SELECT s_suppkey AS k, s_name AS preset, s_nationkey AS seed, s_acctbal > 5000 AS updated FROM supplier)
+SELECT k, CASE WHEN updated THEN 'aged' ELSE preset END AS preset, CASE WHEN updated THEN NULL ELSE seed END::INT AS seed, CASE WHEN updated THEN 'fold|stain' END AS effects FROM s
+UNION ALL SELECT k + 1000000, 'aged', NULL, 'fold|stain' FROM s WHERE updated""")
+def manifest_merge(t):
+    """A manifest of JSON lines with sorted keys, merged with new and changed records, written and read again"""
+    s = t("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("preset"), F.col("s_nationkey").alias("seed"), "s_acctbal")
+    spark, schema = s.sparkSession, "k BIGINT, preset STRING, seed INT, effects ARRAY<STRING>"
+    first, second = IO.scratch(spark), IO.scratch(spark)
+    IO.write_manifest(s.drop("s_acctbal"), first, ["k"])
+    aged = [F.lit("aged").alias("preset"), F.lit(None).cast("int").alias("seed"), F.array(F.lit("fold"), F.lit("stain")).alias("effects")]
+    changed = s.where("s_acctbal > 5000").select("k", *aged)
+    new = changed.unionByName(changed.withColumn("k", F.col("k") + 1_000_000))
+    IO.write_manifest(IO.upsert(IO.read_manifest(spark, first, schema), new, ["k"]), second, ["k"])
+    return IO.read_manifest(spark, second, schema).select("k", "preset", "seed", F.array_join("effects", "|").alias("effects"))
+
+
 @query("SELECT p_partkey AS k, 'say \"' || p_name || '\\' || p_brand AS name, p_size AS size FROM part")
 def json_documents(t):
     """Rows written as JSON strings that hold JSON, and read again"""

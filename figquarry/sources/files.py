@@ -75,6 +75,17 @@ def checkpoint(new: DataFrame, path: str, keys: list[str], schema: str) -> DataF
     return read_csv(spark, newest_version(spark, path), schema)
 
 
+def write_manifest(df: DataFrame, path: str, keys: list[str]) -> None:
+    """A manifest as JSON lines in order of key, the fields of each in order of name; missing ones are left out."""
+    line = F.to_json(F.struct(*sorted(df.columns)))
+    df.orderBy(*keys).select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """S12"""
+    return spark.read.schema(schema).json(path)
+
+
 def write_table(df: DataFrame, path: str, order: list[str]) -> None:
     """A sorted CSV table with header, for people: NULL as an empty field."""
     df.orderBy(*order).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue='""')

@@ -175,6 +175,23 @@ def test_shards_answers_and_stream(spark, tmp_path):
     assert sorted(map(tuple, IO.upsert(old, new, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
 
 
+def test_manifest_lines_are_in_order(spark, tmp_path):
+    df = spark.createDataFrame([("b", 2, None), ("a", 1, "x")], "vqa_id string, seed int, preset string")
+    IO.write_manifest(df, str(tmp_path / "m"), ["vqa_id"])
+    lines = [r.value for r in spark.read.text(str(tmp_path / "m")).collect()]
+    assert sorted(lines) == ['{"preset":"x","seed":1,"vqa_id":"a"}', '{"seed":2,"vqa_id":"b"}']
+    assert sorted(map(tuple, IO.read_manifest(spark, str(tmp_path / "m"), "vqa_id string, seed int, preset string").collect()), key=str) == [("a", 1, "x"), ("b", 2, None)]
+
+
+def test_a_crashed_version_does_not_count(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k int, v string"
+    IO.checkpoint(spark.createDataFrame([(1, "a"), (2, "b")], schema), path, ["k"], schema)
+    (tmp_path / "t" / "version=000007").mkdir()
+    (tmp_path / "t" / "version=000007" / "part-0.csv").write_text("k,v\n9,broken\n")
+    again = IO.checkpoint(spark.createDataFrame([(2, "c")], schema), path, ["k"], schema)
+    assert sorted(map(tuple, again.collect())) == [(1, "a"), (2, "c")]
+
+
 def test_names_and_tables(spark):
     rec = IO.file_record(F.lit("/x/image_p.q_OBJ_M 31_SURVEY_DSS2_height0.5.fits"))
     n, block = IO.figure_block(F.lit("Picture_000700"), [("contour", 0, 667), ("gmm", 667, 1334)])
