@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, packing, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, token_count, toxicity
+from . import chat_format, decontamination, divergence, neighbours, packing, quality_classifier, quality_rules, resampling, secret_scan, simhash, suffix_dedup, token_count, toxicity
 from .common import remainder, table
 
 
@@ -61,12 +61,25 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= quality_classifier.CUT).cast("int").alias("predicted"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % neighbours.EVERY == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_token_counts, op3_suffix_dedup, op4_toxicity, op5_preference_format,
         op6_benchmark_decontamination, op7_secret_scan, op8_best_fit_packing, op9_simhash_near_dedup, op10_quality_classifier,
+        op11_source_divergence, op12_importance_resampling, op13_nearest_neighbours,
     )
 }
 
-SQL: dict[str, str] = {"op5_preference_format": chat_format.SQL}
+SQL: dict[str, str] = {"op5_preference_format": chat_format.SQL, "op11_source_divergence": divergence.SQL, "op12_importance_resampling": resampling.SQL}
