@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import c, finite, normalise_answer
+from ..sources.scratch import written
+from .keys import beside, small_side
+from .ordered import numbered as numbered
+from .ordered import scan
 
 
 def accuracy(df: DataFrame, keys: list[str], answer: str, truth: str) -> DataFrame:
@@ -23,64 +27,63 @@ def null_rate(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     return df.groupBy(*keys).agg(gone.alias("missing"), F.count("*").alias("size"), (100.0 * gone / F.count("*")).alias("percent"))
 
 
-#: Ranks that the sketch of a quantile may be off: one in so many rows. So many more rows at most are sorted in one place.
+#: Ranks that the sketch of a quantile may be off: one in so many rows.
 SKETCH = 10_000
+#: Rows that are put in order in one place, at most.
+MOST = 100_000
 
 
-def _beside(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """df with the other side's columns by key; missing keys are keys too. other has one row a key."""
-    if not keys:
-        return df.crossJoin(F.broadcast(other))
-    named = other.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[x for x in other.columns if x not in keys])
-    return df.join(named, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]), how).drop(*[f"_key{i}" for i in range(len(keys))])
-
-
-def quantiles(df: DataFrame, keys: list[str], column: str, at: dict[str, float], sketch: int = SKETCH) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], column: str, at: dict[str, float], sketch: int = SKETCH, most: int = MOST) -> DataFrame:
     """Exact quantiles by key, interpolated between ranks: a column for each name of at; keys without a value have no row.
 
-    A sketch brackets each quantile; rows below are counted, and only those within are put in order, each distinct
-    value once. So no task holds a key's values, however few the keys are.
+    Two passes over the values. A sketch brackets each quantile; then all values are counted in cells, which are single
+    values within the brackets and whole ranges between them. The cells' running counts say where each rank lies. Cells
+    are far fewer than rows; if there are more than `most`, their running counts come from a two-level scan, so no task
+    orders a key's values, however few the keys are.
     """
     live = df.select(*keys, F.col(column).cast("double").alias("_v")).where("_v IS NOT NULL")
-    qs, m = list(at.values()), len(at)
+    qs = sorted(set(at.values()))
     around = [max(0.0, q - 2 / sketch) for q in qs] + [min(1.0, q + 2 / sketch) for q in qs]
     bounds = live.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", around, sketch).alias("_s"))
-    marked = _beside(live, bounds, keys)
-    v, low, high = F.col("_v"), [F.get("_s", F.lit(i)) for i in range(m)], [F.get("_s", F.lit(m + i)) for i in range(m)]
-    outside = marked.groupBy(*keys).agg(
-        F.first("_n").alias("_n"), *[F.sum((v < low[i]).cast("long")).alias(f"_below{i}") for i in range(m)],
-        *[F.max(F.when(v < low[i], v)).alias(f"_left{i}") for i in range(m)], *[F.min(F.when(v > high[i], v)).alias(f"_right{i}") for i in range(m)],
-    )
-    inside = marked.select(*keys, "_v", F.explode(F.array_compact(F.array(*[F.when((v >= low[i]) & (v <= high[i]), i) for i in range(m)]))).alias("_i"))
-    counted = inside.groupBy(*keys, "_i", "_v").agg(F.count("*").alias("_c"))
-    placed = counted.withColumn("_end", F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
-    placed = _beside(placed, outside, keys)
-
-    def rank(i: int, up: bool) -> Column:
-        place = qs[i] * (F.col("_n") - 1)
-        return (F.ceil(place) if up else F.floor(place)) - F.col(f"_below{i}")
-
-    def ranked(i: int, up: bool) -> Column:
-        hit = (F.col("_i") == i) & (F.col("_end") - F.col("_c") <= rank(i, up)) & (rank(i, up) < F.col("_end"))
-        return F.max(F.when(hit, v))
-
-    picked = placed.groupBy(*keys).agg(*[ranked(i, up).alias(f"_{'hi' if up else 'lo'}{i}") for i in range(m) for up in (False, True)])
-    found = _beside(picked, outside, keys)
-
-    def value(i: int) -> Column:
-        lo = F.coalesce(f"_lo{i}", F.when(rank(i, False) < 0, F.col(f"_left{i}")).otherwise(F.col(f"_right{i}")))
-        hi = F.coalesce(f"_hi{i}", F.when(rank(i, True) < 0, F.col(f"_left{i}")).otherwise(F.col(f"_right{i}")))
-        place = qs[i] * (F.col("_n") - 1)
-        return F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (place - F.floor(place)))
-
-    return found.select(*keys, *[value(i).alias(name) for i, name in enumerate(at)])
+    bounds = small_side(written(bounds))
+    v, low, high = F.col("_v"), [F.get("_s", F.lit(i)) for i in range(len(qs))], [F.get("_s", F.lit(len(qs) + i)) for i in range(len(qs))]
+    inside = reduce(lambda a, b: a | b, [(v >= a) & (v <= b) for a, b in zip(low, high)])
+    passed = reduce(lambda a, b: a + b, [(v > b).cast("int") for b in high])  # how many brackets lie below
+    cells = _counted(beside(live, bounds, keys).select(*keys, "_v", F.when(inside, v).alias("_w"), F.when(~inside, passed).alias("_g")), keys)
+    ranks = bounds.select(*keys, F.explode(F.array(*[F.struct(F.lit(q).alias("q"), (F.lit(q) * (F.col("_n") - 1)).alias("place")) for q in qs])).alias("_q")).select(*keys, F.col("_q.q").alias("_at"), F.col("_q.place").alias("_place"))
+    wanted = ranks.select(*keys, "_at", "_place", F.explode(F.array_distinct(F.array(F.floor("_place"), F.ceil("_place")))).alias("_k"))
+    found = _values_at(cells, wanted, keys, most)
+    if not found.where("_w IS NULL").isEmpty():  # a sketch was further off than it promises: count every value
+        found = _values_at(_counted(live.select(*keys, "_v", v.alias("_w"), F.lit(None).cast("int").alias("_g")), keys), wanted, keys, most)
+    whole = found.groupBy(*keys, "_at").agg(F.min("_w").alias("_lo"), F.max("_w").alias("_hi"), F.first("_place").alias("_place"))
+    value = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_place") - F.floor("_place")))
+    return whole.groupBy(*keys).agg(*[F.max(F.when(F.col("_at") == q, value)).alias(name) for name, q in at.items()])
+
+
+def _counted(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of each cell with its least and largest value, written: _w is the value of a cell that has only one, _g the number of a range."""
+    return written(values.groupBy(*keys, "_w", "_g").agg(F.count("*").alias("_rows"), F.min("_v").alias("_least"), F.max("_v").alias("_largest")))
+
+
+def _values_at(cells: DataFrame, wanted: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """wanted (keys, _at, _place, _k: a rank from 0) with the value _w at the rank, or NULL if it lies within a range."""
+    if cells.limit(most + 1).count() > most:
+        summed = scan(cells, keys, [F.col("_least")], sums={"_end": F.col("_rows")})
+    else:
+        summed = cells.withColumn("_end", F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_least").rowsBetween(Window.unboundedPreceding, 0)))
+    begin = F.col("_end") - F.col("_rows")
+    hit = beside(summed, wanted.groupBy(*keys).agg(F.collect_list(F.struct("_at", "_place", "_k")).alias("_ks")), keys)  # a few ranks a key
+    placed = hit.withColumn("_q", F.explode("_ks")).where((begin <= F.col("_q._k")) & (F.col("_q._k") < F.col("_end")))
+    first, last = F.col("_q._k") == begin, F.col("_q._k") == F.col("_end") - 1
+    single = F.when(F.col("_w").isNotNull() | first | (F.col("_least") == F.col("_largest")), F.col("_least")).when(last, F.col("_largest"))
+    return written(placed.select(*keys, "_q._at", "_q._place", "_q._k", single.alias("_w")))
 
 
 def describe(df: DataFrame, keys: list[str], column: str, quantile: list[float] | None = None) -> DataFrame:
     """Count, mean, extremes and exact quantiles (q25, q50, ...)."""
     names = {f"q{round(100 * x)}": x for x in quantile or [0.25, 0.5, 0.75]}
     out = df.groupBy(*keys).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"))
-    return _beside(out, quantiles(df, keys, column, names), keys, "left" if keys else "inner")
+    return beside(out, quantiles(df, keys, column, names), keys, "left" if keys else "inner")
 
 
 def log_ratio_summary(df: DataFrame, keys: list[str], answer: str, truth: str) -> DataFrame:
@@ -101,7 +104,7 @@ def log_ratio_summary(df: DataFrame, keys: list[str], answer: str, truth: str) -
         share(d > 1).alias("over10"),
         share(d < -1).alias("under10"),
     )
-    both = _beside(counted, quantiles(dex, keys, "dex", {"median_dex": 0.5}), keys, "left" if keys else "inner")
+    both = beside(counted, quantiles(dex, keys, "dex", {"median_dex": 0.5}), keys, "left" if keys else "inner")
     return both.withColumn("median_factor", F.pow(F.lit(10.0), F.col("median_dex")))
 
 
@@ -158,7 +161,7 @@ def share_within(df: DataFrame, key: str, value: str) -> DataFrame:
     """Count of each value and its percent of its key's rows."""
     counts = df.groupBy(key, value).agg(F.count("*").alias("n"))
     total = df.groupBy(key).agg(F.count("*").alias("_total"))  # not a window: a key's values stay in as many tasks as they are in
-    return _beside(counts, total, [key]).select(key, value, "n", (100.0 * F.col("n") / F.col("_total")).alias("percent"))
+    return beside(counts, total, [key]).select(key, value, "n", (100.0 * F.col("n") / F.col("_total")).alias("percent"))
 
 
 def rare_to_null(df: DataFrame, value: str, percent: str, least: float) -> DataFrame:
@@ -211,20 +214,26 @@ def latest(df: DataFrame, keys: list[str], order: str, cancelled: str | None = N
 
 
 def concentration(df: DataFrame, key: str, value: str, fraction: float = 0.01) -> DataFrame:
-    """What share of a field's light (value above its minimum) its brightest fraction holds."""
-    w = Window.partitionBy(key)
-    light = df.withColumn("light", F.col(value) - F.min(value).over(w)).withColumn("place", F.row_number().over(w.orderBy(F.desc(value)))).withColumn("n", F.count("*").over(w))
-    top = F.sum(F.when(F.col("place") <= F.greatest(F.lit(1), F.round(fraction * F.col("n"))), F.col("light")))
-    return light.groupBy(key).agg(F.when(F.sum("light") > 0, top / F.sum("light")).alias("concentration"))
+    """What share of a field's light (value above its minimum) its brightest fraction holds.
+
+    Places come from a two-level scan and the rest from aggregates: no task holds a field's rows."""
+    values = df.select(key, F.col(value).alias("_v"))
+    light = beside(values, values.groupBy(key).agg(F.min("_v").alias("_least")), [key]).withColumn("_light", F.col("_v") - F.col("_least"))
+    placed = scan(light, [key], [F.desc("_v")], place="_i", total="_n")
+    top = F.sum(F.when(F.col("_i") < F.greatest(F.lit(1), F.round(fraction * F.col("_n"))), F.col("_light")))
+    return placed.groupBy(key).agg(F.when(F.sum("_light") > 0, top / F.sum("_light")).alias("concentration"))
 
 
 def circular_gap(df: DataFrame, key: str, degrees: str) -> DataFrame:
-    """The largest empty arc among a key's angles, and the arc that holds them all, NULL above 180 degrees."""
-    w = Window.partitionBy(key).orderBy(degrees)
-    points = df.where(F.col(degrees).isNotNull()).select(key, degrees).distinct()
-    following = F.coalesce(F.lead(degrees).over(w), F.first(degrees).over(w) + 360)
-    gaps = points.withColumn("next", following).withColumn("gap", F.col("next") - F.col(degrees))
-    best = gaps.groupBy(key).agg(F.max_by(F.struct("gap", "next"), F.struct(F.col("gap"), -F.col(degrees))).alias("g"))
+    """The largest empty arc among a key's angles, and the arc that holds them all, NULL above 180 degrees.
+
+    Each angle's follower comes from a two-level scan; only the one arc over 0h is closed from the key's extremes."""
+    points = df.where(F.col(degrees).isNotNull()).select(key, F.col(degrees).alias("_d")).distinct()
+    arcs = scan(points, [key], [F.col("_d")], following={"_next": F.col("_d")})
+    inner = F.when(F.col("_next").isNotNull(), F.struct((F.col("_next") - F.col("_d")).alias("gap"), (-F.col("_d")).alias("from"), F.col("_next").alias("next")))
+    ends = arcs.groupBy(key).agg(F.max(inner).alias("inner"), F.min("_d").alias("first"), F.max("_d").alias("last"))
+    across = F.struct((F.col("first") + 360 - F.col("last")).alias("gap"), (-F.col("last")).alias("from"), (F.col("first") + 360).alias("next"))
+    best = ends.select(key, F.greatest("inner", across).alias("g"))  # struct by struct: of equal gaps the one that begins first
     span = 360 - F.col("g.gap")
     return best.select(key, F.col("g.gap").alias("gap"), F.when(span <= 180, span).alias("span"), F.when(span <= 180, F.pmod("g.next", F.lit(360.0))).alias("start"))
 
@@ -309,7 +318,7 @@ def clip_stretch(df: DataFrame, key: str, value: str, percent: float = 99.0, log
     x = F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi"))
     unit = F.when(F.col("_hi") > F.col("_lo"), (x - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
     unit = unit if log is None else F.log(log * unit + 1) / math.log(log + 1)
-    return _beside(df, bounds, [key], "left").withColumn("stretched", F.when(F.col(value).isNotNull(), unit)).drop("_lo", "_hi")
+    return beside(df, bounds, [key], "left").withColumn("stretched", F.when(F.col(value).isNotNull(), unit)).drop("_lo", "_hi")
 
 
 def unstretched(stretched, low, high, log: float | None = None) -> Column:
@@ -319,27 +328,9 @@ def unstretched(stretched, low, high, log: float | None = None) -> Column:
     return c(low) + unit * (c(high) - c(low))
 
 
-#: Into how many ranges of the order rows are dealt to be numbered.
-RANGES = 512
-
-
-def numbered(df: DataFrame, order: Column, low: float, high: float, ties: list, name: str = "number") -> DataFrame:
-    """df with the place of each row (from 0) in an order, without bringing all rows together: rows are dealt into equal
-    ranges of the order (a number between low and high), counted, and numbered within their range. ties says in what
-    order rows of the same number stand. A hashed order fills the ranges evenly; rows with one and the same number
-    stay in one range."""
-    part = F.greatest(F.lit(0), F.least(F.lit(RANGES - 1), F.floor((order - low) / max(high - low, 1e-300) * RANGES)))
-    dealt = df.withColumn("_order", order).withColumn("_range", F.when(order.isNull(), -1).otherwise(part).cast("int"))
-    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_rows"))  # at most RANGES + 1 rows
-    before = sizes.select("_range", F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy("_order", *ties)) - 1
-    return dealt.withColumn(name, within).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col(name)).drop("_order", "_range", "_before")
-
-
 def round_robin(df: DataFrame, order: str, workers: int) -> DataFrame:
-    """Which of `workers` each row goes to, in turn, by a numeric column (missing values first); ties by all columns."""
-    low, high = df.agg(F.min(order).cast("double"), F.max(order).cast("double")).first()
-    found = numbered(df, F.col(order).cast("double"), low or 0.0, high or 0.0, list(df.columns), "_n")
+    """Which of `workers` each row goes to, in turn, by a column (missing values first); ties by all columns."""
+    found = numbered(df, [F.col(order), *[F.col(x) for x in df.columns]], "_n")
     return found.withColumn("worker", (F.col("_n") % workers).cast("int")).drop("_n")
 
 
@@ -351,7 +342,7 @@ def statistics(df: DataFrame, keys: list[str], value: str, names: list[str]) ->
     """The named statistics of a value."""
     out = df.groupBy(*keys).agg(F.count(value).alias("_n"), *[STATISTICS[n](value).alias(n) for n in names if n != "median"])
     if "median" in names:
-        out = _beside(out, quantiles(df, keys, value, {"median": 0.5}), keys, "left" if keys else "inner")
+        out = beside(out, quantiles(df, keys, value, {"median": 0.5}), keys, "left" if keys else "inner")
     return out.select(*keys, *names)
 
 

@@ -258,12 +258,13 @@ def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
 
 def angular_errors(df: DataFrame, keys: list[str], sep: str) -> DataFrame:
     """Percent of separations below 1 and 10 and above 90 degrees, and their median."""
-    from .evaluate import _beside, quantiles
+    from .evaluate import quantiles
+    from .keys import beside
 
     share = lambda cond: 100 * F.avg(cond.cast("double"))
     s, known = F.col(sep), df.where(F.col(sep).isNotNull())
     out = known.groupBy(*keys).agg(F.count("*").alias("n"), share(s < 1).alias("below1"), share(s < 10).alias("below10"), share(s > 90).alias("above90"))
-    return _beside(out, quantiles(known, keys, sep, {"median": 0.5}), keys)
+    return beside(out, quantiles(known, keys, sep, {"median": 0.5}), keys)
 
 
 def gaps(df: DataFrame, row: str, kind: str, measure: str, first: str, middle: str, last: str) -> DataFrame:

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import angle_arcsec, boxes_overlap, c, iou, normalise_name, separation
-from .evaluate import numbered
+from ..functions.scalars import angle_arcsec, c, normalise_name, separation
+from . import sky
+from .boxes import overlapping as overlapping
+from .ordered import numbered
 
 
 def with_category(facts: DataFrame, dimension: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -36,13 +38,6 @@ def reconcile(a: DataFrame, b: DataFrame, key: str, count: str) -> DataFrame:
     return x.join(y, key, "full_outer").where(~F.col("left_n").eqNullSafe(F.col("right_n")))
 
 
-def overlapping(boxes: DataFrame, figure: str, label: str) -> DataFrame:
-    """Pairs of a figure's boxes that overlap, the lesser label first, with their IoU. Joined by figure, so a hash join with a residual."""
-    a, b = boxes.alias("a"), boxes.alias("b")
-    cond = (F.col(f"a.{figure}") == F.col(f"b.{figure}")) & (F.col(f"a.{label}") < F.col(f"b.{label}")) & boxes_overlap("a", "b")
-    return a.join(b, cond).select(F.col(f"a.{figure}").alias(figure), F.col(f"a.{label}").alias("first"), F.col(f"b.{label}").alias("second"), iou("a", "b").alias("iou"))
-
-
 def duplicates(df: DataFrame, key: list[Column], source: str) -> DataFrame:
     """Rows whose (rounded) key stands in more than one source, with how many rows and sources it has."""
     names = [f"_k{i}" for i in range(len(key))]
@@ -51,24 +46,13 @@ def duplicates(df: DataFrame, key: list[Column], source: str) -> DataFrame:
     return keyed.join(counts, names).drop(*names)
 
 
-#: Targets that are compared with a point in one row.
-TARGET_BLOCK = 2048
+#: Targets that a cell of the sky may hold before it is split.
+TARGET_BLOCK = 64
 
 
 def nearest(points: DataFrame, targets: DataFrame, key: str, ra: str = "ra", dec: str = "dec") -> DataFrame:
-    """For each point the nearest of the targets that share its key; of equally near ones the least.
-
-    A key's targets come in blocks of some TARGET_BLOCK, as an array: a point meets a row for each block, not one for
-    each target, and what is shuffled after that is one row for each point and block. Repeated points stay apart.
-    """
-    sizes = targets.groupBy(key).agg(F.ceil(F.count("*") / F.lit(TARGET_BLOCK)).cast("int").alias("_blocks"))
-    dealt = targets.join(sizes, key).withColumn("_block", F.pmod(F.xxhash64("target"), F.col("_blocks")))
-    blocks = dealt.groupBy(key, "_block").agg(F.collect_list(F.struct(F.col(ra).cast("double").alias("ra"), F.col(dec).cast("double").alias("dec"), F.col("target"))).alias("_targets")).drop("_block")
-    others = list(points.columns)
-    each = points.withColumn("_row", F.monotonically_increasing_id()).join(blocks, key)
-    best = F.array_min(F.transform("_targets", lambda t: F.struct(separation(ra, dec, t["ra"], t["dec"]).alias("separation"), t["target"].alias("target"))))
-    met = each.select("_row", F.struct(*others).alias("_p"), best.alias("_m"))
-    return met.groupBy("_row").agg(F.first("_p").alias("_p"), F.min("_m").alias("_m")).select("_p.*", "_m.separation", "_m.target")
+    """For each point the nearest of the targets that share its key; of equally near ones the least."""
+    return sky.nearest(points, targets, key, ra, dec, TARGET_BLOCK)
 
 
 def segment_pairs(segments: DataFrame, figure: str, height: float, longest: int = 8) -> DataFrame:
@@ -93,22 +77,19 @@ def sample_per_group(df: DataFrame, groups: list[str], key: str, n: int) -> Data
     return df.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
 
 
-ORDER_END = 1_000_003
-
-
 def assign_ids(known: DataFrame, keys: DataFrame, key: str, number: str = "number") -> DataFrame:
     """Known numbers stay; new keys get the next ones in keyed order."""
     new = keys.select(key).distinct().join(known.select(key), key, "left_anti")
     last = known.agg(F.coalesce(F.max(number), F.lit(0)).alias("_last"))
-    placed = numbered(new, keyed_order(key), 0, ORDER_END, [key], "_r").crossJoin(F.broadcast(last))
+    placed = numbered(new, [keyed_order(key), F.col(key)], "_r").crossJoin(F.broadcast(last))
     return known.select(key, number).unionByName(placed.select(key, (F.col("_last") + F.col("_r") + 1).cast(known.schema[number].dataType).alias(number)))
 
 
 def assign_pool(items: DataFrame, pool: DataFrame, item: str, value: str) -> DataFrame:
     """The k-th item gets the pool's k mod n-th value, both in keyed order."""
     n = pool.agg(F.count("*").alias("_n"))
-    p = numbered(pool.select(value), keyed_order(value), 0, ORDER_END, [value], "_p")
-    k = numbered(items, keyed_order(item), 0, ORDER_END, [item], "_k").crossJoin(F.broadcast(n))
+    p = numbered(pool.select(value), [keyed_order(value), F.col(value)], "_p")
+    k = numbered(items, [keyed_order(item), F.col(item)], "_k").crossJoin(F.broadcast(n))
     return k.withColumn("_p", F.col("_k") % F.col("_n")).join(p, "_p").drop("_p", "_k", "_n")
 
 

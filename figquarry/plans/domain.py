@@ -8,6 +8,7 @@ from ..functions import parse as P
 from ..functions import scalars as S
 from ..operators import fields as G
 from ..operators import relate as R
+from ..operators.ordered import numbered
 from ..sources import files as IO
 from ..streaming import incremental as I
 from .registry import query, r
@@ -131,10 +132,8 @@ def keyed_sample(t):
 SELECT k, number FROM known UNION ALL SELECT k, (SELECT max(number) FROM known) + row_number() OVER (ORDER BY {ORDER.format('k')}, k) FROM new""")
 def assign_ids(t):
     """W7, O9, U6"""
-    from pyspark.sql import Window
-
     s = t("supplier").select(F.col("s_suppkey").alias("k"))
-    known = s.where("k % 2 = 0").withColumn("number", F.row_number().over(Window.orderBy("k")).cast("long"))
+    known = numbered(s.where("k % 2 = 0"), [F.col("k")]).withColumn("number", F.col("number") + 1)
     return R.assign_ids(known, s, "k")
 
 

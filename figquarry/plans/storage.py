@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources import encoded
 from ..sources import files as IO
 from ..streaming import incremental as I
 from .registry import query, r
@@ -24,8 +25,8 @@ def csv_shards(t):
     """Shards appended by several writers and read as one table"""
     li = t("lineitem").select(F.col("l_returnflag").alias("flag"), "l_orderkey", "l_quantity")
     path = IO.scratch(li.sparkSession)
-    for flag in ("A", "N", "R"):
-        IO.append_shards(li.where(F.col("flag") == flag), path)
+    IO.append_shards(li.where("l_orderkey % 2 = 0"), path)
+    IO.append_shards(li.where("l_orderkey % 2 <> 0"), path)
     read = IO.read_csv(li.sparkSession, path, "flag STRING, l_orderkey BIGINT, l_quantity DOUBLE")
     return read.groupBy("flag").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"), r(F.sum("l_quantity"), 2).alias("quantity"))
 
@@ -47,23 +48,25 @@ def manifest_merge(t):
     """A manifest of JSON lines with sorted keys, merged with new and changed records, written and read again"""
     s = t("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("preset"), F.col("s_nationkey").alias("seed"), "s_acctbal")
     spark, schema = s.sparkSession, "k BIGINT, preset STRING, seed INT, effects ARRAY<STRING>"
-    first, second = IO.scratch(spark), IO.scratch(spark)
+    path, first = IO.scratch(spark), IO.scratch(spark)
     IO.write_manifest(s.drop("s_acctbal"), first, ["k"])
+    IO.update_manifest(IO.read_manifest(spark, first, schema), path, ["k"])
     aged = [F.lit("aged").alias("preset"), F.lit(None).cast("int").alias("seed"), F.array(F.lit("fold"), F.lit("stain")).alias("effects")]
     changed = s.where("s_acctbal > 5000").select("k", *aged)
     new = changed.unionByName(changed.withColumn("k", F.col("k") + 1_000_000))
-    IO.write_manifest(IO.upsert(IO.read_manifest(spark, first, schema), new, ["k"]), second, ["k"])
-    return IO.read_manifest(spark, second, schema).select("k", "preset", "seed", F.array_join("effects", "|").alias("effects"))
+    return IO.update_manifest(new, path, ["k"]).select("k", "preset", "seed", F.array_join("effects", "|").alias("effects"))
 
 
 @query("SELECT p_partkey AS k, 'say \"' || p_name || '\\' || p_brand AS name, p_size AS size FROM part")
 def json_documents(t):
-    """Rows written as JSON strings that hold JSON, and read again"""
+    """A folder of documents, JSON strings that hold JSON, one a file, written and read as a data source"""
     p = t("part").select(F.col("p_partkey").alias("k"), F.concat(F.lit('say "'), "p_name", F.lit("\\"), "p_brand").alias("name"), F.col("p_size").alias("size"))
     path = IO.scratch(p.sparkSession)
-    IO.write_documents(p, path)
-    lines = p.sparkSession.read.text(path)
-    return lines.select(F.from_json(IO.decode_twice("value"), "k BIGINT, name STRING, size INT").alias("r")).select("r.*")
+    spark = p.sparkSession
+    encoded.register(spark)
+    p.select(F.format_string("figure_%06d", "k").alias("name"), F.to_json(F.struct("k", "name", "size")).alias("json")).write.format(encoded.FORMAT).mode("append").save(path)
+    read = spark.read.format(encoded.FORMAT).load(path)
+    return read.where("error IS NULL").select(F.from_json("json", "k BIGINT, name STRING, size INT").alias("r")).select("r.*")
 
 
 @query("SELECT c_custkey AS k, c_name AS name, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS segment, round(c_acctbal, 2) AS balance FROM customer")
@@ -86,14 +89,14 @@ def file_names(t):
 
 @query("SELECT DISTINCT l_returnflag AS object, l_linestatus AS survey, CAST(l_linenumber AS VARCHAR) AS pdf FROM lineitem")
 def failure_log(t):
-    """ST2: a log of CSV shards as a stream, each failure once"""
+    """ST2: a log of CSV shards as a stream with bounded state, each failure once in a versioned table"""
     li = t("lineitem").select(F.col("l_returnflag").alias("object"), F.col("l_linestatus").alias("survey"), F.col("l_linenumber").cast("string").alias("pdf"), F.lit("no survey").alias("reason"))
     spark, path, out = li.sparkSession, IO.scratch(li.sparkSession), IO.scratch(li.sparkSession)
     IO.append_shards(li.where("survey = 'F'"), path)
     IO.append_shards(li.where("survey <> 'F'"), path)
     stream = I.stream_log(spark, path, "object STRING, survey STRING, pdf STRING, reason STRING", ["object", "survey", "pdf"])
-    stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/data").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/data").select("object", "survey", "pdf")
+    I.keep_log(stream, f"{out}/log", ["object", "survey", "pdf"], f"{out}/state").awaitTermination()
+    return IO.versions.read(spark, f"{out}/log").select("object", "survey", "pdf")
 
 
 @query()

@@ -182,7 +182,7 @@ SELECT k, c.object, pdf, rest[1 + least(len(rest) - 1, CAST(floor(u * len(rest))
 def cutout_picks(t):
     """An object for each request, and one of the surveys that have it"""
     supplier = t("supplier")
-    pool = E.numbered(supplier, F.col("s_suppkey").cast("double"), 0.0, 1e6, ["s_suppkey"], "n").select(F.col("s_name").alias("object"), F.col("s_nationkey").alias("pdf"), "n")
+    pool = E.numbered(supplier, [F.col("s_suppkey")], "n").select(F.col("s_name").alias("object"), F.col("s_nationkey").alias("pdf"), "n")
     surveys = t("nation").select(F.col("n_name").alias("survey"), "n_nationkey")
     gone = supplier.join(F.broadcast(surveys), ((F.col("s_suppkey") + F.col("n_nationkey")) % 3 > 0) | (F.col("s_suppkey") % 10 == 4))
     missing = gone.select(F.col("s_name").alias("object"), F.col("s_nationkey").alias("pdf"), "survey")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parse import decode_twice
 from ..functions.scalars import c, plain_text
+from . import versions
+from .scratch import scratch as scratch
 
 
 def read_documents(spark: SparkSession, path: str, schema: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -47,32 +47,27 @@ def append_shards(df: DataFrame, path: str) -> None:
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Old rows that aren't in new, and new."""
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+    return old.join(new.select(*keys), keys, "left_anti").select(*old.columns).unionByName(new, allowMissingColumns=True)
 
 
-def newest_version(spark: SparkSession, path: str) -> str | None:
-    """The newest finished version of a table that checkpoint() writes, or None."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(top):
-        return None
-    finished = [x.getPath() for x in store.listStatus(top) if store.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
-    names = sorted(x.getName() for x in finished if x.getName().startswith("version="))
-    return f"{path.rstrip('/')}/{names[-1]}" if names else None
+def upsert_into(new: DataFrame, path: str, keys: list[str], form: str = "parquet", writer: str | None = None, batch: int = 0) -> DataFrame:
+    """A versioned table (see versions) brought up to date by a batch, whoever else writes to it: rows of new replace
+    those of their keys, and the result is sorted by key. Returns the table as committed."""
+    spark = new.sparkSession
+    merge = lambda old: (upsert(old, new, keys) if old is not None else new).orderBy(*keys)
+    return versions.read(spark, path, versions.commit(spark, path, merge, form, writer, batch).number)
 
 
 def checkpoint(new: DataFrame, path: str, keys: list[str], schema: str) -> DataFrame:
-    """A CSV table brought up to date by a batch, sorted by key: what a crash leaves behind is the version before.
+    """A CSV table of a given schema brought up to date by a batch, sorted by key: what a crash leaves behind is the
+    version before. Returns the table."""
+    typed = new.sparkSession.createDataFrame([], schema).unionByName(new)
+    return upsert_into(typed, path, keys, "csv")
 
-    Each batch writes a version of its own, which counts when its commit has ended; rows of new replace those of their
-    keys. Returns the table.
-    """
-    spark = new.sparkSession
-    last = newest_version(spark, path)
-    merged = upsert(read_csv(spark, last, schema), new, keys) if last else new
-    number = int(last.rpartition("=")[2]) + 1 if last else 0
-    merged.orderBy(*keys).write.mode("overwrite").csv(f"{path.rstrip('/')}/version={number:06d}", header=True)
-    return read_csv(spark, newest_version(spark, path), schema)
+
+def update_manifest(new: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """A versioned manifest of JSON lines with sorted keys, merged with new and changed records. Returns it."""
+    return upsert_into(new.select(*sorted(new.columns)), path, keys, "json")
 
 
 def write_manifest(df: DataFrame, path: str, keys: list[str]) -> None:
@@ -91,12 +86,6 @@ def write_table(df: DataFrame, path: str, order: list[str]) -> None:
     df.orderBy(*order).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue='""')
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, else the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/figquarry/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-
-
 def file_record(path) -> dict[str, Column]:
     """The fields of image_<pdf>_OBJ_<object>_SURVEY_<survey>_height... file names."""
     name = F.regexp_extract(c(path), r"([^/]+)$", 1)
