@@ -35,7 +35,7 @@ TABLES = 4
 SUCCESS = 0.94
 SAMPLE = 4096
 #: A table has log2(rows / BUCKET) functions; vectors of a block at most.
-BUCKET = 256
+BUCKET = 1024
 BLOCK = 4096
 #: Width of a slot over the spread of a projection.
 WIDTH = 3.0
@@ -181,9 +181,12 @@ def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+_FOUND = pa.list_(pa.struct([("less", pa.float64()), ("id", pa.int64())]))
+
+
 def best_of_block(queries: pa.Table, rows: pa.Table, top: int) -> pa.Table:
-    """For each query of a block its best rows of the block, other than itself: q, id, score."""
-    form = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+    """For each query of a block its best rows of the block, other than itself: q, found (score negated and id, best first)."""
+    form = pa.schema([("q", pa.int64()), ("found", _FOUND)])
     if not queries.num_rows or not rows.num_rows:
         return form.empty_table()
     q, x = matrix(queries["x"]), matrix(rows["x"])
@@ -191,14 +194,15 @@ def best_of_block(queries: pa.Table, rows: pa.Table, top: int) -> pa.Table:
     found = q @ x.T
     found[q_id[:, None] == x_id[None, :]] = -np.inf
     n = min(top, len(x))
-    if n < len(x):
-        near = np.argpartition(-found, n - 1, axis=1)[:, :n]
-    else:
-        near = np.tile(np.arange(len(x)), (len(q), 1))
+    near = np.argpartition(-found, n - 1, axis=1)[:, :n]
     i, j = np.repeat(np.arange(len(q)), n), near.ravel()
     real = found[i, j] > -np.inf
     i, j = i[real], j[real]
-    return pa.table([q_id[i], x_id[j], inner_products(q[i], x[j])], schema=form)
+    less, of = -inner_products(q[i], x[j]), x_id[j]
+    order = np.lexsort((of, less, i))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(i, minlength=len(q)))]).astype(np.int32)
+    best = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(less[order]), pa.array(of[order])], ["less", "id"]))
+    return pa.table([pa.array(q_id), best.cast(_FOUND)], schema=form)
 
 
 def search(rows: DataFrame, asked: Column, top: int = TOP, tables: int = TABLES, success: float = SUCCESS, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
@@ -241,9 +245,10 @@ def search(rows: DataFrame, asked: Column, top: int = TOP, tables: int = TABLES,
     right = index.join(sizes, ["t", "bucket"]).join(asks, ["t", "bucket"]).withColumn("block", mine("blocks")).withColumn("part", every_one("parts"))
     group = ["t", "bucket", "block", "part"]
     pick = lambda some: some.select("id", "x", *group).groupBy(*group)
-    met = pick(left).cogroup(pick(right)).applyInArrow(lambda a, b: best_of_block(a, b, top), "q long, id long, score double")
-    in_order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    merged = met.groupBy("q", "id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(in_order)).where(F.col("r") <= top).select("q", "id", "score")
+    met = pick(left).cogroup(pick(right)).applyInArrow(lambda a, b: best_of_block(a, b, top), "q long, found array<struct<less: double, id: long>>")
+    # a row a visit, not one a candidate: a query's lists are joined, those found through several tables counted once
+    lists = met.groupBy("q").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, top).alias("found"))
+    merged = lists.select("q", F.explode("found").alias("f")).select("q", F.col("f.id").alias("id"), (-F.col("f.less")).alias("score"))
     itself = every.where("asked").select(F.col("id").alias("q"), "id", norm.alias("score"))
     near = materialise(merged.union(itself))
 
