@@ -41,10 +41,77 @@ def expected_key(fmt) -> Column:
     return F.nullif(F.trim(F.regexp_replace(inner, "[\"'`]", "")), F.lit(""))
 
 
+#: Edits up to which a distance is looked for along diagonals, before the whole table is worked through.
+DIAGONALS = 400
+
+
+def _alike(a: str, i: int, b: str, j: int) -> int:
+    """How many characters a from i and b from j have in common, by slices of growing and then shrinking length."""
+    n, step = 0, 16
+    while step and a[i + n : i + n + step] == b[j + n : j + n + step] and i + n + step <= len(a) and j + n + step <= len(b):
+        n, step = n + step, 2 * step
+    while step:
+        if i + n + step <= len(a) and j + n + step <= len(b) and a[i + n : i + n + step] == b[j + n : j + n + step]:
+            n += step
+        step //= 2
+    return n
+
+
+def diagonal_distance(a: str, b: str, most: int = DIAGONALS) -> int | None:
+    """Levenshtein distance if it is `most` or less: how far each diagonal reaches with 0, 1, 2, ... edits. In time near the texts' length."""
+    reach = {0: _alike(a, 0, b, 0)}
+    for edits in range(most + 1):
+        if reach.get(len(a) - len(b), -1) >= len(a):
+            return edits
+        further = {}
+        for k in range(-edits - 1, edits + 2):
+            i = min(max(reach.get(k - 1, -2) + 1, reach.get(k, -2) + 1, reach.get(k + 1, -2)), len(a), len(b) + k)
+            if i >= max(0, k):
+                further[k] = i + _alike(a, i, b, i - k)
+        reach = further
+    return None
+
+
+def bit_distance(a: str, b: str) -> int:
+    """Levenshtein distance by bit-parallel columns: each row of the table is one integer of len(b) bits."""
+    if not a or not b:
+        return max(len(a), len(b))
+    at: dict[str, int] = {}
+    for i, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << i
+    full, last = (1 << len(b)) - 1, 1 << len(b) - 1
+    up, down, distance = full, 0, len(b)
+    for x in a:
+        same = at.get(x, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        across_up, across_down = down | (full & ~(diagonal | up)), up & diagonal
+        distance += bool(across_up & last) - bool(across_down & last)
+        across_up, across_down = (across_up << 1 | 1) & full, across_down << 1 & full
+        up, down = across_down | (full & ~(diagonal | across_up)), across_up & diagonal
+    return distance
+
+
+def _distance(a: str, b: str) -> int:
+    near = diagonal_distance(a, b)
+    return bit_distance(a, b) if near is None else near
+
+
+def edit_distance(a, b) -> Column:
+    """the Levenshtein distance of two texts in code points. Short texts are compared by Spark's own function. Of long
+    ones those that differ little are followed along diagonals, in time near their length; others take bit-parallel columns,
+    a 64th of the table's steps."""
+    import pandas as pd
+
+    a, b = c(a), c(b)
+    small = F.length(a).cast("long") * F.length(b) <= 1 << 20
+    run = F.pandas_udf(lambda x, y: pd.Series([None if p is None or q is None else _distance(p, q) for p, q in zip(x, y)], dtype="Int64"), "long")
+    return F.coalesce(F.when(small, F.levenshtein(a, b)).cast("long"), run(F.when(~small, a), F.when(~small, b)))
+
+
 def cer(hypothesis, reference) -> Column:
     """character error rate in percent of the reference's length; where either side is empty or missing, the other's length (not percent)."""
     h, r = F.coalesce(c(hypothesis), F.lit("")), F.coalesce(c(reference), F.lit(""))
-    return F.when((F.length(h) > 0) & (F.length(r) > 0), F.levenshtein(h, r) * 100.0 / F.length(r)).otherwise(F.greatest(F.length(h), F.length(r)).cast("double"))
+    return F.when((F.length(h) > 0) & (F.length(r) > 0), edit_distance(h, r) * 100.0 / F.length(r)).otherwise(F.greatest(F.length(h), F.length(r)).cast("double"))
 
 
 def epoch(label) -> Column:

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import c, gaussian, hash_u01, noisy, rescale
+from ..sources.scratch import written
 from .evaluate import field_2d
-from .relate import uniform_choice, weighted_choice
+from .ordered import numbered
+from .relate import keyed_order, uniform_choice, weighted_choice
 
 #: A uniform number in [0, 1) for a key and the number of the draw: the same on every partitioning.
 Draw = Callable[[Column, Column | int], Column]
@@ -183,19 +185,28 @@ def sky_labels(draw: Draw, key, names: list[tuple[str, str]], epoch_share: float
 
 
 def flatten_tree(df: DataFrame, tree: str) -> DataFrame:
-    """Level -> kind -> name -> entry, or -> plot -> entry, as rows: level, kind, name, plot, entry (JSON). An entry holds Q."""
-    kept = [x for x in df.columns if x != tree]
-
-    def opened(frame: DataFrame, source: str, key: str, value: str) -> DataFrame:
-        entries = F.from_json(F.col(source), "map<string,string>")
-        others = [x for x in frame.columns if x != source]
-        return frame.select(*others, F.explode(entries).alias(key, value))
-
-    leaf = opened(opened(opened(df, tree, "level", "_k"), "_k", "kind", "_n"), "_n", "name", "_e")
-    is_entry = F.get_json_object("_e", "$.Q").isNotNull()
-    direct = leaf.where(is_entry).select(*kept, "level", "kind", "name", F.lit(None).cast("string").alias("plot"), F.col("_e").alias("entry"))
-    deeper = opened(leaf.where(~is_entry), "_e", "plot", "entry").where(F.get_json_object("entry", "$.Q").isNotNull())
-    return direct.unionByName(deeper.select(*kept, "level", "kind", "name", "plot", "entry"))
+    """Level -> kind -> name -> entry, or -> plot -> entry, as rows: level, kind, name, plot, entry (JSON). An entry holds Q.
+
+    A tree is parsed once, as a VARIANT; its levels are opened by lateral table functions over parts of that value. Trees
+    that aren't JSON, or in which a key stands twice in one object, have no rows.
+    """
+    spark, kept = df.sparkSession, [x for x in df.columns if x != tree]
+
+    def opened(frame: DataFrame, value: str, key: str) -> DataFrame:
+        """A row for each member of an object: key, and value instead of the object."""
+        members = frame.lateralJoin(spark.tvf.variant_explode(F.col(value).outer()))
+        return members.where("key IS NOT NULL").select(*[x for x in frame.columns if x != value], F.col("key").alias(key), F.col("value").alias(value))
+
+    leaf = df.select(*kept, F.try_parse_json(tree).alias("_t"))
+    for name in ("level", "kind", "name"):
+        leaf = opened(leaf, "_t", name)
+    holds = lambda e: F.try_variant_get(e, "$.Q", "string").isNotNull()
+    plot_or_self = F.when(holds(F.col("_t")), F.parse_json(F.lit("null"))).otherwise(F.col("_t"))
+    # an entry stands for itself; what isn't one is opened once more
+    deeper = leaf.withColumn("_p", plot_or_self).lateralJoin(spark.tvf.variant_explode_outer(F.col("_p").outer()))
+    entry = F.when(holds(F.col("_t")), F.col("_t")).otherwise(F.col("value"))
+    rows = deeper.select(*kept, "level", "kind", "name", F.when(~holds(F.col("_t")), F.col("key")).alias("plot"), entry.alias("_e")).where(holds(F.col("_e")))
+    return rows.select(*kept, "level", "kind", "name", "plot", F.to_json("_e").alias("entry"))
 
 
 def answers_map(df: DataFrame, key: str, name: str, value: str) -> DataFrame:
@@ -203,50 +214,84 @@ def answers_map(df: DataFrame, key: str, name: str, value: str) -> DataFrame:
     return df.groupBy(key, name).agg(F.min(value).alias(value)).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, value)))).alias("answers"))
 
 
-def stratified_folds(df: DataFrame, label: str, key: str, folds: int) -> DataFrame:
-    """A fold for each row, labels spread alike."""
-    from .relate import keyed_order
+#: Models that are trained at once.
+PARALLEL = 8
 
-    return df.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(keyed_order(key), key)) - 1) % folds)
 
+def stratified_folds(df: DataFrame, label: str, key: str, folds: int) -> DataFrame:
+    """A fold for each row, labels spread alike: each label's rows are numbered in keyed order, by a scan."""
+    return numbered(df, [keyed_order(key), F.col(key)], "_n", [label]).withColumn("fold", (F.col("_n") % folds).cast("int")).drop("_n")
 
-def out_of_fold(df: DataFrame, label: str, key: str, features: list[str], folds: int = 5, trees: int = 10) -> DataFrame:
-    """Gradient-boosted predictions for each row by a model that didn't see its fold: key, label, fold, predicted."""
+
+def _trees(trees: int):
     from pyspark.ml.classification import GBTClassifier
+
+    return GBTClassifier(labelCol="_y", featuresCol="_f", maxIter=trees, maxDepth=3, seed=1)
+
+
+def assembled(df: DataFrame, label: str, key: str, sets: dict[str, list[str]], folds: int) -> DataFrame:
+    """key, label, _y, fold and a vector for each set of features, computed once and written: all models read that."""
     from pyspark.ml.feature import VectorAssembler
 
-    data = VectorAssembler(inputCols=features, outputCol="_f").transform(stratified_folds(df, label, key, folds).withColumn("_y", F.col(label).cast("double")))
+    every = sorted({f for chosen in sets.values() for f in chosen})
+    data = written(stratified_folds(df.select(key, label, *every), label, key, folds).withColumn("_y", F.col(label).cast("double")))
+    for name, chosen in sets.items():
+        data = VectorAssembler(inputCols=chosen, outputCol=name).transform(data)
+    return data.select(key, label, "_y", "fold", *sets)
+
+
+def fold_models(data: DataFrame, sets: list[str], folds: int, trees: int) -> list[list]:
+    """For each fold the models of all sets of features that didn't see it, by one cross validation over the fold column."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    gbt = _trees(trees)
+    right = MulticlassClassificationEvaluator(labelCol="_y", metricName="accuracy")
+    grid = ParamGridBuilder().addGrid(gbt.featuresCol, sets).build()
+    found = CrossValidator(estimator=gbt, estimatorParamMaps=grid, evaluator=right, numFolds=folds, foldCol="fold", parallelism=PARALLEL, collectSubModels=True).fit(data)
+    return found.subModels
+
+
+def _predictions(data: DataFrame, models: list[list], keep: list[str]) -> DataFrame:
+    """Each row with the predictions (_p0, _p1, ...) of its fold's models."""
     out = None
-    for k in range(folds):
-        model = GBTClassifier(labelCol="_y", featuresCol="_f", maxIter=trees, maxDepth=3, seed=1, predictionCol="_p").fit(data.where(F.col("fold") != k))
-        part = model.transform(data.where(F.col("fold") == k)).select(key, label, "fold", F.col("_p").cast("int").alias("predicted"))
+    for k, own in enumerate(models):
+        part = data.where(F.col("fold") == k)
+        for i, model in enumerate(own):
+            part = model.setPredictionCol(f"_p{i}").setRawPredictionCol("").setProbabilityCol("").transform(part)
+        part = part.select(*keep, *[F.col(f"_p{i}").cast("int").alias(f"_p{i}") for i in range(len(own))])
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def out_of_fold(df: DataFrame, label: str, key: str, features: list[str], folds: int = 5, trees: int = 10) -> DataFrame:
+    """Gradient-boosted predictions for each row by a model that didn't see its fold: key, label, fold, predicted."""
+    data = assembled(df, label, key, {"_f": features}, folds)
+    return _predictions(data, fold_models(data, ["_f"], folds, trees), [key, label, "fold"]).withColumnRenamed("_p0", "predicted")
+
+
 def baselines(df: DataFrame, label: str, key: str, features: list[str], folds: int = 5, trees: int = 10) -> DataFrame:
-    """Accuracy in percent (out of fold) of the commonest label, of all features, of each alone and of all but each:
-    features, n, accuracy, and the standard deviation over folds."""
-    sets = [("all", features)] + [(f"only {f}", [f]) for f in features] + [(f"without {f}", [g for g in features if g != f]) for f in features if len(features) > 1]
-
-    def scored(name: str, predicted: DataFrame) -> DataFrame:
-        by_fold = predicted.groupBy("fold").agg(F.count("*").alias("n"), F.sum((F.col(label) == F.col("predicted")).cast("long")).alias("right"))
-        return by_fold.agg(F.lit(name).alias("features"), F.sum("n").alias("n"), (100 * F.sum("right") / F.sum("n")).alias("accuracy"), (100 * F.stddev_pop(F.col("right") / F.col("n"))).alias("deviation"))
-
-    most = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.max_by(label, F.struct("n", -F.col(label)))).first()[0]
-    out = scored("majority", stratified_folds(df, label, key, folds).withColumn("predicted", F.lit(most)))
-    for name, chosen in sets:
-        out = out.unionByName(scored(name, out_of_fold(df, label, key, chosen, folds, trees)))
-    return out
+    """Accuracy in percent (out of fold) of the commonest label, of all features, of each alone and of all but each:
+    features, n, accuracy, its standard deviation over folds, and recall (percent of label 1 that is found)."""
+    sets = {"all": features} | {f"only {f}": [f] for f in features} | ({f"without {f}": [g for g in features if g != f] for f in features} if len(features) > 1 else {})
+    columns = {f"_f{i}": chosen for i, chosen in enumerate(sets.values())}
+    data = assembled(df, label, key, columns, folds)
+    most = data.groupBy(label).agg(F.count("*").alias("n")).agg(F.max_by(label, F.struct("n", -F.col(label)))).first()[0]
+    predicted = _predictions(data, fold_models(data, list(columns), folds, trees), [label, "fold"])
+    named = F.array(F.struct(F.lit("majority").alias("features"), F.lit(most).cast("int").alias("p")), *[F.struct(F.lit(name).alias("features"), F.col(f"_p{i}").alias("p")) for i, name in enumerate(sets)])
+    each = predicted.select(label, "fold", F.explode(named).alias("x")).select(label, "fold", "x.*")
+    right, positive = (F.col(label) == F.col("p")).cast("long"), (F.col(label) == 1).cast("long")
+    by_fold = each.groupBy("features", "fold").agg(F.count("*").alias("n"), F.sum(right).alias("right"), F.sum(positive).alias("ones"), F.sum(right * positive).alias("found"))
+    share = lambda a, b: 100 * F.sum(a) / F.sum(b)
+    return by_fold.groupBy("features").agg(F.sum("n").alias("n"), share("right", "n").alias("accuracy"), (100 * F.stddev_pop(F.col("right") / F.col("n"))).alias("deviation"), share("found", "ones").alias("recall"))
 
 
 def importances(df: DataFrame, label: str, features: list[str], trees: int = 10) -> DataFrame:
     """How much each feature adds to boosted trees over all rows; they sum to 1."""
-    from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    data = VectorAssembler(inputCols=features, outputCol="_f").transform(df.withColumn("_y", F.col(label).cast("double")))
-    model = GBTClassifier(labelCol="_y", featuresCol="_f", maxIter=trees, maxDepth=3, seed=1).fit(data)
+    data = written(VectorAssembler(inputCols=features, outputCol="_f").transform(df.withColumn("_y", F.col(label).cast("double"))).select("_y", "_f"))
+    model = _trees(trees).fit(data)
     return df.sparkSession.createDataFrame([(f, float(x)) for f, x in zip(features, model.featureImportances.toArray())], "feature string, importance double")
 
 

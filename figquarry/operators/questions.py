@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import contour_limits, epoch, field_extent, finest_tick_unit, header_number, hms, linspace, panel_words, pixel_scale, tan_sky
+from ..functions.scalars import contour_limits, epoch, field_extent, finest_tick_unit, header_number, hms, panel_words, pixel_scale
 
 # The wording of prompts. {axis}, {which}, {phrase} and the like are filled in; of a pair, the first is for figures of one panel.
 PERSONA = "You are a helpful assistant that can analyze images."
@@ -170,27 +170,79 @@ def shown(p: Column) -> Column:
 
 
 def sky_ranges(p: Column, samples: int = SAMPLES) -> Column:
-    """struct<ra_low, ra_high, dec_low, dec_high> of a panel's displayed box, from `samples` points a side, as edges aren't
-    extreme near a pole. The header's projection is the tangent plane. Right ascension runs on past 360 across 0h; it is
-    NULL where it covers more than half the circle, and all is NULL without a header."""
+    """struct<ra_low, ra_high, dec_low, dec_high> of a panel's displayed box, as a grid of `samples` points a side has them.
+    The header's projection is the tangent plane. Right ascension runs on past 360 across 0h; it is NULL where it covers
+    more than half the circle, and all is NULL without a header.
+
+    Of the grid only some twenty points are worked through. Within a box neither coordinate has an extreme but at a pole, so
+    extremes lie on the border. Its sides are great circles: right ascension runs one way along each, so corners hold its
+    extremes; declination turns at one place, whose neighbours in the grid are taken. If the pole lies in the box, the four
+    grid points around it hold the extreme declination, and the corners stand all round it in right ascension.
+    """
     h = p["wcs_header"]
     number = lambda key, default: F.coalesce(header_number(h, key), default if isinstance(default, Column) else F.lit(default))
     cd = {(i, j): number(f"CD{i}_{j}", number(f"CDELT{i}", 1.0) if i == j else 0.0) for i in (1, 2) for j in (1, 2)}
-    made = F.struct(*[x.alias(n) for n, x in (("ra", header_number(h, "CRVAL1")), ("dec", header_number(h, "CRVAL2")), ("px", header_number(h, "CRPIX1")), ("py", header_number(h, "CRPIX2")), *((f"c{i}{j}", x) for (i, j), x in cd.items()))], shown(p).alias("box"))
+    north, last = F.radians(header_number(h, "CRVAL2")), samples - 1
+    made = F.struct(
+        header_number(h, "CRVAL1").alias("ra"), F.sin(north).alias("sin"), F.cos(north).alias("cos"), *[header_number(h, f"CRPIX{i}").alias(f"p{i}") for i in (1, 2)],
+        *[F.radians(x).alias(f"c{i}{j}") for (i, j), x in cd.items()], shown(p).alias("box"),
+    )
+
+    zero, end = F.lit(0.0), F.lit(float(last))
+
+    def stepped(w: Column) -> Column:
+        box = w["box"]
+        steps = [((box[f"{v}1"] - box[f"{v}0"]) / max(last, 1)).alias(f"s{v}") for v in "xy"]
+        # the pole stands cos/sin above the reference point in the plane: so far from the reference pixel
+        up, det = w["cos"] / F.nullif(w["sin"], zero), F.nullif(w["c11"] * w["c22"] - w["c12"] * w["c21"], zero)
+        pole = [(w["p1"] - 1 - w["c12"] * up / det - box["x0"]).alias("px"), (w["p2"] - 1 + w["c11"] * up / det - box["y0"]).alias("py")]
+        return F.struct(w.alias("w"), box["x0"].alias("x0"), box["y0"].alias("y0"), *steps, *pole)
+
+    def turned(v: Column) -> Column:
+        """Where declination turns on each side, and the pole, in steps of the grid."""
+        w = v["w"]
+        plane = lambda dx, dy: F.struct((w["c11"] * dx + w["c12"] * dy).alias("xi"), (w["c21"] * dx + w["c22"] * dy).alias("eta"))
 
-    def laid_out(w: Column) -> Column:
-        side = lambda a, b: linspace(w["box"][a], w["box"][b], F.lit(samples))
-        return F.struct(w.alias("w"), side("x0", "x1").alias("xs"), side("y0", "y1").alias("ys"))
+        def turn(x: Column, y: Column, dx: Column, dy: Column) -> Column:
+            """On the side that begins at pixel (x, y) and goes by (dx, dy): the sine of declination is linear over the root
+            of a quadratic, so its derivative has one zero."""
 
-    def sampled(v: Column) -> Column:
-        w = v["w"]
+            def found(side: Column) -> Column:
+                a, b = F.get(side, F.lit(0)), F.get(side, F.lit(1))
+                n0, n1, across = w["sin"] + a["eta"] * w["cos"], b["eta"] * w["cos"], a["xi"] * b["xi"] + a["eta"] * b["eta"]
+                return (n1 * (1 + a["xi"] * a["xi"] + a["eta"] * a["eta"]) - n0 * across) / F.nullif(n0 * (b["xi"] * b["xi"] + b["eta"] * b["eta"]) - n1 * across, zero)
+
+            return F.get(F.transform(F.array(F.array(plane(x + 1 - w["p1"], y + 1 - w["p2"]), plane(dx, dy))), found), F.lit(0))
+
+        along_x = F.array(*[turn(v["x0"], v["y0"] + k * v["sy"], v["sx"], zero) for k in (zero, end)])
+        along_y = F.array(*[turn(v["x0"] + k * v["sx"], v["y0"], zero, v["sy"]) for k in (zero, end)])
+        return F.struct(v.alias("v"), along_x.alias("tx"), along_y.alias("ty"), (v["px"] / F.nullif(v["sx"], zero)).alias("px"), (v["py"] / F.nullif(v["sy"], zero)).alias("py"))
+
+    def chosen(t: Column) -> Column:
+        """Places in the grid: corners, both neighbours of each turn, and those of a pole within."""
+        held = lambda i: F.greatest(zero, F.least(end, F.coalesce(i, zero)))
+        near = lambda i: F.array(held(F.floor(i).cast("double")), held(F.ceil(i).cast("double")))
+        at = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+        corners = F.array(*[at(i, j) for i in (zero, end) for j in (zero, end)])
+        on_x, on_y = (lambda e: lambda i: at(i, e)), (lambda e: lambda j: at(e, j))
+        sides = [F.transform(near(F.get(t[turns], F.lit(k))), on(e)) for turns, on in (("tx", on_x), ("ty", on_y)) for k, e in enumerate((zero, end))]
+        around = F.flatten(F.transform(near(t["px"]), lambda i: F.transform(near(t["py"]), lambda j: at(i, j))))
+        inside = t["px"].between(zero, end) & t["py"].between(zero, end)
+        return F.struct(t["v"].alias("v"), F.concat(corners, *sides, F.when(inside, around).otherwise(F.slice(corners, 1, 1))).alias("places"))
+
+    def sampled(u: Column) -> Column:
+        v, w = u["v"], u["v"]["w"]
+
+        def place(at: Column) -> Column:  # tan_sky, with what all places share worked out once
+            dx, dy = v["x0"] + at["i"] * v["sx"] + 1 - w["p1"], v["y0"] + at["j"] * v["sy"] + 1 - w["p2"]
+            return F.struct((w["c11"] * dx + w["c12"] * dy).alias("xi"), (w["c21"] * dx + w["c22"] * dy).alias("eta"))
 
-        def place(x: Column, y: Column) -> Column:
-            dx, dy = x + 1 - w["px"], y + 1 - w["py"]
-            ra, dec = tan_sky(w["c11"] * dx + w["c12"] * dy, w["c21"] * dx + w["c22"] * dy, w["ra"], w["dec"])
-            return F.struct(ra.alias("ra"), dec.alias("dec"))
+        def sky(at: Column) -> Column:
+            d = w["cos"] - at["eta"] * w["sin"]
+            dec = F.degrees(F.atan2(w["sin"] + at["eta"] * w["cos"], F.sqrt(at["xi"] * at["xi"] + d * d)))
+            return F.struct(F.pmod(w["ra"] + F.degrees(F.atan2(at["xi"], d)), F.lit(360.0)).alias("ra"), dec.alias("dec"))
 
-        return F.flatten(F.transform(v["xs"], lambda x: F.transform(v["ys"], lambda y: place(x, y))))
+        return F.transform(F.transform(u["places"], place), sky)
 
     def apart(points: Column) -> Column:
         dec = points["dec"]  # of an array of structs, the array of a field
@@ -207,7 +259,7 @@ def sky_ranges(p: Column, samples: int = SAMPLES) -> Column:
         return F.struct(F.when(half, start).alias("ra_low"), F.when(half, start + arc).alias("ra_high"), v["low"].alias("dec_low"), v["high"].alias("dec_high"))
 
     one = F.array(made)  # each step computes once what the next reads
-    for step in (laid_out, sampled, apart, gapped, ranged):
+    for step in (stepped, turned, chosen, sampled, apart, gapped, ranged):
         one = F.transform(one, step)
     return F.get(F.when(header_number(h, "CRVAL1").isNotNull() & header_number(h, "CRVAL2").isNotNull(), one), F.lit(0))
 

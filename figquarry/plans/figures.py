@@ -63,7 +63,7 @@ def _parts() -> list[str]:
     return out
 
 
-BUILD = f"""WITH {FIG}, pt AS (SELECT fig_id, k, v, ra0, dec0, radians(-0.1 * a) AS xi, radians(0.1 * b) AS eta FROM f, (VALUES (-0.5), (0.0), (0.5)) x(a), (VALUES (-0.5), (0.0), (0.5)) y(b) WHERE sky),
+BUILD = f"""WITH {FIG}, pt AS (SELECT fig_id, k, v, ra0, dec0, radians(-0.1 * a) AS xi, radians(0.1 * b) AS eta FROM f, (SELECT x.range / 191.0 - 0.5 AS a, y.range / 191.0 - 0.5 AS b FROM range(192) x, range(192) y WHERE x.range IN (0, 191) OR y.range IN (0, 191)) WHERE sky),
 d AS (SELECT *, cos(radians(dec0)) - eta * sin(radians(dec0)) AS d FROM pt),
 s AS (SELECT fig_id, any_value(k) AS k, any_value(v) AS v, min(ra0 + degrees(atan2(xi, d))) AS ra_low, max(ra0 + degrees(atan2(xi, d))) AS ra_high, min(degrees(atan2(sin(radians(dec0)) + eta * cos(radians(dec0)), sqrt(xi * xi + d * d)))) AS dec_low, max(degrees(atan2(sin(radians(dec0)) + eta * cos(radians(dec0)), sqrt(xi * xi + d * d)))) AS dec_high FROM d GROUP BY fig_id),
 g AS (SELECT *, CAST(round(ra_low / 15 * 360000) AS BIGINT) % 8640000 AS h_low, CAST(round(ra_high / 15 * 360000) AS BIGINT) % 8640000 AS h_high FROM s)
@@ -73,7 +73,7 @@ SELECT fig_id, level, name, plot, answer, round(value, 6) AS value FROM ({" UNIO
 @query(BUILD)
 def question_build(t):
     """Every question of figures made from orders, with its answer (numbers apart)"""
-    q = Q.questions(figures(t), samples=3)
+    q = Q.questions(figures(t))
     number = F.when(F.col("a").rlike(r"^-?\d+(\.\d+)?(E-?\d+)?$"), F.col("a").cast("double"))
     return q.select("fig_id", "level", "name", "plot", F.when(number.isNull(), F.col("a")).alias("answer"), r(number).alias("value"))
 
@@ -81,7 +81,7 @@ def question_build(t):
 @query("SELECT CASE WHEN o_orderkey % 2 = 0 THEN 25 ELSE 21 END::BIGINT AS questions, count(*) AS figures, 10 * count(*) AS of_figures FROM orders GROUP BY 1")
 def question_counts(t):
     """Q2: 21 questions for a contour panel and 25 for one of the sky"""
-    each = Q.questions(figures(t), samples=3).groupBy("fig_id").agg(F.count("*").alias("questions"), F.count_if(F.col("kind") == Q.FIGURE).alias("whole"))
+    each = Q.questions(figures(t)).groupBy("fig_id").agg(F.count("*").alias("questions"), F.count_if(F.col("kind") == Q.FIGURE).alias("whole"))
     return each.groupBy("questions").agg(F.count("*").alias("figures"), F.sum("whole").alias("of_figures"))
 
 
@@ -94,7 +94,7 @@ UNION ALL SELECT fig_id, 'distribution-color + list)', '{PERSONA}  Please choose
 UNION ALL SELECT fig_id, 'mean color', '{PERSONA}  What is the mean value of the data along the color-axis in this figure?  Please format the output as a json as {{"mean color":""}} for this figure, where the "mean color" value should be a float, calculated from the data values used to create the plot.', 'mean color' FROM f""")
 def question_prompts(t):
     """Whole prompts of four questions (all wordings are compared in the tests)"""
-    q = Q.questions(figures(t), samples=3)
+    q = Q.questions(figures(t))
     return q.where(F.col("name").isin("epoch", "minimum x axis limit", "distribution-color + list)", "mean color")).select("fig_id", "name", "q", "tag")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..sources import encoded
 from ..sources import files as IO
 from ..streaming import incremental as I
 from .registry import query, r
@@ -62,11 +61,9 @@ def json_documents(t):
     """A folder of documents, JSON strings that hold JSON, one a file, written and read as a data source"""
     p = t("part").select(F.col("p_partkey").alias("k"), F.concat(F.lit('say "'), "p_name", F.lit("\\"), "p_brand").alias("name"), F.col("p_size").alias("size"))
     path = IO.scratch(p.sparkSession)
-    spark = p.sparkSession
-    encoded.register(spark)
-    p.select(F.format_string("figure_%06d", "k").alias("name"), F.to_json(F.struct("k", "name", "size")).alias("json")).write.format(encoded.FORMAT).mode("append").save(path)
-    read = spark.read.format(encoded.FORMAT).load(path)
-    return read.where("error IS NULL").select(F.from_json("json", "k BIGINT, name STRING, size INT").alias("r")).select("r.*")
+    IO.save_documents(p, path, F.format_string("figure_%06d", "k"))
+    good, _ = IO.read_documents(p.sparkSession, path, "k BIGINT, name STRING, size INT")
+    return good.select("record.*")
 
 
 @query("SELECT c_custkey AS k, c_name AS name, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS segment, round(c_acctbal, 2) AS balance FROM customer")

@@ -204,10 +204,22 @@ def plot_data(t):
     return lines.unionByName(G.scatter_data(n, "k", 4).withColumn("line", F.lit(-1)))
 
 
+FEATURES = ["field_size", "concentration", "span", "sign"]
+
+
+def labelled_features(t):
+    """Four features of fields, with a binary label."""
+    e = t("embeddings").select("vec_id", F.col("label"), (F.col("vec_id") % 50 + 1).cast("double").alias("w"), (F.col("vec_id") % 30 + 1).cast("double").alias("h"), F.explode("embedding").alias("v")).withColumn("v", F.col("v").cast("double"))
+    return E.sky_features(e, "vec_id", "v", "w", "h", 0.1).join(t("embeddings").select("vec_id", (F.col("label") % 2).alias("label")), "vec_id")
+
+
 @query()
 def baseline_table(t):
     """Boosted trees by stratified folds on four features of fields: the commonest label, all features, each alone, all but each"""
-    e = t("embeddings").select("vec_id", F.col("label"), (F.col("vec_id") % 50 + 1).cast("double").alias("w"), (F.col("vec_id") % 30 + 1).cast("double").alias("h"), F.explode("embedding").alias("v")).withColumn("v", F.col("v").cast("double"))
-    f = E.sky_features(e, "vec_id", "v", "w", "h", 0.1).join(t("embeddings").select("vec_id", (F.col("label") % 2).alias("label")), "vec_id")
-    names = ["field_size", "concentration", "span", "sign"]
-    return G.baselines(f, "label", "vec_id", names, folds=5, trees=3)
+    return G.baselines(labelled_features(t), "label", "vec_id", FEATURES)
+
+
+@query()
+def feature_importances(t):
+    """How much each feature adds to trees over all fields. A trained model: tested on separable data"""
+    return G.importances(labelled_features(t), "label", FEATURES)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse as P
 from ..functions import scalars as S
+from ..functions.html import html_elements
 from ..operators import evaluate as E
 from ..operators import fields as G
 from ..operators import relate as R
@@ -82,6 +83,17 @@ def page_tables(t):
     return m.select("k", F.col("m")["Regime"].alias("regime"), F.col("m")["Resolution"].alias("resolution"), F.size("m").alias("cells"))
 
 
+@query(r"""WITH p AS (SELECT page_id, replace(replace(replace(html, '&amp;', '&'), '&copy;', '©'), '&middot;', '·') AS h, html FROM pages)
+SELECT page_id, trim(regexp_replace(regexp_extract(h, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')) AS title, trim(regexp_replace(regexp_extract(h, '<h1>([^<]*)</h1>', 1), '\s+', ' ', 'g')) AS heading,
+  len(regexp_extract_all(html, '<a '))::INT AS links, len(regexp_extract_all(html, '<li>'))::INT AS items, len(regexp_extract_all(html, '<p>'))::INT AS paragraphs, regexp_extract(html, 'href="([^"]*)"', 1) AS first_link FROM p""")
+def page_fields(t):
+    """Elements of whole pages, by one pass over their tokens"""
+    e = t("pages").select("page_id", html_elements("html", ["title", "h1", "a", "li", "p"]).alias("e"))
+    of = lambda tag: F.filter("e", lambda x: x["tag"] == tag)
+    text = lambda tag: F.get(of(tag), F.lit(0))["text"]
+    return e.select("page_id", text("title").alias("title"), text("h1").alias("heading"), F.size(of("a")).alias("links"), F.size(of("li")).alias("items"), F.size(of("p")).alias("paragraphs"), F.get(of("a"), F.lit(0))["link"].alias("first_link"))
+
+
 @query("""WITH p AS (SELECT p_partkey AS k, p_name AS v, p_partkey % 6 AS m FROM part) SELECT k, CASE WHEN m = 5 THEN NULL ELSE v END AS truth FROM p""")
 def truth_values(t):
     """Truths as strings, one-element lists, objects of either, and objects in objects"""

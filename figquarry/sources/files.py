@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.parse import decode_twice
+from ..functions.html import html_pairs
+from ..functions.parse import decode_twice as decode_twice
 from ..functions.scalars import c, plain_text
-from . import versions
+from . import encoded, versions
 from .scratch import scratch as scratch
 
 
 def read_documents(spark: SparkSession, path: str, schema: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """One row for each file (path, name, json or parsed record), and the unreadable ones apart."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), decode_twice("value").alias("json"))
-    named = raw.withColumn("name", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1))
-    good, bad = named.where("json IS NOT NULL"), named.where("json IS NULL").select("path", "name")
+    """One row for each file of a folder (path, name, json, and the parsed record if a schema is given), and the
+    unreadable ones apart with the reason (error)."""
+    encoded.register(spark)
+    found = spark.read.format(encoded.FORMAT).load(path)
+    good, bad = found.where("error IS NULL").drop("error"), found.where("error IS NOT NULL").select("path", "name", "error")
     return (good.withColumn("record", F.from_json("json", schema)) if schema else good), bad
 
 
+def save_documents(df: DataFrame, path: str, name: Column, mode: str = "append") -> None:
+    """Each row as a file of its own, a JSON string that holds JSON; all of a job's files become visible at once."""
+    encoded.register(df.sparkSession)
+    df.select(name.alias("name"), F.to_json(F.struct(*df.columns)).alias("json")).write.format(encoded.FORMAT).mode(mode).save(path)
+
+
 def write_documents(df: DataFrame, path: str) -> None:
     """Each row as a JSON string that holds JSON, committed as a whole by Spark's output committer."""
     text = F.to_json(F.struct(*df.columns))
@@ -108,8 +116,6 @@ def html_field(html, pattern: str) -> Column:
 
 
 def html_table(html, allowed: list[str] | None = None) -> Column:
-    """Header cell -> data cell of an HTML table as a map, restricted to allowed keys."""
-    rows = F.regexp_extract_all(c(html), F.lit(r"(?is)(<th[^>]*>.*?</th>\s*<td[^>]*>.*?</td>)"), F.lit(1))
-    cell = lambda row, tag: F.trim(F.regexp_replace(F.regexp_extract(row, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), "<[^>]*>", ""))
-    pairs = F.map_from_entries(F.transform(rows, lambda r: F.struct(cell(r, "th").alias("key"), cell(r, "td").alias("value"))))
+    """Header cell -> data cell of HTML tables as a map, restricted to allowed keys."""
+    pairs = html_pairs(html)
     return F.map_filter(pairs, lambda k, _: k.isin(allowed)) if allowed else pairs
