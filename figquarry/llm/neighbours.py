@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by largest inner product: multiprobe p-stable hashing, exact distances afterwards.
 
-Largest inner product becomes least distance by one more component, sqrt(M^2 - |x|^2) with M the largest norm, 0 for a
-query. Each of `tables` tables hashes a vector by k functions floor((a.x + b) / width), a normal. A query visits the
-buckets of a table in the order of their estimated probability to hold a neighbour: along each function a neighbour lies at
-normal(rho u, s) if the query lies at u, so a bucket's probability is a product of normal slices. It goes on until the
-probabilities of all tables together are `success`. rho and s are fitted on a
-bounded sample (the `sample` rows with the least hashes of their ids, and their nearest among themselves: a corpus has nearer
-ones); everything else covers every row. k grows with the logarithm of the rows, so buckets keep their size.
+Vectors are indexed by shells of norm (each down to half the norm of the one before). In a shell largest inner product
+becomes least distance by one more component, sqrt(M^2 - |x|^2) with M the shell's largest norm, 0 for a query, which is
+scaled to norm M. Each of `tables` tables hashes a vector by k functions floor((a.x + b) / width), a normal. A query visits
+the buckets of a table in the order of their estimated probability to hold a neighbour: along each function a neighbour
+lies at normal(rho u + c, s) if the query lies at u, so a bucket's probability is a product of normal slices. It goes on
+until the probabilities of all tables together are `success`. rho, c and s are fitted on a bounded sample (the `sample`
+rows of a shell with the least hashes of their ids); everything else covers every row. k grows with the logarithm of a
+shell's rows; a shell of few rows is one bucket.
 
 Equal vectors are searched once: of each only the `top` + 1 least ids can be in any answer, and they are kept with it. A
 bucket and the queries that visit it are dealt into blocks of at most `block` vectors; a task compares blocks by one matrix
@@ -39,6 +40,9 @@ BUCKET = 1024
 BLOCK = 4096
 #: Width of a slot over the spread of a projection.
 WIDTH = 3.0
+#: Shells of norm: the last holds all that is shorter. Vectors of the samples that are tried as queries in fitting.
+SHELLS = 16
+ASKED = 512
 #: Queries for which a task looks for buckets at once.
 QUERIES_AT_ONCE = 64
 
@@ -65,65 +69,59 @@ def classes(vectors: DataFrame, asked: Column, top: int) -> DataFrame:
     return few.join(queries, "x", "left").select(F.col("ids")[0].alias("id"), "x", "ids", F.coalesce("asked", F.lit(False)).alias("asked"))
 
 
+def norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=1))
+
+
 class Hashing:
-    """The functions of all tables, fitted on a sample. small: a few arrays, sent with the tasks."""
+    """The functions of a shell's tables, fitted on a sample: a few arrays, sent with the tasks. largest: the shell's
+    largest norm; asked: vectors to try as queries."""
 
-    def __init__(self, sample: np.ndarray, rows: int, largest: float, tables: int, success: float, seed: int = 13) -> None:
-        m, d = sample.shape
+    def __init__(self, sample: np.ndarray, asked: np.ndarray, rows: int, largest: float, tables: int, success: float, seed: int = 13) -> None:
         self.largest, self.success = largest, success
         extra = self.augmented(sample)
-        self.centre = extra.mean(axis=0) if m else np.zeros(d + 1)
-        centred = extra - self.centre
-        spread = math.sqrt((centred**2).sum() / max(1, m)) or 1.0
-        self.k = max(2, round(math.log2(max(1, rows) / BUCKET)))
+        self.centre = extra.mean(axis=0)
+        spread = math.sqrt(((extra - self.centre) ** 2).sum() / len(extra)) or 1.0
+        self.k = max(0, round(math.log2(max(1, rows) / BUCKET)))
         rng = np.random.default_rng(seed)
-        self.a = rng.standard_normal((tables, self.k, d + 1))
+        self.a = rng.standard_normal((tables if self.k else 1, self.k, extra.shape[1]))
         self.width = WIDTH * spread
-        self.b = rng.uniform(0, self.width, (tables, self.k))
-        self._fit(sample, centred, spread, rows)
-
-    def _fit(self, sample: np.ndarray, centred: np.ndarray, spread: float, rows: int) -> None:
-        """rho and s: where a neighbour lies along a function, if the query lies at u."""
-        self.rho, self.s = 1.0, 1e-3 * spread
-        m = len(sample)
-        if m < 2:
-            return
-        asked = np.arange(0, m, max(1, m // 512))
-        inner = sample[asked] @ sample.T
-        inner[np.arange(len(asked)), asked] = -math.inf
-        rank = min(m - 2, max(0, round(TOP * m / max(rows, 1)) - 1))  # the sample's neighbour that is as far as the last of TOP in all rows
+        self.b = rng.uniform(0, self.width, self.a.shape[:2])
+        inner = asked @ sample.T
+        inner[(asked[:, None, :1] == sample[None, :, :1])[:, :, 0] & (norms(asked)[:, None] == norms(sample)[None, :])] = -math.inf  # itself
+        rank = min(len(sample) - 1, max(0, round(TOP * len(sample) / max(rows, 1)) - 1))  # the sample's neighbour that is as far as the last of TOP in all rows
         near = np.argpartition(-inner, rank, axis=1)[:, rank]
-        q = np.concatenate([sample[asked], np.zeros((len(asked), 1))], axis=1) - self.centre
-        x = centred[near]
-        along = (q * x).sum(axis=1) / np.maximum((q * q).sum(axis=1), 1e-300)
-        self.rho = float(np.median(along))
-        self.s = float(np.sqrt(np.median(((x - self.rho * q) ** 2).sum(axis=1)))) or 1e-3 * spread
+        q, x = self.plain(asked), (extra - self.centre)[near]
+        from_mean = q - q.mean(axis=0)
+        self.rho = float((from_mean * x).sum() / max((from_mean * from_mean).sum(), 1e-300))
+        offset = (x - self.rho * q).mean(axis=0)
+        self.s = max(float(np.sqrt(np.median(((x - self.rho * q - offset) ** 2).sum(axis=1)))), 1e-3 * spread)
+        self.shift = np.einsum("tkd,d->tk", self.a, offset)
 
     def augmented(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x, np.sqrt(np.maximum(0.0, self.largest**2 - (x * x).sum(axis=1)))[:, None]], axis=1)
 
-    def slots(self, u: np.ndarray) -> np.ndarray:
-        """Slot numbers (n, tables, k) of projections."""
-        return np.floor((u + self.b) / self.width).astype(np.int64)
+    def plain(self, x: np.ndarray) -> np.ndarray:
+        """Queries in the shell's space."""
+        return np.concatenate([x * (self.largest / norms(x))[:, None], np.zeros((len(x), 1))], axis=1) - self.centre
 
     def rows(self, x: np.ndarray) -> np.ndarray:
         """Buckets (n, tables) of vectors."""
-        return folded(self.slots(np.einsum("nd,tkd->ntk", self.augmented(x) - self.centre, self.a, optimize=True)))
+        u = np.einsum("nd,tkd->ntk", self.augmented(x) - self.centre, self.a, optimize=True)
+        return folded(np.floor((u + self.b) / self.width).astype(np.int64))
 
     def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, table, bucket) for the buckets that queries visit, in estimated order of success."""
-        plain = np.concatenate([x, np.zeros((len(x), 1))], axis=1) - self.centre
-        u = np.einsum("nd,tkd->ntk", plain, self.a, optimize=True).reshape(-1, self.k)  # a row for each query and table
-        n, tables = len(x), len(self.a)
-        offset = np.tile(self.b, (n, 1))
-        middle = np.floor((self.rho * u + offset) / self.width)
+        tables, k, _ = self.a.shape
+        lies = self.rho * np.einsum("nd,tkd->ntk", self.plain(x), self.a, optimize=True) + self.shift
+        lies, offset = lies.reshape(len(x) * tables, k), np.tile(self.b, (len(x), 1))  # a row for each query and table
         reach = max(1, math.ceil(5 * self.s / self.width))
-        steps = middle[:, :, None] + np.arange(-reach, reach + 1)
-        low = (steps * self.width - offset[:, :, None] - self.rho * u[:, :, None]) / self.s
+        steps = np.floor((lies + offset) / self.width)[:, :, None] + np.arange(-reach, reach + 1)
+        low = (steps * self.width - offset[:, :, None] - lies[:, :, None]) / self.s
         slices = normal(low + self.width / self.s) - normal(low)
         goal, beam = 1 - (1 - self.success) ** (1 / tables), 64
         chosen, share = best_products(steps, slices, beam)
-        while (short := share.sum(axis=1) < goal).any() and beam < (2 * reach + 1) ** self.k:
+        while (short := share.sum(axis=1) < goal).any() and beam < (2 * reach + 1) ** k:
             beam *= 4
             more, probability = best_products(steps[short], slices[short], beam)
             if more.shape[1] > chosen.shape[1]:
@@ -135,6 +133,33 @@ class Hashing:
         return row // tables, row % tables, folded(chosen[row, col].astype(np.int64))
 
 
+class Index:
+    """The shells of all vectors. samples: for each shell that holds any, its number, a sample, how many rows it has and their largest norm."""
+
+    def __init__(self, largest: float, samples: list[tuple[int, np.ndarray, int, float]], tables: int, success: float) -> None:
+        self.largest, self.tables = largest, tables
+        every = np.concatenate([x for _, x, _, _ in samples]) if samples else np.empty((0, 1))
+        asked = every[:: max(1, len(every) // ASKED)]
+        self.shells = {n: Hashing(x, asked, rows, most, tables, success, n + 13) for n, x, rows, most in samples}
+
+    def rows(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vector, table, bucket) of vectors; tables are numbered through the shells."""
+        known = np.array(list(self.shells))
+        own = np.floor(np.log2(self.largest / norms(x)))
+        own = known[np.abs(own[:, None] - known).argmin(axis=1)]  # a norm at a boundary may round into a shell that has no rows
+        out = [(np.empty(0, np.int64),) * 3]
+        for n, shell in self.shells.items():
+            at = np.flatnonzero(own == n)
+            found = shell.rows(x[at])
+            tables = found.shape[1]
+            out.append((np.repeat(at, tables), n * self.tables + np.tile(np.arange(tables), len(at)), found.ravel()))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [(q, n * self.tables + t, bucket) for n, shell in self.shells.items() for q, t, bucket in [shell.visits(x)]]
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def normal(z: np.ndarray) -> np.ndarray:
     """The normal distribution function, to 1e-7."""
     t = 1 / (1 + 0.2316419 * np.abs(z))
@@ -211,25 +236,26 @@ def search(rows: DataFrame, asked: Column, top: int = TOP, tables: int = TABLES,
     vectors = usable(rows)
     every = materialise(classes(vectors, asked, top))
     norm = F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double"))
-    size, largest = every.agg(F.count("*"), F.max(norm)).first()
-    few = every.orderBy(F.xxhash64("id"), "id").limit(sample).select("x").toArrow()  # `sample` rows at most
-    points = matrix(few["x"]) if few.num_rows else np.empty((0, 1))
-    hashing = Hashing(points, size, math.sqrt(largest or 0.0), tables, success)
+    largest = math.sqrt(every.agg(F.max(norm)).first()[0] or 0.0)
+    shell = F.greatest(F.lit(0), F.least(F.lit(SHELLS - 1), F.floor(F.log2(F.lit(largest) / F.sqrt(norm))))).cast("int")
+    sizes = every.groupBy(shell.alias("shell")).agg(F.count("*").alias("n"), F.sqrt(F.max(norm)).alias("most")).collect()  # SHELLS rows at most
+    few = {r.shell: every.where(shell == r.shell).orderBy(F.xxhash64("id"), "id").limit(sample).select("x").toArrow() for r in sizes}  # `sample` rows a shell
+    index_of = Index(largest, [(r.shell, matrix(few[r.shell]["x"]), r.n, r.most) for r in sorted(sizes)], tables, success)
+
+    def batch_of(batch, of, t, bucket):
+        of = pa.array(of)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(t.astype(np.int32)), pa.array(bucket)], ["id", "x", "t", "bucket"])
 
     def hashed(batches):
         for batch in batches:
             if batch.num_rows:
-                n, found = batch.num_rows, hashing.rows(matrix(batch.column(1)))
-                of = pa.array(np.repeat(np.arange(n), tables))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(np.tile(np.arange(tables), n).astype(np.int32)), pa.array(found.ravel())], ["id", "x", "t", "bucket"])
+                yield batch_of(batch, *index_of.rows(matrix(batch.column(1))))
 
     def visited(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, QUERIES_AT_ONCE):
                 part = batch.slice(k, QUERIES_AT_ONCE)
-                of, t, bucket = hashing.visits(matrix(part.column(1)))
-                of = pa.array(of)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(t.astype(np.int32)), pa.array(bucket)], ["id", "x", "t", "bucket"])
+                yield batch_of(part, *index_of.visits(matrix(part.column(1))))
 
     kind = dict(every.dtypes)["x"]
     form = f"id long, x {kind}, t int, bucket long"
