@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, remainder, with_label
+from .common import clean_labels, id_and_text, remainder, with_label
 from .quality_rules import SPACE, words_of
 
 SAMPLE = 20_000
@@ -157,10 +157,12 @@ def train(x: np.ndarray, y: np.ndarray, cut: float = CUT, penalty: float = PENAL
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, sample: int = SAMPLE) -> Model:
-    """Trains on labelled rows whose remainder isn't held_fold; the statistics of at most `sample` rows come to the driver."""
-    usable = labels.where(remainder("doc_id", folds) != held_fold)
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = statistics(with_label(id_and_text(docs), chosen, "quality")).select(*STATISTICS, "label").toPandas().sort_values(["label", *STATISTICS])
+    """Trains on labelled documents whose remainder isn't held_fold; the statistics of at most `sample` documents come to
+    the driver, one row each: of rows that share a doc_id the one with the least statistics counts."""
+    usable = clean_labels(labels, "quality").where(remainder("doc_id", folds) != held_fold)
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("label", "quality")
+    found = statistics(with_label(id_and_text(docs), chosen, "quality")).groupBy("doc_id").agg(F.min(F.struct(*STATISTICS, "label")).alias("r"))
+    rows = found.select("r.*").toPandas().sort_values(["label", *STATISTICS])
     return train(rows[STATISTICS].to_numpy(float), rows["label"].to_numpy(float))
 
 
