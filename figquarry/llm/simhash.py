@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int =
     named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = materialise(named)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(ids, "root").select("fp", "component_id")
+    classes = join_apart(named, ids, "root").select("fp", "component_id")  # a root may have a third of all fingerprints
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
