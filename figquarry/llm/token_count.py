@@ -10,7 +10,8 @@ worker searches each word only once as long as it remembers it (within a bound o
 The vocabulary is the list of pieces of a public tokenizer file; as that is no unigram file, a piece's score is the
 Zipf estimate -ln(rank + 1) of its rank there. Byte-fallback and control pieces aren't matched.
 
-Defined results: null and empty texts have no tokens; repeated rows are counted each for itself; null ids are kept.
+Defined results: null and empty texts have no tokens; repeated rows are counted each for itself; null ids are kept; a word
+of any length takes memory by the longest piece, beside the text itself; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -42,33 +43,40 @@ class WordCounter:
     def __init__(self, vocab: list[tuple[str, float]], unknown: int = 0) -> None:
         import ahocorasick
 
-        self.automaton, self.memo = ahocorasick.Automaton(), Memo()
+        self.automaton, self.memo, self.longest = ahocorasick.Automaton(), Memo(), 1
         for k, (piece, score) in enumerate(vocab):
             if k != unknown and piece:
                 self.automaton.add_word(piece, (len(piece), score))
+                self.longest = max(self.longest, len(piece))
         self.automaton.make_automaton()
         self.unknown_score = min((s for _, s in vocab), default=0.0) - UNKNOWN_PENALTY
 
     def search(self, word: str) -> int:
-        """The number of pieces of the best segmentation of word."""
-        n = len(word)
-        starting: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, (length, score) in self.automaton.iter(word):
-            starting[end + 1 - length].append((length, score))
-        best = [-math.inf] * (n + 1)
-        # tokens on the best path to a position, and whether the last of them is unknown (unknown neighbours are one)
-        count, open_unknown = [0] * (n + 1), [False] * (n + 1)
+        """The number of pieces of the best segmentation of word. Holds as many positions as the longest piece has
+        characters, however long the word is."""
+        size = self.longest + 1
+        # by position, in a ring: the best score, the tokens on its path, and whether the last of them is unknown (unknown neighbours are one)
+        best, count, open_unknown = [-math.inf] * size, [0] * size, [False] * size
         best[0] = 0.0
-        for at, pieces in enumerate(starting):
-            here, single = best[at], False
-            for length, score in sorted(pieces):
-                to, total = at + length, here + score
+        matches = self.automaton.iter(word)
+        match = next(matches, None)
+        for to in range(1, len(word) + 1):
+            ending = []
+            while match is not None and match[0] == to - 1:
+                ending.append(match[1])
+                match = next(matches, None)
+            top, tokens, unknown, single = -math.inf, 0, False, False
+            for length, score in sorted(ending, reverse=True):  # the earliest start first: a later one wins by a higher score only
+                at = (to - length) % size
                 single = single or length == 1
-                if total > best[to]:
-                    best[to], count[to], open_unknown[to] = total, count[at] + 1, False
-            if not single and (total := here + self.unknown_score) > best[at + 1]:
-                best[at + 1], count[at + 1], open_unknown[at + 1] = total, count[at] + (not open_unknown[at]), True
-        return count[n]
+                if (total := best[at] + score) > top:
+                    top, tokens, unknown = total, count[at] + 1, False
+            at = (to - 1) % size
+            if not single and (total := best[at] + self.unknown_score) > top:
+                top, tokens, unknown = total, count[at] + (not open_unknown[at]), True
+            at = to % size
+            best[at], count[at], open_unknown[at] = top, tokens, unknown
+        return count[len(word) % size]
 
     def text(self, text: str) -> tuple[int, int]:
         """(tokens, words) of a text."""
