@@ -34,6 +34,32 @@ def linear_field(spark: SparkSession, nx: int, ny: int, seed: int, slope: tuple[
     return cell.select("iy", "ix", (value * (1 + noise * gaussian(seed, "id"))).alias("value"))
 
 
+def linear_fields(figures: DataFrame, key: str, seed: int, slope: tuple[float, float] = (1.0, 0.5), noise: float = 0.0) -> DataFrame:
+    """The plane of each figure (key, nx, ny) with multiplicative noise: key, iy, ix, value."""
+    cell = figures.select(key, "nx", "ny", F.explode(F.sequence(F.lit(0), F.col("nx").cast("int") * F.col("ny").cast("int") - 1)).alias("_c"))
+    cell = cell.select("*", F.floor(F.col("_c") / F.col("nx")).cast("int").alias("iy"), (F.col("_c") % F.col("nx")).cast("int").alias("ix"))
+    share = lambda i, n: F.col(i) / F.greatest(F.col(n) - 1, F.lit(1))
+    value = slope[0] * share("ix", "nx") + slope[1] * share("iy", "ny")
+    return cell.select(key, "iy", "ix", (value * (1 + noise * gaussian(seed, key, "_c"))).alias("value"))
+
+
+def scattered_points(figures: DataFrame, key: str, seed: int, points: str, dims: int = 2) -> DataFrame:
+    """Uniform points of each figure in the unit cube: key, i, x0, x1, ..."""
+    drawn = figures.select(key, F.explode(F.sequence(F.lit(0), F.col(points).cast("int") - 1)).alias("i"))
+    return drawn.select(key, "i", *[hash_u01(seed + k, key, "i").alias(f"x{k}") for k in range(dims)])
+
+
+def clustered_points(figures: DataFrame, key: str, seed: int, spread: float = 0.1, oversample: float = 3.0, noise: float = 0.0, colors: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
+    """The clusters of each figure (key, clusters, points: of each cluster) within the unit square: key, cluster, i, x, y,
+    color, as mixture_points has them. A cluster's points are drawn and chosen where its row is."""
+    cluster = figures.select(key, "clusters", "points", F.explode(F.sequence(F.lit(0), F.col("clusters").cast("int") - 1)).alias("cluster"))
+    at = lambda k, i: hash_u01(seed + k, key, "cluster") + spread * gaussian(seed + 10 + 2 * k, key, "cluster", i) + noise / 2 * gaussian(seed + 20 + 2 * k, key, "cluster", i)
+    drawn = F.transform(F.sequence(F.lit(0), F.ceil(F.col("points") * oversample).cast("int") - 1), lambda i: F.struct(at(0, i).alias("x"), at(1, i).alias("y")))
+    kept = F.slice(F.filter(drawn, lambda p: p["x"].between(0, 1) & p["y"].between(0, 1)), F.lit(1), F.col("points").cast("int"))
+    color = noisy(rescale(F.col("cluster").cast("double"), F.lit(0.0), F.greatest(F.col("clusters") - 1, F.lit(1)).cast("double"), *colors), seed + 30, key, "cluster", "i", scale=noise)
+    return cluster.select(key, "clusters", "cluster", F.posexplode(kept).alias("i", "p")).select(key, "cluster", "i", "p.x", "p.y", color.alias("color"))
+
+
 def mixture_points(spark: SparkSession, clusters: int, points: int, seed: int, spread: float = 0.1, oversample: float = 3.0, noise: float = 0.0, colors: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
     """Gaussian clusters within the unit square: cluster, id, x, y, color. Instead of drawing again for points that fall
     outside, each cluster draws `oversample` times as many and keeps the first that lie inside. Noise shifts points by

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import domain, evaluation, figures, storage, tallies, texts
+from . import domain, evaluation, figures, reviews, storage, tallies, texts
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "domain", "evaluation", "figures", "storage", "tallies", "texts"]
+__all__ = ["QUERIES", "SQL", "domain", "evaluation", "figures", "reviews", "storage", "tallies", "texts"]

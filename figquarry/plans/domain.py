@@ -337,8 +337,10 @@ def tolerant_parse(t):
 
 @query()
 def mixture_field(t):
-    """Hashed draws; the grid is complete. Not SQL: tested for totals and repeatability"""
-    return G.mixture_field(t("region").sparkSession, 3, 2000, 32, 32, 11)
+    """The clusters of regions' figures, binned. Hashed draws, not SQL: tested for totals and repeatability"""
+    f = t("region").select(F.col("r_regionkey").alias("k"), F.lit(3).alias("clusters"), F.lit(2000).alias("points"))
+    at = lambda v: F.least(F.floor(F.col(v) * 32), F.lit(31)).cast("int")
+    return G.clustered_points(f, "k", 11).groupBy("k", at("y").alias("iy"), at("x").alias("ix")).agg(F.count("*").alias("n"))
 
 
 @query()
@@ -349,10 +351,11 @@ def accepted_draws(t):
     return G.error_bars(drawn, "p_partkey", "value", 9).withColumn("label", G.label_text(G.hashed(3), "p_partkey", ["flux", "mass", "age", "radius"]))
 
 
-@query("SELECT CAST(a AS INT) AS iy, CAST(b AS INT) AS ix, round(CAST(b AS DOUBLE) / 15 + 0.5 * CAST(a AS DOUBLE) / 7, 6) AS value FROM range(8) y(a), range(16) x(b)")
+@query("SELECT r_regionkey AS k, CAST(a AS INT) AS iy, CAST(b AS INT) AS ix, round(CAST(b AS DOUBLE) / 15 + 0.5 * CAST(a AS DOUBLE) / 7, 6) AS value FROM region, range(8) y(a), range(16) x(b)")
 def linear_field(t):
-    """G2"""
-    return G.linear_field(t("region").sparkSession, 16, 8, 1).withColumn("value", r("value"))
+    """Planes of regions' figures"""
+    f = t("region").select(F.col("r_regionkey").alias("k"), F.lit(16).alias("nx"), F.lit(8).alias("ny"))
+    return G.linear_fields(f, "k", 1).withColumn("value", r("value"))
 
 
 @query()

@@ -138,9 +138,8 @@ def check_claims(t):
 @query()
 def noisy_field(t):
     """A plane with multiplicative and one with additive noise. Hashed draws: tested for mean, spread and repeatability"""
-    spark = t("region").sparkSession
-    plane = G.linear_field(spark, 64, 64, 1, noise=0.1)
-    return plane.withColumn("added", S.noisy("value", 7, "iy", "ix", scale=0.5, additive=True))
+    f = t("region").select(F.col("r_regionkey").alias("k"), F.lit(64).alias("nx"), F.lit(64).alias("ny"))
+    return G.linear_fields(f, "k", 1, noise=0.1).withColumn("added", S.noisy("value", 7, "k", "iy", "ix", scale=0.5, additive=True))
 
 
 U = "(((k + {i} * 101) * 7919 + 104729) % 1000003 / 1000003.0)"
