@@ -147,6 +147,18 @@ def parse_answer(text: str | None) -> dict:
     return out
 
 
+def answers_of(text: str | None) -> list[dict[str, str | None]]:
+    """What each readable object of a text answers, in order, without explanations."""
+    explains = lambda k: re.sub(r"[\s_\-]+", "", str(k)).lower() in EXPLAINING
+    read = [read_object(p) for p in objects(text or "")]
+    return [{str(k): _text(v) for k, v in got.items() if not explains(k)} for got in read if got is not None]
+
+
+def all_answers(text) -> Column:
+    """The answers of all objects of a text, found by the scanner and read by the ladder: array of maps."""
+    return F.pandas_udf(lambda texts: pd.Series([answers_of(None if pd.isna(t) else t) for t in texts]), "array<map<string,string>>")(c(text))
+
+
 def _ladder(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_answer(None if pd.isna(t) else t) for t in texts], columns=["answer", "explanation", "failure", "n_objects", "lost"])
 

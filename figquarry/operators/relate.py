@@ -93,6 +93,17 @@ def assign_pool(items: DataFrame, pool: DataFrame, item: str, value: str) -> Dat
     return k.withColumn("_p", F.col("_k") % F.col("_n")).join(p, "_p").drop("_p", "_k", "_n")
 
 
+def strided_map(df: DataFrame, order: list[str], workers: int, run, schema: str) -> DataFrame:
+    """Rows dealt to workers in turn, each worker's rows worked on by one task, and what it returns.
+
+    run maps an iterator of pandas frames, which hold the columns of df, `place` (from 0) and `worker`, to one of frames
+    of the schema: it is handed parts of a worker's rows, never all at once. Results come in any order; with place
+    among them they can be put in that of the rows.
+    """
+    placed = numbered(df, [F.col(x) for x in order], "place").withColumn("worker", F.col("place") % workers)
+    return placed.repartition(workers, "worker").mapInPandas(run, schema)
+
+
 def weighted_choice(u, choices: list[tuple[str, float]]) -> Column:
     """The choice at a uniform number, weights renormalised."""
     total, reached, out = sum(w for _, w in choices), 0.0, F.lit(choices[-1][0])

@@ -8,6 +8,7 @@ from ..functions import scalars as S
 from ..operators import evaluate as E
 from ..operators import fields as G
 from ..operators import relate as R
+from ..operators.keys import small_side
 from .registry import query, r
 
 
@@ -183,7 +184,7 @@ def cutout_picks(t):
     supplier = t("supplier")
     pool = E.numbered(supplier, [F.col("s_suppkey")], "n").select(F.col("s_name").alias("object"), F.col("s_nationkey").alias("pdf"), "n")
     surveys = t("nation").select(F.col("n_name").alias("survey"), "n_nationkey")
-    gone = supplier.join(F.broadcast(surveys), ((F.col("s_suppkey") + F.col("n_nationkey")) % 3 > 0) | (F.col("s_suppkey") % 10 == 4))
+    gone = supplier.join(small_side(surveys), ((F.col("s_suppkey") + F.col("n_nationkey")) % 3 > 0) | (F.col("s_suppkey") % 10 == 4))
     missing = gone.select(F.col("s_name").alias("object"), F.col("s_nationkey").alias("pdf"), "survey")
     return G.pick_cutouts(t("orders").select(F.col("o_orderkey").alias("k")), "k", pool, surveys.select("survey"), missing, ["NATION_3", "NATION_7"], keyed)
 
@@ -203,6 +204,20 @@ def plot_data(t):
     return lines.unionByName(G.scatter_data(n, "k", 4).withColumn("line", F.lit(-1)))
 
 
+@query("""WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS place FROM orders)
+SELECT place % 4 AS worker, count(*) AS n, sum(place)::BIGINT AS places, round(sum(o_totalprice * 2 + place), 2)::DOUBLE AS total, min(place) AS first FROM o GROUP BY 1""")
+def strided_work(t):
+    """Work dealt to four workers in turn, done in Python, and gathered"""
+    o = t("orders").select("o_orderdate", "o_orderkey", F.col("o_totalprice").alias("price"))
+
+    def work(frames):
+        for f in frames:
+            yield f.assign(value=2 * f.price + f.place)[["place", "worker", "value"]]
+
+    done = R.strided_map(o, ["o_orderdate", "o_orderkey"], 4, work, "place long, worker long, value double")
+    return done.groupBy("worker").agg(F.count("*").alias("n"), F.sum("place").alias("places"), r(F.sum("value"), 2).alias("total"), F.min("place").alias("first"))
+
+
 FEATURES = ["field_size", "concentration", "span", "sign"]
 
 

@@ -124,10 +124,8 @@ def merged_answers(t):
     lit = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
     texts = [lit('{"a": "', w, '", "Reasoning": "because ', w, '"}'), lit('{"a": "first"} and {"a": "second", "b": "', w, '"}'), lit('{"a": "', w, '"} {broken: }'), lit('{"explanation": "only"}')]
     text = F.when(m == 0, texts[0]).when(m == 1, texts[1]).when(m == 2, texts[2]).otherwise(texts[3])
-    pieces = F.regexp_extract_all(text, F.lit(r"(\{[^{}]*\})"), F.lit(1))
-    e = t("events").select(F.col("event_id").alias("id"), P.tolerant(text).alias("p"), F.transform(pieces, lambda x: F.from_json(F.when(F.try_parse_json(x).isNotNull(), x), "map<string,string>")).alias("maps"))
-    kept = F.transform(F.filter("maps", lambda x: x.isNotNull()), lambda x: F.map_filter(x, lambda k, _: ~F.lower(k).isin(*P.EXPLAINING)))
-    entries = F.array_sort(F.map_entries(P.merged(kept)))
+    e = t("events").select(F.col("event_id").alias("id"), P.tolerant(text).alias("p"), P.merged(P.all_answers(text)).alias("all"))
+    entries = F.array_sort(F.map_entries("all"))
     return e.select("id", F.array_join(F.transform(entries, lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",").alias("answers"), F.col("p.explanation").alias("explanation"), F.col("p.lost").alias("lost"), F.col("p.n_objects").alias("n"))
 
 
