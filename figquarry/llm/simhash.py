@@ -19,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, in_arrow, join_apart, materialise, small_side
@@ -312,6 +312,48 @@ class _Few:
                 yield rep, self.reps[y]
 
 
+def _rare_pairs(sets: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """(a, b) of a group's documents under different labels that may have that similarity. sets: rep, group, label, fp, shingles.
+
+    Two sets of that similarity share one of the first n - ceil(similarity n) + 1 shingles of each in any order of all;
+    here the order is from the rarest in the group on. Shingles that only one document has come first and join nothing, so
+    documents that share a template but are mostly their own words have no pair. Of what is left, lengths and sketches are compared.
+    """
+
+    def taken_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, shingles in enumerate(batch.column(3)):
+                h = np.frombuffer(shingles.as_py(), np.int64)
+                for at in range(0, len(h), 1 << 16):
+                    part = h[at : at + (1 << 16)]
+                    same = [pa.repeat(batch.column(c)[k], len(part)) for c in range(3)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(part), pa.repeat(pa.scalar(len(h), pa.int64()), len(part))], ["rep", "group", "label", "shingle", "n"])
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.frombuffer(b"".join(x.as_py() for x in batch.column(1)), np.int64).reshape(-1, WIDTH // 64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(words[:, i]) for i in range(WIDTH // 64))], ["rep", *_BITS])
+
+    every = in_arrow(sets.select("rep", "group", "label", "shingles"), taken_apart, "rep long, group long, label long, shingle long, n long")
+    every = every.select("rep", "label", "n", F.xxhash64("group", "shingle").alias("key"))
+    counts = every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    shared = join_apart(every, counts, "key")
+    own = Window.partitionBy("rep")  # a document's shingles
+    first = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)) + 1
+    rare = shared.withColumn("lone", F.col("n") - F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("c", "key")))
+    rare = rare.where(F.col("place") <= first - F.col("lone")).select("rep", "label", "n", "key")
+    printed = in_arrow(sets.select("rep", "fp"), bits, "rep long, " + ", ".join(f"{b} long" for b in _BITS))
+    rare = materialise(rare.join(printed, "rep"))
+    a, b = rare.alias("a"), rare.alias("b")
+    apart = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in _BITS), F.lit(0))
+    shorter, longer = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.label") != F.col("b.label")) & (shorter >= similarity * longer - 1e-9) & (apart <= radius)
+    return a.join(b, met).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+
+
+_BITS = [f"f{i}" for i in range(WIDTH // 64)]
+
+
 def alike(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, shard_limit: int = SHARD_LIMIT, block_limit: int = BLOCK_LIMIT) -> DataFrame:
     """doc_id, component_id: near copies by shingle similarity; component_id is the smallest doc_id reachable.
 
@@ -325,8 +367,10 @@ def alike(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, shar
     is joined without a tree, as what to look at.
 
     What sketches join is a group. A group of one block is compared in one task. A larger one is dealt into blocks at
-    random, DEALS times, and compared block by block, which joins what is alike throughout; then whatever isn't in its
-    largest part is compared with all of it, block by block. So a group of copies costs what it has rows, not pairs.
+    random, DEALS times, and compared block by block, which joins what is alike throughout. What then isn't in its largest
+    part is compared with all of it, block by block, if it is one block; if it is more, the group was held together by what
+    unlike documents share (a page template), and those are compared that share one of their rarest shingles (_rare_pairs).
+    So a group costs what it has rows, not pairs, whether its members are copies or not.
     A null doc_id has a null component and no links; rows that share a doc_id are one document.
     """
 
@@ -445,6 +489,11 @@ def alike(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, shar
                     found += few.links(rep, label, fp, shingles)
             yield out(found)
 
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pydict()
+            yield out([(x, y) for x, y, p, q in zip(rows["a"], rows["b"], rows["a_set"], rows["b_set"]) if _similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), similarity)])
+
     block = lambda n, *salt: F.pmod(F.xxhash64("rep", *map(F.lit, salt)), n).cast("int")
     deals = F.explode(F.when(F.col("blocks") > 1, F.array(*map(F.lit, range(DEALS)))).otherwise(F.array(F.lit(0)))).alias("deal")
     first = with_sets(members.select("rep", "same", "group", "blocks")).select("group", "blocks", deals, "rep", "fp", "shingles")
@@ -456,7 +505,8 @@ def alike(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, shar
         main = named.groupBy("group", "label").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
         apart = materialise(join_apart(named, main, "group").withColumn("lone", F.col("label") != F.col("main")))
         few = apart.where("lone").groupBy("group").agg(F.ceil(F.greatest(F.count("*") / F.lit(block_limit), F.sum("shingles") / F.lit(BLOCK_SHINGLES))).cast("int").alias("few"))
-        rest = with_sets(join_apart(apart, few, "group").select("rep", "same", "group", "blocks", "few", "label", "lone"))
+        few = materialise(few)
+        rest = with_sets(join_apart(apart, few.where("few = 1"), "group").select("rep", "same", "group", "blocks", "few", "label", "lone"))
         place = lambda i, j, other: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(other).alias("other"))
         upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
         as_few = F.transform(F.when(F.col("lone"), upto("blocks")).otherwise(F.array().cast("array<int>")), lambda j: place(block(F.col("few"), 7), j, False))
@@ -464,6 +514,11 @@ def alike(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, shar
         tasks = rest.select("group", F.explode(F.concat(as_few, as_other)).alias("t"), "rep", "label", "fp", "shingles").select("group", "t.*", "rep", "label", "fp", "shingles")
         tasks = tasks.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "other", "rep")
         inner = inner.union(materialise(in_arrow(tasks, across, "a long, b long")))
+        if few.where("few > 1").limit(1).count():
+            sets = materialise(with_sets(join_apart(apart, few.where("few > 1"), "group").select("rep", "same", "group", "label")))
+            pairs = materialise(_rare_pairs(sets, similarity, radius))
+            one = lambda name: sets.select(F.col("rep").alias(name), F.col("shingles").alias(f"{name}_set"))
+            inner = inner.union(materialise(in_arrow(pairs.join(one("a"), "a").join(one("b"), "b"), checked, "a long, b long")))
     roots = components(inner)
     named = reps.select("same", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("root", "rep").alias("component_id"))
     known = prints.where("doc_id IS NOT NULL").join(named, "same").select("doc_id", "component_id")

@@ -270,3 +270,21 @@ def test_leaks_and_packing_of_empty_tables(spark):
     some = spark.createDataFrame([(1, "a few words of a text that is here")], "doc_id long, text string")
     assert decontamination.leaks(none, bench).count() == 0 and decontamination.without_leaks(some, bench).count() == 1
     assert packing.packed(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+def test_documents_that_share_a_template_are_not_compared_all_with_all(spark, monkeypatch):
+    from figquarry.llm import simhash
+
+    rng = random.Random(4)
+    template, rows = [f"t{i}" for i in range(120)], []
+    for k in range(400):  # half of each document is the template: alike to 0.3 to 0.5
+        rows.append((k, " ".join(template + [f"w{k}x{i}" for i in range(rng.randint(110, 150))])))
+    for k in range(0, 400, 10):  # near copies among them
+        words = rows[k][1].split()
+        words[200] = "changed"
+        rows.append((1000 + k, " ".join(words)))
+    seen, rare = [], simhash._rare_pairs
+    monkeypatch.setattr(simhash, "_rare_pairs", lambda *a: seen.append(rare(*a)) or seen[-1])
+    got = {r.doc_id: r.component_id for r in simhash.alike(spark.createDataFrame(rows, "doc_id long, text string"), block_limit=32).collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
+    assert seen and seen[0].count() <= 200  # of some 97,000 pairs
