@@ -25,13 +25,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     those, equal texts are kept once.
     """
     found = simhash.alike(docs, similarity=0.8, shingle_words=5)
-    keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
-    kept = docs.join(small_side(keep), F.col("doc_id").cast("long") == F.col("_kept"))
-    alone = kept.where("_rows = 1").select(docs.columns)
+    keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept")).agg(F.count("*").alias("rows"))
+    # the row travels as one value, so that no name of its columns can clash with those used here
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
+    kept = whole.join(small_side(keep), F.col("id") == F.col("kept"))
+    alone = kept.where("rows = 1").select("row.*")
     # only rows whose doc_id repeats are brought together
-    shared = kept.where("_rows > 1").groupBy("_kept").agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), "text")).alias("_row")).select("_row.*")
-    lost = docs.where("doc_id IS NULL")
-    return alone.union(shared).union(lost.groupBy(F.xxhash64("text"), "text").agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
+    shared = kept.where("rows > 1").groupBy("kept").agg(F.min_by("row", F.struct(F.xxhash64("text"), "text")).alias("row")).select("row.*")
+    lost = whole.where("id IS NULL").groupBy(F.xxhash64("text"), "text").agg(F.first("row").alias("row")).select("row.*")
+    return alone.union(shared).union(lost)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
