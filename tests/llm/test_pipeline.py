@@ -41,3 +41,14 @@ def test_run_and_empty(spark, tmp_path):
         if name.split(".")[0] in ("documents", "labels", "benchmark"):
             spark.read.parquet(f"{DATA}/{name}").limit(0).write.parquet(str(tmp_path / name))
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_with_clashing_columns(spark):
+    names = ["_kept", "_rows", "_row", "kept", "rows", "row", "id", "_apart", "component_id", "rep", "label"]
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, "a"), (2, long + " end", "b"), (2, long + " end", "b"), (3, None, "c"), (4, "", "d"), (None, "x", "e"), (None, "x", "e"), (None, None, "f"), (5, "own words here", "g"), (5, "other words there", "h")]
+    df = spark.createDataFrame([(i, t, s, *[s] * len(names)) for i, t, s in rows], "doc_id int, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    out = C.drop_near_copies(spark, df, DATA)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r.source) for r in out.collect())
+    assert [g[:2] for g in got] == [(False, 1), (False, 3), (False, 5), (True, 0), (True, 0)] and all(r._kept == r.source == r.row for r in out.collect())
