@@ -8,7 +8,8 @@ A group holds the turns of one pair, so it is as large as two conversations.
 
 Defined results: rows without a conversation or turn number belong to no conversation; a null text is empty, a null
 role is `user`; turns with the same number stand in order of role and text, repeated rows once each; a conversation
-without partner is a pair whose other side has no turns.
+without partner is a pair whose other side has no turns; no conversations give no rows. A conversation's turns stand in
+one row, in memory by their length.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ The benchmark is taken in blocks of at most BLOCK_ITEMS items and BLOCK_CHARS ch
 index is broadcast, and every document meets every block.
 
 Defined results: null and empty texts match nothing; items with fewer than min_words words match nothing; repeated
-documents and items are reported each for itself; null ids are kept.
+documents and items are reported each for itself; null ids are kept; without documents or items there are no rows. Texts
+are read whole, in memory by their length.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ length and its rank among the pieces of that length, by binary search in a table
 histogram and the patterns ever meets in one place.
 
 Defined results: a null or empty text has the single id 1; repeated rows are packed once each; a null doc_id is
-kept; an empty table gives an empty result.
+kept; an empty table gives an empty result. Very long texts are tokenized whole and cut into pieces of a sequence.
 """
 
 from __future__ import annotations

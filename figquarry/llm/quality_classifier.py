@@ -8,7 +8,7 @@ Training reads the statistics (no texts) of at most `sample` labelled rows, thos
 
 Defined results: null and empty texts have all statistics 0 and are scored like any other; repeated rows are scored
 each for itself; labels that contradict each other count as 1; with one class only, or none, every score is that class
-(0 without labels).
+(0 without labels); no documents give no rows. Statistics are taken from whole texts of any length.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Repeated three-word windows are found per document by sorting 64-bit hashes of t
 
 Defined results: null and empty texts have no words and fail the base rules; repeated rows are judged each for itself
 and count as often as they stand there; labels that contradict each other count as trusted; without trusted
-documents the ratio is 0 for all and only the base rules decide.
+documents the ratio is 0 for all and only the base rules decide; no documents give no rows. Texts are read whole: a very
+long one holds its words and hashes as arrays in one row, in memory by its length.
 """
 
 from __future__ import annotations

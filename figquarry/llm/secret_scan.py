@@ -6,7 +6,8 @@ match there, for which only the bytes of the span are read, by the rule's own au
 text whatever stands in it. A span whose strict form (minimum lengths) fails is dropped after it has taken its place.
 Offsets are code points, ends exclusive.
 
-Defined results: null and empty texts have no spans; repeated rows give repeated results; a null doc_id is kept.
+Defined results: null and empty texts have no spans; repeated rows give repeated results; a null doc_id is kept; no rows
+give no rows. Texts of any length are scanned whole in one pass, in memory by their length.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ and those that are still above it by a part of what is left, which bounds a shar
 whatever the corpus. From a shard come links to the least member of a local group, never all its pairs.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; repeated rows and copies
-share a fingerprint; a null doc_id is kept, and never is a component's id unless it is alone there.
+share a fingerprint; a null doc_id is kept, and never is a component's id unless it is alone there; no
+rows give no rows. Texts are read whole, in memory by their length.
 """
 
 from __future__ import annotations

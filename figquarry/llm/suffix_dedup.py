@@ -19,7 +19,8 @@ buckets by (anchor, distance), and:
 Texts are told apart by 128 bits of a hash.
 
 Defined results: null texts are empty; texts below `length` bytes stay whole; a repeated row is a copy, so both lose
-everything (if long enough); rows may share a doc_id, and a null one is kept.
+everything (if long enough); rows may share a doc_id, and a null one is kept; no rows give no
+rows. Very long texts are taken apart a window at a time; only the text itself is held whole.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ dictionaries: a text that is common for having been copied says nothing.
 
 Defined results: null and empty texts have distance 0; texts of fewer words than rank are judged by all of them; longer
 words are windows of WORD characters each; repeated rows are scored each for itself; labels of a document that
-contradict each other count as toxic; without toxic training rows every score is 0.
+contradict each other count as toxic; without toxic training rows every score is 0; no documents give no rows. Texts are scored
+whole, window by window, in memory by their length; texts of over a quarter of TRAIN_BYTES aren't trained on.
 """
 
 from __future__ import annotations
