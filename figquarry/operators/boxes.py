@@ -9,6 +9,8 @@ from ..functions.scalars import boxes_overlap, finite, iou
 from .keys import small_side
 
 _SIDES = ("xmin", "ymin", "xmax", "ymax")
+#: Boxes of a figure up to which all are compared with each other.
+FEW = 64
 #: A place is at most 4^FINEST tiles from 0, so that places in tiles are exact.
 FINEST = 25
 
@@ -28,6 +30,13 @@ def _tiles(low: str, high: str, level: str) -> Column:
     return F.explode(F.sequence(_tile(F.col(low), F.col(level)), _tile(F.col(high), F.col(level))))
 
 
+def _compared(boxes: DataFrame, figure: str) -> DataFrame:
+    """overlapping for figures of few boxes: all of a figure's with each other."""
+    a, b = boxes.alias("a"), boxes.alias("b")
+    on = (F.col("a.fig") == F.col("b.fig")) & (F.col("a.label") < F.col("b.label")) & boxes_overlap("a", "b")
+    return a.join(b, on).select(F.col("a.fig").alias(figure), F.col("a.label").alias("first"), F.col("b.label").alias("second"), iou("a", "b").alias("iou"))
+
+
 def overlapping(boxes: DataFrame, figure: str, label: str) -> DataFrame:
     """Pairs of a figure's boxes that share area, the lesser label first, with their IoU.
 
@@ -36,13 +45,18 @@ def overlapping(boxes: DataFrame, figure: str, label: str) -> DataFrame:
     other is dealt into tiles of the levels that its figure holds and that aren't finer than its own; or one is the wider and
     the other the taller, then each is dealt into tiles of its own larger side and the others' larger sides. So small
     boxes never meet by lying in one large tile. The tile that holds the corner where an overlap begins reports it: each pair
-    is found once.
+    is found once. Boxes of figures that hold FEW at most are compared directly.
 
     Boxes without four finite corners, figure or label, and those without area, overlap nothing; boxes with the same label
     aren't compared.
     """
     live = boxes.select(F.col(figure).alias("fig"), F.col(label).alias("label"), *[F.col(s).cast("double").alias(s) for s in _SIDES])
     live = live.where(" AND ".join(["fig IS NOT NULL", "label IS NOT NULL", "xmin < xmax", "ymin < ymax"])).where(finite("xmin") & finite("xmax") & finite("ymin") & finite("ymax"))
+    counts = live.groupBy("fig").agg(F.count("*").alias("_n"))
+    many = small_side(counts.where(F.col("_n") > FEW).select("fig"))
+    if many.isEmpty():
+        return _compared(live, figure)
+    few, live = _compared(live.join(many, "fig", "left_anti"), figure), live.join(many, "fig", "left_semi")
     sized = live.withColumn("lx", _level("xmin", "xmax")).withColumn("ly", _level("ymin", "ymax"))
     # a figure's levels are few: one for each power of 4 between its smallest and largest box
     levels = sized.groupBy("fig").agg(F.collect_set(F.struct("lx", "ly")).alias("both"), F.collect_set("lx").alias("wide"), F.collect_set("ly").alias("tall"))
@@ -70,4 +84,4 @@ def overlapping(boxes: DataFrame, figure: str, label: str) -> DataFrame:
     finer = known.select(*plain, F.explode(F.filter("both", lambda c: (c["lx"] >= F.col("lx")) & (c["ly"] >= F.col("ly")))).alias("c")).select(*plain, F.col("c.lx").alias("cx"), F.col("c.ly").alias("cy"))
     wider = known.select(*plain, F.col("lx").alias("cx"), F.explode(F.filter("tall", lambda y: y > F.col("ly"))).alias("cy"))
     taller = known.select(*plain, F.explode(F.filter("wide", lambda x: x > F.col("lx"))).alias("cx"), F.col("ly").alias("cy"))
-    return met(native, finer).union(met(wider, taller))
+    return few.union(met(native, finer)).union(met(wider, taller))

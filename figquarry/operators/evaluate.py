@@ -68,7 +68,7 @@ def _counted(values: DataFrame, keys: list[str]) -> DataFrame:
 def _values_at(cells: DataFrame, wanted: DataFrame, keys: list[str], most: int) -> DataFrame:
     """wanted (keys, _at, _place, _k: a rank from 0) with the value _w at the rank, or NULL if it lies within a range."""
     if cells.limit(most + 1).count() > most:
-        summed = scan(cells, keys, [F.col("_least")], sums={"_end": F.col("_rows")})
+        summed = scan(cells, keys, [F.col("_least")], sums={"_end": F.col("_rows")}, ranges=int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     else:
         summed = cells.withColumn("_end", F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_least").rowsBetween(Window.unboundedPreceding, 0)))
     begin = F.col("_end") - F.col("_rows")

@@ -19,6 +19,17 @@ from ..sources.scratch import written
 from .keys import beside
 
 
+#: Rows of a key up to which one task orders them: a key of this size is sorted in well under a second.
+LARGE = 100_000
+
+
+def _has_large(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether any key has more than LARGE rows."""
+    if not keys:
+        return df.limit(LARGE + 1).count() > LARGE
+    return not df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > LARGE).isEmpty()
+
+
 def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ranges: int | None = None) -> DataFrame:
     """df with `_range`, the number of the range of (keys, order) that a row is in, and `_salt`, which tells equal rows apart.
 
@@ -64,6 +75,17 @@ def scan(
     return joined.select(*df.columns, *first, *([F.col("_total").alias(total)] if total else []), *out)
 
 
+def _at_once(df: DataFrame, keys: list[str], order: Sequence[Column], place: str | None, total: str | None, sums: dict, previous: dict, following: dict) -> DataFrame:
+    """scan for keys that a task can hold."""
+    whole = Window.partitionBy(*keys)
+    own = whole.orderBy(*order)
+    out = {place: F.row_number().over(own).cast("long") - 1} if place else {}
+    out |= {total: F.count("*").over(whole)} if total else {}
+    out |= {name: F.sum(F.coalesce(x, F.lit(0))).over(own.rowsBetween(Window.unboundedPreceding, 0)) for name, x in sums.items()}
+    out |= {name: F.lag(x).over(own) for name, x in previous.items()} | {name: F.lead(x).over(own) for name, x in following.items()}
+    return df.select(*df.columns, *[x.alias(name) for name, x in out.items()])
+
+
 def numbered(df: DataFrame, order: Sequence[Column], name: str = "number", keys: Sequence[str] = ()) -> DataFrame:
     """df with the place of each row (from 0) among its key's rows in an order."""
     return scan(df, keys, order, place=name)

@@ -45,6 +45,11 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, ra: str, dec: str,
     at, spot = [key, "ra", "dec"], lambda df: df.where(F.col(key).isNotNull() & finite(ra) & finite(dec))
     place = lambda df: spot(df).select(key, F.col(ra).cast("double").alias("ra"), F.col(dec).cast("double").alias("dec"), *([F.col("target")] if "target" in df.columns else []))
     open_targets = written(place(targets.select(key, ra, dec, "target")).groupBy(*at).agg(F.min("target").alias("target")).select("*", *_unit("ra", "dec")))
+    if open_targets.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > leaf).isEmpty():  # each key is one leaf
+        single = open_targets.groupBy(F.col(key).alias("_k")).agg(F.collect_list(F.struct("ra", "dec", "target")).alias("_t"))
+        least = F.array_min(F.transform("_t", lambda t: F.struct(separation(ra, dec, t["ra"], t["dec"]).alias("separation"), t["target"].alias("target"))))
+        met = spot(points).join(small_side(single), F.col(key) == F.col("_k")).select(*points.columns, least.alias("_m"))
+        return met.select(*points.columns, "_m.separation", "_m.target")
     asked = place(points.select(key, ra, dec)).distinct().select("*", *[u.alias(f"p{n}") for u, n in zip(_unit("ra", "dec"), "xyz")])
     front, results = asked.withColumn("parent", F.lit(0).cast("long")).withColumn("bound", F.lit(float("inf"))), []
     for level in range(DEEPEST + 1):

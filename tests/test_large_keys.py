@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from figquarry.operators import boxes as boxes_module
 from figquarry.operators import evaluate as E
 from figquarry.operators import ordered, sky
 from figquarry.operators import relate as R
@@ -22,7 +23,7 @@ def skewed(n=4000):
     return pd.DataFrame({"k": keys, "id": np.arange(n), "x": x, "v": rng.integers(0, 9, n).astype(float)})
 
 
-@pytest.mark.parametrize("ranges", [1, 7])
+@pytest.mark.parametrize("ranges", [1, 7, None])
 @pytest.mark.parametrize("down", [False, True])
 def test_scan(spark, ranges, down):
     p = skewed()
@@ -63,7 +64,9 @@ def test_quantiles_through_the_scan(spark, most, sketch):
     assert E.quantiles(df.limit(0), ["k"], "x", at).count() == 0
 
 
-def test_light_and_gaps_of_a_large_key(spark):
+@pytest.mark.parametrize("large", [50, 100_000])
+def test_light_and_gaps_of_a_large_key(spark, monkeypatch, large):
+    monkeypatch.setattr(ordered, "LARGE", large)
     p = skewed()
     df = spark.createDataFrame([(k, float(x), float(x % 300)) for k, x in zip(p.k, p.x)], "k string, x double, deg double")
     got = {r.k: r.concentration for r in E.concentration(df.where("k IS NOT NULL"), "k", "x", 0.05).collect()}
@@ -142,7 +145,9 @@ def pairs_by_hand(boxes):
 BOX = "fig string, label int, xmin double, ymin double, xmax double, ymax double"
 
 
-def test_boxes_of_all_shapes(spark):
+@pytest.mark.parametrize("few", [0, 64, 1000])
+def test_boxes_of_all_shapes(spark, monkeypatch, few):
+    monkeypatch.setattr(boxes_module, "FEW", few)
     rng = np.random.default_rng(4)
     boxes, n = [], 260
     for i in range(n):
