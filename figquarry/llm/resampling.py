@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordered import numbered
+from ..operators.ordered import scan
 from .common import id_and_text, in_arrow, materialise
 
 BUCKETS = 10_000
@@ -131,7 +131,8 @@ def resample(docs: DataFrame, target: DataFrame, most: int = MOST, buckets: int
     h = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
     scored = summed.select("doc_id", "n_features", weight.alias("weight"), (F.col("n_words") >= least).alias("_in"), noise.alias("_noise")).withColumn("score", F.col("weight") + F.col("_noise")).drop("_noise")
-    placed = numbered(scored, [F.desc("_in"), F.desc("score"), F.asc_nulls_last("doc_id")], "_place")
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that all sizes take the two-level scan
+    placed = scan(scored, [], [F.desc("_in"), F.desc("score"), F.asc_nulls_last("doc_id")], place="_place", ranges=ranges)
     drawn = materialise(scored.agg(F.call_function("div", F.lit(percent) * F.count_if("_in"), F.lit(100)).alias("k"))).scalar()
     rank = F.when(F.col("_in") & (F.col("_place") < drawn), F.col("_place") + 1)
     return placed.select("doc_id", "n_features", "weight", "score", rank.alias("rank"))
