@@ -80,7 +80,7 @@ def file_names(t):
     """Fields of file names; a figure's number and the half-open block it is in"""
     path = F.concat(F.lit("/cache/x/image_"), "p_name", F.lit(".fits_OBJ_"), "p_brand", F.lit("_SURVEY_"), "p_type", F.lit("_height0.5.fits"))
     fields = IO.file_record(path)
-    number, block = IO.figure_block(F.concat(F.lit("Picture_"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit(".json")), [("contour", 0, 60), ("gmm", 60, 120)])
+    number, block = IO.figure_block(F.format_string("Picture_%06d.json", "p_partkey"), [("contour", 0, 60), ("gmm", 60, 120)])
     return t("part").select(F.col("p_partkey").alias("k"), *[x.alias(n) for n, x in fields.items()], number.cast("long").alias("number"), block.alias("block"))
 
 
