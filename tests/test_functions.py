@@ -453,3 +453,11 @@ def test_questions_of_several_panels(spark):
     assert {n for _, n in by("bare")} >= {"epoch", "mean color"} and not any("limit" in n or "field" in n or "unit" in n for _, n in by("bare"))
     assert len(by("short")) == 11 + 7 and len(by("other")) == 11 and len(by("none")) == 11 and Q.questions(df.limit(0)).count() == 0
     assert {r.q for r in rows} == {f"{r.persona} {r.context} {r.question} {r.format}" for r in rows} and not any("{" in r.question for r in rows)
+
+
+def test_quads_that_are_none(spark):
+    quad = lambda points: F.from_json(F.lit(json.dumps([{"x": x, "y": y} for x, y in points])), "array<struct<x: double, y: double>>")
+    cases = [[(0, 0), (4, 0), (4, 3), (0, 3)], [(0, 0), (4, 0), (4, 0), (0, 3)], [(0, 0), (4, 0), (4, 3)], []]
+    got = one(spark, *[S.near_rectangle(quad(p)) for p in cases], *[F.size(S.edge_points(quad(p), 1.0)) for p in cases])
+    assert list(got) == [True, False, False, False, 4 + 4 + 4 + 4, 4 + 4 + 5 + 4, 4 + 4 + 5, 0]
+    assert one(spark, S.near_rectangle(F.lit(None).cast("array<struct<x: double, y: double>>")))[0] is False

@@ -11,6 +11,8 @@ from figquarry.plans import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+#: Queries of narrow tables whose rows make much work.
+SPREAD = ["quad_shapes"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
@@ -56,6 +58,15 @@ def test_page_fields_of_references_that_are_cut_or_of_other_kinds(spark, tmp_pat
     assert agrees_on(spark, tmp_path, "page_fields", "pages", spark.createDataFrame(pages, "page_id long, html string"))
 
 
+@pytest.mark.parametrize("name", SPREAD)
+def test_work_on_a_narrow_table_is_spread(spark, name):
+    assert QUERIES[name](spark, DATA).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_table_of_quads_is_a_single_split(spark):
+    assert spark.read.parquet(f"{DATA}/customer.parquet").rdd.getNumPartitions() == 1  # what the test above rests on
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"gbt_oof", "baseline_table"}))
 def test_runs_alike_twice(spark, name):
     a, b = (rows(QUERIES[name](spark, DATA).toPandas()) for _ in range(2))
