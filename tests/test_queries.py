@@ -12,7 +12,7 @@ from figquarry.plans import QUERIES, SQL
 DATA = "/root/testdata/sf0.001"
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 #: Queries of narrow tables whose rows make much work.
-SPREAD = ["quad_shapes"]
+SPREAD = ["quad_shapes", "question_build", "question_prompts"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
@@ -63,6 +63,12 @@ def test_work_on_a_narrow_table_is_spread(spark, name):
     assert QUERIES[name](spark, DATA).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_questions_are_made_once(spark):
+    plan = QUERIES["question_build"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("ArrowEvalPython" in line for line in plan) == 1  # sky ranges come in batches
+    assert not any("Filter" in line and "size(" in line for line in plan)  # a filter before the explode makes them again
+
+
 def test_a_table_of_quads_is_a_single_split(spark):
     assert spark.read.parquet(f"{DATA}/customer.parquet").rdd.getNumPartitions() == 1  # what the test above rests on
 
